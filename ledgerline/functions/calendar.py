@@ -69,75 +69,8 @@ def _nz(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def resolve(spec: Column, reference: Column, data_start: Column, data_end: Column,
-            raw: Column | None = None) -> Column:
-    """Struct ``(kind, date_start, date_end, error)`` for a parsed spec column.
-
-    ``spec`` NULL or kind ``none`` gives no period and no error. ``raw`` (the
-    JSON text) lets a key given with a wrong type (``true``, ``1.5``) be told
-    apart from a missing key; without it both count as missing.
-    """
-    def present(name: str) -> Column:
-        if raw is None:
-            return spec[name].isNotNull()
-        return F.get_json_object(raw, f"$.{name}").isNotNull()
-
-    kind = spec["kind"]
-    ref = reference.cast("date")
-    wd = spec["weekday"]
-    occ = F.when(present("occurrence"), spec["occurrence"]).otherwise(F.lit(1))
-    direction = spec["direction"]
-
-    prev_dist = F.coalesce(F.nullif(F.pmod(F.weekday(ref) - wd, F.lit(7)), F.lit(0)), F.lit(7))
-    next_dist = F.coalesce(F.nullif(F.pmod(wd - F.weekday(ref), F.lit(7)), F.lit(0)), F.lit(7))
-    week_ok = _nz(wd.between(0, 6) & occ.between(1, MAX_OCCURRENCE))
-    prev_day = F.date_sub(ref, prev_dist + 7 * (occ - 1))
-    next_day = F.date_add(ref, next_dist + 7 * (occ - 1))
-
-    one_day = parse_iso_date(spec["date"])
-    r_start = parse_iso_date(spec["start"])
-    r_end = parse_iso_date(spec["end"])
-    rel_ok = _nz(F.abs(spec["offset"]) <= MAX_OFFSET_DAYS)
-    rel_day = F.date_add(ref, spec["offset"])
-    y, m = spec["year"], spec["month"]
-    year_start = _safe_make_date(y, F.lit(1), F.lit(1))
-    year_end = _safe_make_date(y, F.lit(12), F.lit(31))
-    month_start = _safe_make_date(y, m, F.lit(1))
-    month_end = F.last_day(month_start)
-    is_prev = (kind == "weekday") & week_ok & (direction == "previous")
-    is_next = (kind == "weekday") & week_ok & (direction == "next")
-
-    def pick(first_of: Column, last_of: Column, year_of: Column, month_of: Column, one: Column) -> Column:
-        return (F.when(kind == "all", first_of)
-                .when(kind == "date", one)
-                .when(kind == "range", last_of)
-                .when((kind == "relative_day") & rel_ok, rel_day)
-                .when(is_prev, prev_day)
-                .when(is_next, next_day)
-                .when(kind == "year", year_of)
-                .when(kind == "month", month_of))
-
-    start = pick(data_start.cast("date"), r_start, year_start, month_start, one_day)
-    end = pick(data_end.cast("date"), r_end, year_end, month_end, one_day)
-
-    no_period = _nz(spec.isNull() | kind.isNull() | (kind == "none"))
-    known = _nz(kind.isin("all", "date", "range", "relative_day", "weekday", "year", "month"))
-    error = (F.when(no_period, F.lit(None).cast("string"))
-             .when(~known, F.lit(ERR_KIND))
-             .when((kind == "relative_day") & ~present("offset"), F.lit(ERR_FIELD))
-             .when((kind == "relative_day") & ~rel_ok, F.lit(ERR_OFFSET))
-             .when((kind == "weekday") & ~(present("weekday") & present("direction")), F.lit(ERR_FIELD))
-             .when((kind == "weekday") & ~week_ok, F.lit(ERR_WEEKDAY))
-             .when((kind == "weekday") & ~_nz(direction.isin("previous", "next")), F.lit(ERR_DIRECTION))
-             .when(start.isNull() | end.isNull(), F.lit(ERR_FIELD))
-             .when(end < start, F.lit(ERR_ORDER)))
-    ok = error.isNull() & ~no_period
-    return F.struct(
-        F.when(no_period, F.lit("none")).otherwise(kind).alias("kind"),
-        F.when(ok, start).alias("date_start"),
-        F.when(ok, end).alias("date_end"),
-        error.alias("error"),
-    )
+PRESENCE_KEYS = ("offset", "weekday", "direction", "occurrence")
+KINDS = ("all", "date", "range", "relative_day", "weekday", "year", "month")
 
 
 def resolve_periods(requests: DataFrame, data_range: DataFrame, spec_col: str = "spec",
@@ -145,19 +78,111 @@ def resolve_periods(requests: DataFrame, data_range: DataFrame, spec_col: str =
     """Add ``kind, date_start, date_end, error`` to a table of requests.
 
     ``spec_col`` holds JSON text; ``data_range`` is the one-row (first_date,
-    last_date) of the data, used by kind ``all``. Its two values enter the
+    last_date) of the data, used by kind ``all``; its two values enter the
     plan as scalar subqueries (one row, planned once), not as a join.
-    ``strict`` raises when any request is in error.
+
+    The work is a chain of narrow projections (no shuffle): parse the JSON
+    once, flatten it, derive the candidate days, pick start/end, then the
+    error. Each step refers to the previous one's columns, so no expression
+    is copied into another. ``strict`` raises when any request is in error.
     """
     first = data_range.select("first_date").scalar()
     last = data_range.select("last_date").scalar()
-    spec = parse_spec(F.col(spec_col))
-    out = (requests.withColumn("_p", resolve(spec, F.col(reference_col), first, last, F.col(spec_col)))
-           .select(*[F.col(c) for c in requests.columns],
-                   F.col("_p.kind").alias("kind"), F.col("_p.date_start").alias("date_start"),
-                   F.col("_p.date_end").alias("date_end"), F.col("_p.error").alias("error")))
+    keep = [F.col(c) for c in requests.columns]
+    raw = F.col(spec_col)
+
+    # 1. parse once; note which keys are present (a wrong type parses to NULL).
+    # The parsed record leaves through a one-element ``inline`` generator:
+    # Catalyst does not push predicates through a generator's output, so a
+    # later filter on a derived column stops here instead of copying the
+    # JSON parse (and whatever built the JSON) into the filter.
+    parsed = F.struct(parse_spec(raw).alias("_s"),
+                      *[_nz(F.get_json_object(raw, f"$.{k}").isNotNull()).alias(f"_has_{k}")
+                        for k in PRESENCE_KEYS])
+    df = requests.select(*keep, F.inline(F.array(parsed)))
+    df = df.select(*keep, *[F.col(f"_has_{k}") for k in PRESENCE_KEYS],
+                   F.col(reference_col).cast("date").alias("_ref"),
+                   *[F.col("_s")[f.name].alias(f"_{f.name}") for f in SPEC_SCHEMA.fields])
+
+    # 2. candidate days per kind
+    ref, wd, y, m = F.col("_ref"), F.col("_weekday"), F.col("_year"), F.col("_month")
+    occ = F.when(F.col("_has_occurrence"), F.col("_occurrence")).otherwise(F.lit(1))
+    kind = F.col("_kind")
+    df = df.select(
+        *keep, *[F.col(f"_has_{k}") for k in PRESENCE_KEYS], "_kind", "_direction", "_offset", "_weekday",
+        _nz(kind.isNull() | (kind == "none")).alias("_no_period"),
+        _nz(kind.isin(*KINDS)).alias("_known"),
+        _nz(wd.between(0, 6) & occ.between(1, MAX_OCCURRENCE)).alias("_week_ok"),
+        _nz(F.abs(F.col("_offset")) <= MAX_OFFSET_DAYS).alias("_rel_ok"),
+        F.date_sub(ref, F.coalesce(F.nullif(F.pmod(F.weekday(ref) - wd, F.lit(7)), F.lit(0)), F.lit(7))
+                   + 7 * (occ - 1)).alias("_prev_day"),
+        F.date_add(ref, F.coalesce(F.nullif(F.pmod(wd - F.weekday(ref), F.lit(7)), F.lit(0)), F.lit(7))
+                   + 7 * (occ - 1)).alias("_next_day"),
+        F.date_add(ref, F.col("_offset")).alias("_rel_day"),
+        parse_iso_date(F.col("_date")).alias("_one_day"),
+        parse_iso_date(F.col("_start")).alias("_r_start"),
+        parse_iso_date(F.col("_end")).alias("_r_end"),
+        _safe_make_date(y, F.lit(1), F.lit(1)).alias("_y_start"),
+        _safe_make_date(y, F.lit(12), F.lit(31)).alias("_y_end"),
+        _safe_make_date(y, m, F.lit(1)).alias("_m_start"),
+    )
+
+    # 3. start and end of the period
+    kind, direction = F.col("_kind"), F.col("_direction")
+    week = (kind == "weekday") & F.col("_week_ok")
+
+    def pick(all_day, range_day, year_day, month_day):
+        return (F.when(kind == "all", all_day)
+                .when(kind == "date", F.col("_one_day"))
+                .when(kind == "range", range_day)
+                .when((kind == "relative_day") & F.col("_rel_ok"), F.col("_rel_day"))
+                .when(week & (direction == "previous"), F.col("_prev_day"))
+                .when(week & (direction == "next"), F.col("_next_day"))
+                .when(kind == "year", year_day)
+                .when(kind == "month", month_day))
+
+    df = df.select(
+        *keep, *[F.col(f"_has_{k}") for k in PRESENCE_KEYS], "_kind", "_direction", "_no_period",
+        "_known", "_week_ok", "_rel_ok",
+        pick(first.cast("date"), F.col("_r_start"), F.col("_y_start"), F.col("_m_start")).alias("_st"),
+        pick(last.cast("date"), F.col("_r_end"), F.col("_y_end"), F.last_day("_m_start")).alias("_en"),
+    )
+
+    # 4. error, then the visible columns
+    st, en = F.col("_st"), F.col("_en")
+    error = (F.when(F.col("_no_period"), F.lit(None).cast("string"))
+             .when(~F.col("_known"), F.lit(ERR_KIND))
+             .when((kind == "relative_day") & ~F.col("_has_offset"), F.lit(ERR_FIELD))
+             .when((kind == "relative_day") & ~F.col("_rel_ok"), F.lit(ERR_OFFSET))
+             .when((kind == "weekday") & ~(F.col("_has_weekday") & F.col("_has_direction")), F.lit(ERR_FIELD))
+             .when((kind == "weekday") & ~F.col("_week_ok"), F.lit(ERR_WEEKDAY))
+             .when((kind == "weekday") & ~_nz(direction.isin("previous", "next")), F.lit(ERR_DIRECTION))
+             .when(st.isNull() | en.isNull(), F.lit(ERR_FIELD))
+             .when(en < st, F.lit(ERR_ORDER)))
+    df = df.select(*keep, "_no_period", "_kind", "_st", "_en", error.alias("error"))
+    ok = F.col("error").isNull() & ~F.col("_no_period")
+    out = df.select(*keep,
+                    F.when(F.col("_no_period"), F.lit("none")).otherwise(F.col("_kind")).alias("kind"),
+                    F.when(ok, F.col("_st")).alias("date_start"),
+                    F.when(ok, F.col("_en")).alias("date_end"),
+                    "error")
     if strict:
         bad = out.where(F.col("error").isNotNull()).limit(1).collect()
         if bad:
             raise ValueError(f"request in error: {bad[0]['error']}")
     return out
+
+
+def resolve_one(spark, spec_json: str | None, reference, data_start=None, data_end=None) -> dict:
+    """Resolve a single request (convenience for callers and tests)."""
+    import datetime as dt
+
+    ref = reference if isinstance(reference, dt.date) else dt.date.fromisoformat(str(reference))
+    req = spark.createDataFrame([(spec_json, ref)], "spec string, reference date")
+    rng = spark.createDataFrame(
+        [(None if data_start is None else dt.date.fromisoformat(str(data_start)),
+          None if data_end is None else dt.date.fromisoformat(str(data_end)))],
+        "first_date date, last_date date")
+    row = resolve_periods(req, rng).collect()[0]
+    return {"kind": row["kind"], "date_start": row["date_start"], "date_end": row["date_end"],
+            "error": row["error"]}
