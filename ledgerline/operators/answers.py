@@ -1,12 +1,31 @@
-"""Batch answers: empty-result test, routes, answer text, name resolution."""
+"""Batch answers: empty-result test, routes, answer text, name resolution.
+
+Everything works on whole tables of requests at once; there is no loop over
+requests on the driver.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import fold_ascii, label_text
+from ledgerline.operators.partitioning import broadcast_if_small
+
+# Route labels and answer sentences.
+ROUTES = ("sql", "rag", "clarify")
+ERR_ROUTE = "invalid router response"
+NO_RECORDS = "No matching records were found for that request."
+MANY_ROWS = "Found {n} results. See the table below."
+COST_NOTE = ("Estimated food cost and gross profit use sample ingredient costs. "
+             "Net profit requires operating expenses.")
+CLARIFY_DEFAULT = "Please make the question more specific."
+# Topics the data cannot answer (they need a clarification).
+UNAVAILABLE_TOPICS = ("net profit", "stock", "waste", "vat", "refund", "customer")
+NAME_DISTANCE = 2
+
 
 def empty_flag(df: DataFrame) -> DataFrame:
     """One row ``is_empty``: no rows, or every value of every row NULL.
@@ -17,3 +36,131 @@ def empty_flag(df: DataFrame) -> DataFrame:
         return df.sparkSession.range(1).select(F.lit(True).alias("is_empty"))
     all_null = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in df.columns])
     return df.agg(F.coalesce(F.bool_and(all_null), F.lit(True)).alias("is_empty"))
+
+
+def route_split(requests: DataFrame, label_col: str = "route") -> DataFrame:
+    """Adds ``error`` for labels outside {sql, rag, clarify} (NULL included)."""
+    ok = F.coalesce(F.col(label_col).isin(*ROUTES), F.lit(False))
+    return requests.withColumn("error", F.when(~ok, F.lit(ERR_ROUTE)))
+
+
+def routes(requests: DataFrame, label_col: str = "route") -> dict[str, DataFrame]:
+    """The three branches (and the refused rows) as separate frames."""
+    r = route_split(requests, label_col)
+    out = {name: r.where(F.col(label_col) == name).drop("error") for name in ROUTES}
+    out["error"] = r.where(F.col("error").isNotNull())
+    return out
+
+
+def clarification_split(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plans without SQL become clarifications (with a default question)."""
+    clar = plans.where(F.col("sql").isNull()).withColumn(
+        "clarification", F.coalesce(F.nullif(F.col("clarification"), F.lit("")), F.lit(CLARIFY_DEFAULT)))
+    return plans.where(F.col("sql").isNotNull()), clar
+
+
+def unavailable_topic(requests: DataFrame, text_col: str = "text") -> DataFrame:
+    """Requests that ask for a topic the data does not hold, with that topic
+    (the first one in the fixed list order). One regex per row, no join."""
+    pattern = r"(?i)\b(" + "|".join(t.replace(" ", r"\s+") for t in UNAVAILABLE_TOPICS) + r")"
+    found = F.lower(F.regexp_extract(F.col(text_col), pattern, 1))
+    return requests.withColumn("topic", F.regexp_replace(found, r"\s+", " ")).where(F.col("topic") != "")
+
+
+def _value_text(c: Column, money: bool) -> Column:
+    if money:
+        return F.coalesce(F.format_number(c.cast("double"), 2), F.lit("None"))
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def answer_text(results: DataFrame, key: str, money_labels: list[str],
+                period_start: str | None = None, period_end: str | None = None,
+                row_count: str | None = None) -> DataFrame:
+    """(key, answer) from one result row per key.
+
+    ``results`` holds one row per request (``key``) with its result columns;
+    ``row_count`` (optional) is the number of result rows the request had:
+    0 -> fixed sentence, 1 -> ``Label: value`` lines, more -> "Found n results".
+    A request whose values are all NULL counts as having no rows. Money
+    columns use thousands separators and two decimals. With a period, the
+    answer starts with ``Period: a to b``; a note follows when a column name
+    holds ``cost`` or ``profit``.
+    """
+    skip = {key, period_start, period_end, row_count}
+    cols = [c for c in results.columns if c not in skip]
+    lines = [F.concat(label_text(F.lit(c)), F.lit(": "), _value_text(F.col(c), c in money_labels)) for c in cols]
+    all_null = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in cols]) if cols else F.lit(True)
+    n = F.col(row_count) if row_count else F.lit(1)
+    body = (F.when((n == 0) | all_null, F.lit(NO_RECORDS))
+            .when(n == 1, F.concat_ws("\n\n", *lines))
+            .otherwise(F.concat(F.lit("Found "), n.cast("string"), F.lit(" results. See the table below."))))
+    if period_start and period_end:
+        prefix = F.when(F.col(period_start).isNotNull(),
+                        F.concat(F.lit("Period: "), F.col(period_start).cast("string"), F.lit(" to "),
+                                 F.col(period_end).cast("string"), F.lit("\n\n")))
+        body = F.concat(F.coalesce(prefix, F.lit("")), body)
+    if any("cost" in c or "profit" in c for c in cols):
+        body = F.when(n > 0, F.concat(body, F.lit("\n\n" + COST_NOTE))).otherwise(body)
+    return results.select(key, body.alias("answer"))
+
+
+def catalog_candidates(requests: DataFrame, catalog: DataFrame, request_col: str = "name",
+                       catalog_col: str = "name", key: str = "request_id") -> DataFrame:
+    """(key, candidate, match_level) for every catalog name that matches a request.
+
+    Levels (the lowest one that applies is kept per pair):
+      1 equal ignoring ASCII case;
+      2 the catalog name contains the request as whole words;
+      3 edit distance <= 2 (on the folded names).
+    All matching is by equi-joins -- level 1 on the folded name, level 2 on
+    the request's first word against the words of each catalog name, level 3
+    on name length (|len a - len b| <= 2 is needed for distance <= 2) --
+    never a request x catalog product.
+    """
+    cat = (catalog.select(F.col(catalog_col).alias("candidate")).distinct()
+           .withColumn("_fold", fold_ascii(F.col("candidate"))))
+    req = (requests.select(F.col(key).alias("_key"), F.col(request_col).alias("_req"))
+           .withColumn("_rfold", fold_ascii(F.col("_req"))))
+
+    exact = req.join(cat, req["_rfold"] == cat["_fold"]).select("_key", "candidate", F.lit(1).alias("_lvl"))
+
+    cat_words = cat.select("candidate", "_fold", F.explode(F.array_distinct(F.split("_fold", " "))).alias("_w"))
+    req_first = req.select("_key", "_rfold", F.split("_rfold", " ")[0].alias("_w"))
+    padded = F.instr(F.concat(F.lit(" "), F.col("_fold"), F.lit(" ")),
+                     F.concat(F.lit(" "), F.col("_rfold"), F.lit(" "))) > 0
+    contains = (req_first.join(cat_words, "_w").where(padded)
+                .select("_key", "candidate", F.lit(2).alias("_lvl")))
+
+    cat_len = cat.withColumn("_len", F.length("_fold"))
+    req_len = req.select("_key", "_rfold",
+                         F.explode(F.sequence(F.length("_rfold") - NAME_DISTANCE,
+                                              F.length("_rfold") + NAME_DISTANCE)).alias("_len"))
+    near = (req_len.join(cat_len, "_len")
+            .where(F.levenshtein(F.col("_rfold"), F.col("_fold"), NAME_DISTANCE) >= 0)
+            .select("_key", "candidate", F.lit(3).alias("_lvl")))
+
+    return (exact.unionByName(contains).unionByName(near)
+            .groupBy("_key", "candidate").agg(F.min("_lvl").alias("match_level"))
+            .withColumnRenamed("_key", key))
+
+
+def resolve_names(requests: DataFrame, catalog: DataFrame, request_col: str = "name",
+                  catalog_col: str = "name", key: str = "request_id") -> DataFrame:
+    """Match loosely written names against a catalog of names.
+
+    status: ``resolved`` (exactly one candidate at the best level that has
+    any), ``ambiguous`` (several: the choices are listed, none is picked) or
+    ``unknown``. Candidates per request are bounded by the catalog.
+    """
+    cands = catalog_candidates(requests, catalog, request_col, catalog_col, key)
+    best = cands.groupBy(key).agg(F.min("match_level").alias("_best"))
+    top = cands.join(best, key).where(F.col("match_level") == F.col("_best"))
+    g = top.groupBy(key).agg(F.array_sort(F.collect_set("candidate")).alias("_c"))
+    req = requests.select(F.col(key), F.col(request_col))
+    return req.join(g, key, "left").select(
+        key, request_col,
+        F.when(F.col("_c").isNull(), F.lit("unknown"))
+        .when(F.size("_c") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("status"),
+        F.when(F.size("_c") == 1, F.col("_c")[0]).alias("resolved_name"),
+        F.when(F.size("_c") > 1, F.array_join("_c", "; ")).alias("choices"),
+    )

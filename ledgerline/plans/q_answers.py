@@ -1 +1,269 @@
-"""Registered queries (filled in below)."""
+"""Answer-side queries: routes, clarifications, topics, names, answer text, guarded SELECT."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerline.functions.money import money_columns
+from ledgerline.operators import answers as A
+from ledgerline.operators import periods, sales
+from ledgerline.operators.guard import guarded_select
+from ledgerline.plans.q_periods import REQUESTS_SQL, event_requests
+from ledgerline.plans.registry import register
+from ledgerline.sources import roles
+
+# Fixed question templates for derived requests (chosen by props.k % 6).
+QUESTIONS = ("What was the net profit", "Show stock levels", "Total sales", "Refunds this month",
+             "How many customers ordered", "Revenue by branch")
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+# ---- routes (T1) and clarifications (G6) ---------------------------------------
+
+def _route_requests(t):
+    c = t.raw("conversations")
+    label = (F.when(F.col("turn") % 4 == 0, "sql").when(F.col("turn") % 4 == 1, "rag")
+             .when(F.col("turn") % 4 == 2, "clarify").otherwise(F.col("role")))
+    return c.select("conv_id", "turn", label.alias("route"))
+
+
+@register("route_split", """
+SELECT conv_id, turn, route,
+       CASE WHEN route IN ('sql', 'rag', 'clarify') THEN NULL ELSE 'invalid router response' END AS error
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'rag' WHEN 2 THEN 'clarify' ELSE role END AS route
+      FROM conversations) r""", use_roles=False)
+def q_route_split(t):
+    return A.route_split(_route_requests(t))
+
+
+@register("route_counts", """
+SELECT CASE WHEN route IN ('sql', 'rag', 'clarify') THEN route ELSE 'error' END AS branch, count(*) AS requests
+FROM (SELECT CASE turn % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'rag' WHEN 2 THEN 'clarify' ELSE role END AS route
+      FROM conversations) r GROUP BY 1""", use_roles=False)
+def q_route_counts(t):
+    branches = A.routes(_route_requests(t))
+    parts = [df.agg(F.count(F.lit(1)).alias("requests")).select(F.lit(name).alias("branch"), "requests")
+             for name, df in branches.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("requests") > 0)
+
+
+PLAN_SCHEMA = T.StructType([
+    T.StructField("sql", T.StringType()), T.StructField("clarification", T.StringType()),
+    T.StructField("reason", T.StringType()), T.StructField("date_spec", T.StringType()),
+])
+
+
+def _plans(t):
+    """Plans as JSON text derived from events: every third has no SQL."""
+    e = t.raw("events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    plan = F.struct(
+        F.when(k % 3 != 0, F.concat(F.lit("SELECT count(*) AS n FROM orders -- "), F.col("event_type")))
+        .alias("sql"),
+        F.when(k % 3 == 0, F.when(k % 2 == 0, F.concat(F.lit("Which "), F.col("event_type"), F.lit("?"))))
+        .alias("clarification"),
+        F.col("event_type").alias("reason"),
+    )
+    return e.select(F.col("event_id").alias("request_id"), F.to_json(plan).alias("plan_json"))
+
+
+def _parsed_plans(t):
+    p = _plans(t)
+    return p.select("request_id", F.from_json("plan_json", PLAN_SCHEMA).alias("p")).select("request_id", "p.*")
+
+
+_PLANS_SQL = """
+plans AS (
+  SELECT event_id AS request_id,
+         CASE WHEN k % 3 <> 0 THEN 'SELECT count(*) AS n FROM orders -- ' || event_type END AS sql,
+         CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'Which ' || event_type || '?' END AS clarification,
+         event_type AS reason
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e)
+"""
+
+
+@register("request_plans", "WITH " + _PLANS_SQL + """
+SELECT request_id, sql, clarification, reason, CAST(NULL AS VARCHAR) AS date_spec FROM plans""", use_roles=False)
+def q_request_plans(t):
+    return _parsed_plans(t)
+
+
+@register("clarification_split", "WITH " + _PLANS_SQL + f"""
+SELECT request_id, COALESCE(NULLIF(clarification, ''), '{A.CLARIFY_DEFAULT}') AS clarification
+FROM plans WHERE sql IS NULL""", use_roles=False)
+def q_clarification_split(t):
+    _, clar = A.clarification_split(_parsed_plans(t))
+    return clar.select("request_id", "clarification")
+
+
+# ---- unavailable topics (T4) ----------------------------------------------------
+
+def _questions(t):
+    e = t.raw("events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    q = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.pmod(k, F.lit(len(QUESTIONS))) + 1).cast("int"))
+    return e.select(F.col("event_id").alias("request_id"),
+                    F.concat(q, F.lit(" for "), F.col("event_type")).alias("text"))
+
+
+_Q_SQL = "CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 " + " ".join(
+    f"WHEN {i} THEN '{q}'" for i, q in enumerate(QUESTIONS)) + " END"
+
+
+@register("unavailable_topic", f"""
+SELECT request_id, text, topic FROM (
+  SELECT request_id, text,
+         regexp_replace(lower(regexp_extract(text, '(?i)\\b(net\\s+profit|stock|waste|vat|refund|customer)', 1)),
+                        '\\s+', ' ', 'g') AS topic
+  FROM (SELECT event_id AS request_id, ({_Q_SQL}) || ' for ' || event_type AS text FROM events) q) x
+WHERE topic <> ''""", use_roles=False)
+def q_unavailable_topic(t):
+    return A.unavailable_topic(_questions(t))
+
+
+# ---- name resolution (T6) and catalog match (J8) ---------------------------------
+
+def _name_requests(t):
+    names = t.products.select("name").distinct()
+    v = [
+        ("exact", F.upper("name")),
+        ("first_word", F.split("name", " ")[0]),
+        ("typo", F.concat(F.substring("name", 1, 1), F.expr("substring(name, 3)"))),
+        ("reversed", F.reverse("name")),
+    ]
+    parts = [names.select(F.concat(F.lit(tag + ":"), F.col("name")).alias("request_id"), expr.alias("name"))
+             for tag, expr in v]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+NAMES_SQL = f"""
+nm AS (SELECT DISTINCT name FROM products),
+req AS (SELECT DISTINCT * FROM (
+  SELECT 'exact:' || name AS request_id, upper(name) AS name FROM nm
+  UNION ALL SELECT 'first_word:' || name, split_part(name, ' ', 1) FROM nm
+  UNION ALL SELECT 'typo:' || name, substring(name, 1, 1) || substring(name, 3) FROM nm
+  UNION ALL SELECT 'reversed:' || name, reverse(name) FROM nm) r),
+cat AS (SELECT DISTINCT name AS cand, {FOLD.format('name')} AS f FROM products),
+rq AS (SELECT request_id, name, {FOLD.format('name')} AS rf FROM req),
+cands AS (
+  SELECT rq.request_id, cat.cand,
+         CASE WHEN rq.rf = cat.f THEN 1
+              WHEN contains(' ' || cat.f || ' ', ' ' || rq.rf || ' ') THEN 2
+              WHEN levenshtein(rq.rf, cat.f) <= 2 THEN 3 END AS lvl
+  FROM rq, cat),
+best AS (SELECT request_id, min(lvl) AS b FROM cands WHERE lvl IS NOT NULL GROUP BY request_id),
+top AS (SELECT c.request_id, list_sort(list(DISTINCT c.cand)) AS cs FROM cands c JOIN best USING (request_id)
+        WHERE c.lvl = best.b GROUP BY c.request_id)
+"""
+
+
+@register("resolve_names", ",\n" + NAMES_SQL + """
+SELECT rq.request_id, rq.name,
+       CASE WHEN top.cs IS NULL THEN 'unknown' WHEN len(top.cs) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+       CASE WHEN len(top.cs) = 1 THEN top.cs[1] END AS resolved_name,
+       CASE WHEN len(top.cs) > 1 THEN array_to_string(top.cs, '; ') END AS choices
+FROM rq LEFT JOIN top USING (request_id)""")
+def q_resolve_names(t):
+    return A.resolve_names(_name_requests(t), t.products.select("name"))
+
+
+@register("join_catalog_match", ",\n" + NAMES_SQL + """
+SELECT request_id, cand AS candidate, lvl AS match_level FROM cands WHERE lvl IS NOT NULL""")
+def q_join_catalog_match(t):
+    return A.catalog_candidates(_name_requests(t), t.products.select("name"))
+
+
+# ---- batch answers (T2, T3, T5) ------------------------------------------------
+
+def batch_answers(t):
+    """Every derived request answered in one plan: resolve, report, word the answer."""
+    from ledgerline.functions.calendar import resolve_periods
+
+    req = resolve_periods(event_requests(t), sales.date_range(t)).drop("spec")
+    rng = sales.date_range(t)
+    lo, hi = rng.select("first_date").scalar(), rng.select("last_date").scalar()
+    no_filter = F.col("kind") == "none"
+    req = req.select("request_id", "kind", "error",
+                     F.when(no_filter, lo).otherwise(F.col("date_start")).alias("date_start"),
+                     F.when(no_filter, hi).otherwise(F.col("date_end")).alias("date_end"),
+                     F.when(no_filter, None).otherwise(F.col("date_start")).alias("shown_start"),
+                     F.when(no_filter, None).otherwise(F.col("date_end")).alias("shown_end"))
+    rep = periods.period_report(t, req.where(F.col("error").isNull()))
+    rep, labels = money_columns(rep.drop("kind", "error", "date_start", "date_end"))
+    ok = A.answer_text(rep, "request_id", labels, "shown_start", "shown_end")
+    bad = req.where(F.col("error").isNotNull()).select(
+        "request_id", F.concat(F.lit("The date request could not be resolved: "), F.col("error")).alias("answer"))
+    return ok.unionByName(bad)
+
+
+def _fmt(col: str) -> str:
+    return f"COALESCE(format('{{:,.2f}}', {col}), 'None')"
+
+
+def _txt(col: str) -> str:
+    return f"COALESCE(CAST({col} AS VARCHAR), 'None')"
+
+
+@register("batch_answers", ",\n" + REQUESTS_SQL.strip() + f""",
+rng AS (SELECT min(order_date) AS lo, max(order_date) AS hi FROM s_orders),
+rq AS (SELECT r.request_id, r.kind, r.error,
+              CASE WHEN r.kind = 'none' THEN rng.lo ELSE r.date_start END AS ds,
+              CASE WHEN r.kind = 'none' THEN rng.hi ELSE r.date_end END AS de,
+              CASE WHEN r.kind = 'none' THEN NULL ELSE r.date_start END AS ss,
+              CASE WHEN r.kind = 'none' THEN NULL ELSE r.date_end END AS se
+       FROM res r, rng),
+daily AS (
+  SELECT o.order_date AS day, count(DISTINCT o.order_id) AS orders, sum(i.quantity) AS units,
+         sum(i.quantity * i.unit_price_cents) AS rev, sum(i.quantity * i.unit_cost_cents) AS cost,
+         sum(i.quantity * (i.unit_price_cents - i.unit_cost_cents)) AS profit
+  FROM s_orders o JOIN order_items i USING (order_id) GROUP BY o.order_date),
+rep AS (
+  SELECT q.request_id, q.ss, q.se, CAST(COALESCE(sum(d.orders), 0) AS BIGINT) AS orders, sum(d.units) AS units,
+         round(CAST(sum(d.rev) AS DOUBLE) / 100, 2) AS revenue_pkr,
+         round(CAST(sum(d.cost) AS DOUBLE) / 100, 2) AS estimated_food_cost_pkr,
+         round(CAST(sum(d.profit) AS DOUBLE) / 100, 2) AS estimated_gross_profit_pkr
+  FROM rq q LEFT JOIN daily d ON d.day BETWEEN q.ds AND q.de
+  WHERE q.error IS NULL GROUP BY q.request_id, q.ss, q.se)
+SELECT request_id,
+  COALESCE('Period: ' || CAST(ss AS VARCHAR) || ' to ' || CAST(se AS VARCHAR) || chr(10) || chr(10), '')
+  || 'Orders: ' || {_txt('orders')} || chr(10) || chr(10) || 'Units: ' || {_txt('units')} || chr(10) || chr(10)
+  || 'Revenue pkr: ' || {_fmt('revenue_pkr')} || chr(10) || chr(10)
+  || 'Estimated food cost pkr: ' || {_fmt('estimated_food_cost_pkr')} || chr(10) || chr(10)
+  || 'Estimated gross profit pkr: ' || {_fmt('estimated_gross_profit_pkr')}
+  || chr(10) || chr(10) || '{A.COST_NOTE}' AS answer
+FROM rep
+UNION ALL
+SELECT request_id, 'The date request could not be resolved: ' || error FROM rq WHERE error IS NOT NULL""")
+def q_batch_answers(t):
+    return batch_answers(t)
+
+
+# ---- guarded SELECT (P11, G1-G5) -------------------------------------------------
+
+GUARDED_SQL = """
+SELECT o.branch, count(DISTINCT o.order_id) AS orders, sum(i.quantity) AS units,
+       sum(i.quantity * i.unit_price_cents) AS revenue_cents
+FROM orders o JOIN order_items i ON i.order_id = o.order_id
+WHERE o.order_date BETWEEN :date_start AND :date_end
+GROUP BY o.branch;"""
+GUARD_PERIOD = {"start": "1996-01-01", "end": "1996-12-31"}
+
+
+@register("guarded_select", f"""
+SELECT o.branch, count(DISTINCT o.order_id) AS orders, CAST(sum(i.quantity) AS BIGINT) AS units,
+       round(CAST(sum(i.quantity * i.unit_price_cents) AS DOUBLE) / 100, 2) AS revenue_pkr
+FROM s_orders o JOIN order_items i ON i.order_id = o.order_id
+WHERE o.order_date BETWEEN DATE '{GUARD_PERIOD['start']}' AND DATE '{GUARD_PERIOD['end']}'
+GROUP BY o.branch""")
+def q_guarded_select(t):
+    import datetime as dt
+    period = {k: dt.date.fromisoformat(v) for k, v in GUARD_PERIOD.items()}
+    df, _labels = guarded_select(t.spark, GUARDED_SQL, lambda s: roles.load(s, t.base).views(), period=period)
+    return df
