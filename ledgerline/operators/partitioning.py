@@ -59,3 +59,40 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank
     sends at most k rows per group."""
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running total of ``value`` (>= 0) in ``order`` over the whole frame.
+
+    Range partitioning spreads the rows over tasks in order; each task sums
+    its own rows in Arrow batches (``mapInPandas``, no shuffle), and the
+    offset of a partition is the total of the partitions before it -- a table
+    with one row per partition, so broadcasting it is bounded by the
+    partition count, not by the data.
+    """
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The partition id is taken from the data right after the range exchange
+    # (a task's own index differs, e.g. inside a union).
+    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType(list(r.schema.fields) + [T.StructField(name, T.LongType())])
+
+    def local(batches):
+        acc = 0
+        for pdf in batches:
+            cs = pdf[value].astype("int64").cumsum() + acc
+            if len(cs):
+                acc = int(cs.iloc[-1])
+            pdf[name] = cs
+            yield pdf
+
+    loc = r.mapInPandas(local, schema)
+    part = loc.groupBy("_pid").agg(F.max(name).alias("_tot"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = part.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
+    return (loc.join(F.broadcast(off), "_pid")
+            .withColumn(name, F.col(name) + F.col("_off")).drop("_pid", "_off"))
