@@ -115,7 +115,7 @@ def fixed_mix_shuffle(df: DataFrame, key: str, seed, mix: tuple = ORDER_SIZES, n
 
 def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_col: str = "size",
                              key: str = "order_id", product_key: str = "product_id",
-                             weight_col: str = "weight", max_rounds: int = 64) -> DataFrame:
+                             weight_col: str = "weight", max_rounds: int = 32) -> DataFrame:
     """(order_id, product_id, pick) with ``size`` distinct products per order,
     drawn by weight with repeats redrawn.
 
@@ -125,6 +125,7 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
     draws as many more as it lacks; the loop ends when no order is short
     (``max_rounds`` only guards a weight table with fewer products than some
     order needs). Lineage is cut with ``checkpoint`` after every round.
+    Per-order windows here hold at most the draws of one order in one round.
     """
     units, total = weight_units(products.select(product_key, weight_col), F.col(weight_col), [product_key])
     need = orders.select(key, F.col(size_col).cast("int").alias("_size"))
@@ -134,20 +135,26 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
         short = state.where(F.col("_have") < F.col("_size"))
         if short.limit(1).count() == 0:
             break
-        lack = F.col("_size") - F.col("_have")
-        draws = short.select(key, F.explode(F.sequence(F.col("_used"), F.col("_used") + lack - 1)).alias("_d"))
+        # Draw ahead (8x the shortfall, doubling every round) and accept only
+        # the first ``lack`` new products in draw order: the same result as
+        # drawing one at a time, in a logarithmic number of rounds.
+        ahead = 8 << r
+        short = short.withColumn("_lack", F.col("_size") - F.col("_have")) \
+            .withColumn("_n", (F.col("_size") - F.col("_have")) * ahead)
+        draws = short.select(key, F.explode(F.sequence(F.col("_used"), F.col("_used") + F.col("_n") - 1)).alias("_d"))
         u = uniform32(seed, F.concat(F.col(key).cast("string"), F.lit("|"), F.col("_d").cast("string")))
         picked = (draws.select(key, "_d", F.floor(u * total / TWO32).cast("bigint").alias("x"))
                   .join(units, "x").select(key, "_d", product_key))
-        # first occurrence of each product per order, if not chosen before
         first = picked.groupBy(key, product_key).agg(F.min("_d").alias("_d"))
         if chosen is not None:
             first = first.join(chosen.select(key, product_key), [key, product_key], "left_anti")
-            chosen = chosen.unionByName(first)
-        else:
-            chosen = first
+        order_w = Window.partitionBy(key).orderBy("_d")
+        first = (first.join(short.select(key, "_lack"), key)
+                 .withColumn("_k", F.row_number().over(order_w))
+                 .where(F.col("_k") <= F.col("_lack")).select(key, product_key, "_d"))
+        chosen = first if chosen is None else chosen.unionByName(first)
         got = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_got"))
-        spent = short.select(key, lack.alias("_spent"))
+        spent = short.select(key, F.col("_n").alias("_spent"))
         state = (state.join(got, key, "left").join(spent, key, "left")
                  .select(key, "_size", F.coalesce("_got", F.lit(0)).cast("bigint").alias("_have"),
                          (F.col("_used") + F.coalesce("_spent", F.lit(0))).cast("bigint").alias("_used")))

@@ -82,7 +82,7 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
         if start is None or end is None:
             raise ValueError("fill=True needs both start and end")
         from ledgerline.operators.generate import date_spine
-        spine = date_spine(t.spark, start, end).select(period_key(by)).distinct()
+        spine = date_spine(t.spark, start, end).select(F.col("day").alias("order_date")).select(period_key(by)).distinct()
         name = spine.columns[0]
         out = (spine.join(out, name, "left")
                .select(name, F.coalesce("orders", F.lit(0)).alias("orders"),
