@@ -138,26 +138,39 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric:
 
 def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id: str = "query_id",
                query_text: str = "text", chunk_id: str = "id", chunk_text_col: str = "text") -> DataFrame:
-    """(query_id, rank, id): the ``k`` best chunks per query by BM25; ties by id."""
+    """(query_id, rank, id): the ``k`` best chunks per query by BM25; ties by id.
+
+    Plan: the postings of query-vocabulary terms are hash-partitioned by
+    chunk id once. Term counts per (chunk, term) and scores per (query,
+    chunk) are then aggregated inside those partitions (partitioning on
+    chunk id satisfies both groupings, and broadcast joins keep it), and the
+    top-k window keeps k rows per query per partition before the only other
+    shuffle (by query). The (query x chunk) score table is never shuffled.
+    Small frames (vocabulary, weights, query terms) are all bounded by one
+    size check on the (query, term) table.
+    """
+    from ledgerline.operators.partitioning import row_count_at_most
+
     docs = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("_tok"))
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    avgdl = docs.select(F.avg(F.size("_tok"))).scalar()
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tok")).alias("avgdl"))
+    n_docs = stats.select("n").scalar()
+    avgdl = stats.select("avgdl").scalar()
     qterms = (queries.select(F.col(query_id).alias("query_id"),
                              F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
               .distinct())
-    vocab = broadcast_if_small(qterms.select("term").distinct(), MAX_QUERY_ROWS)
+    bc = F.broadcast if row_count_at_most(qterms, MAX_QUERY_ROWS * 64) else (lambda d: d)
     postings = (docs.select("id", F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-                .join(vocab, "term", "left_semi")
-                .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                .join(bc(qterms.select("term").distinct()), "term", "left_semi")
+                .repartition("id"))
+    tf = postings.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df_t.select("term", idf.alias("idf"))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
-    contrib = (postings.join(weights, "term")
-               .join(broadcast_if_small(qterms, MAX_QUERY_ROWS), "term")
+    weights = bc(df_t.select("term", idf.alias("idf")))
+    tfc, dl = F.col("tf"), F.col("dl")
+    part = tfc * (BM25_K1 + 1) / (tfc + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
+    contrib = (tf.join(weights, "term").join(bc(qterms), "term")
                .select("query_id", "id", (F.col("idf") * part).alias("w")))
-    scores = contrib.groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+    scores = contrib.groupBy("id", "query_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
     ranked = top_k_per_group(scores, "query_id", [F.col("score").desc(), F.col("id")], k)
     return ranked.select("query_id", "rank", "id")
 
