@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import fold_ascii, label_text
-from ledgerline.operators.partitioning import broadcast_if_small
 
 # Route labels and answer sentences.
 ROUTES = ("sql", "rag", "clarify")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import as_date
-from ledgerline.operators.partitioning import number_within, running_sum
+from ledgerline.operators.partitioning import number_within, partitions_for, running_sum
 
 TWO32 = 1 << 32
 # Fixed values of the sales generator (weights and size mix).
@@ -65,7 +65,9 @@ def weight_units(table: DataFrame, weight: Column, keys: list[str]) -> tuple[Dat
     large weighted table is never gathered into one task.
     """
     t = table.select(*keys, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
-    cum = running_sum(t, keys, "_w", "_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
+    n = table.count()
+    cum = (running_sum(t, keys, "_w", "_hi", partitions_for(table.sparkSession, n))
+           .withColumn("_lo", F.col("_hi") - F.col("_w")))
     units = cum.select(*keys, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("x"))
     total = t.select(F.sum("_w")).scalar()
     return units, total
@@ -84,7 +86,8 @@ def weighted_days(spark: SparkSession, start, end, n_orders: int, seed) -> DataF
     x = (uniform32(seed, F.concat(F.lit("day|"), F.col("seq").cast("string"))) * total / TWO32)
     drawn = draws.select("seq", F.floor(x).cast("bigint").alias("x")).join(units, "x").select("day", "seq")
     days = spine.select("day", F.lit(-1).cast("bigint").alias("seq")).unionByName(drawn)
-    return number_within(days, [], ["day", "seq"], "order_id").select("order_id", "day")
+    return (number_within(days, [], ["day", "seq"], "order_id", partitions_for(spark, n_orders))
+            .select("order_id", "day"))
 
 
 def as_date_py(v) -> _dt.date:
@@ -109,7 +112,7 @@ def fixed_mix_shuffle(df: DataFrame, key: str, seed, mix: tuple = ORDER_SIZES, n
     the assignment is a seeded shuffle (rank by hash, then bands of ranks)."""
     n = df.count()
     h = df.withColumn("_h", uniform32(seed, F.col(key)))
-    ranked = number_within(h, [], ["_h", key], "_rank")
+    ranked = number_within(h, [], ["_h", key], "_rank", partitions_for(df.sparkSession, n))
     return ranked.withColumn(name, fixed_mix(F.col("_rank"), n, mix)).drop("_h", "_rank")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import file_stem, normalize_whitespace, tokens
-from ledgerline.operators.partitioning import broadcast_if_small, number_within, top_k_per_group
+from ledgerline.operators.partitioning import number_within, partitions_for, top_k_per_group
 
 # Chunk window and default number of retrieved chunks.
 CHUNK_SIZE = 450
@@ -42,8 +42,9 @@ def page_text(docs: DataFrame, source_col: str = "source", order_col: str = "doc
     in ``order_col`` order. Blank pages (whitespace only) are skipped after
     numbering, as physical pages keep their numbers."""
     keep = keep or []
+    n = docs.count()
     numbered = number_within(docs.select(source_col, order_col, text_col, *keep),
-                             [source_col], [order_col], "page")
+                             [source_col], [order_col], "page", partitions_for(docs.sparkSession, n))
     return numbered.where(normalize_whitespace(F.col(text_col)) != "").select(
         F.col(source_col).alias("source"), F.col("page").cast("int").alias("page"),
         F.col(text_col).alias("text"), *keep)
