@@ -68,8 +68,10 @@ def weight_units(table: DataFrame, weight: Column, keys: list[str]) -> tuple[Dat
     n = table.count()
     cum = (running_sum(t, keys, "_w", "_hi", partitions_for(table.sparkSession, n))
            .withColumn("_lo", F.col("_hi") - F.col("_w")))
-    units = cum.select(*keys, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("x"))
-    total = t.select(F.sum("_w")).scalar()
+    # One row per weight unit: a table sized by the weights, written once to
+    # the checkpoint folder so that every draw reads it instead of recomputing.
+    units = cum.select(*keys, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("x")).checkpoint()
+    total = units.select(F.max("x") + 1).scalar()
     return units, total
 
 
@@ -131,7 +133,8 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
     Per-order windows here hold at most the draws of one order in one round.
     """
     units, total = weight_units(products.select(product_key, weight_col), F.col(weight_col), [product_key])
-    need = orders.select(key, F.col(size_col).cast("int").alias("_size"))
+    # the input is read once: its lineage (shuffles, numbering) is cut here
+    need = orders.select(key, F.col(size_col).cast("int").alias("_size")).checkpoint()
     state = need.select(key, "_size", F.lit(0).cast("bigint").alias("_have"), F.lit(0).cast("bigint").alias("_used"))
     chosen = None
     for r in range(max_rounds):
@@ -155,15 +158,14 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
         first = (first.join(short.select(key, "_lack"), key)
                  .withColumn("_k", F.row_number().over(order_w))
                  .where(F.col("_k") <= F.col("_lack")).select(key, product_key, "_d"))
-        chosen = first if chosen is None else chosen.unionByName(first)
+        # cut lineage each round: round r never recomputes rounds 0..r-1
+        chosen = (first if chosen is None else chosen.unionByName(first)).checkpoint()
         got = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_got"))
         spent = short.select(key, F.col("_n").alias("_spent"))
         state = (state.join(got, key, "left").join(spent, key, "left")
                  .select(key, "_size", F.coalesce("_got", F.lit(0)).cast("bigint").alias("_have"),
-                         (F.col("_used") + F.coalesce("_spent", F.lit(0))).cast("bigint").alias("_used")))
-        # cut lineage so that round r does not recompute rounds 0..r-1
-        chosen = chosen.checkpoint()
-        state = state.checkpoint()
+                         (F.col("_used") + F.coalesce("_spent", F.lit(0))).cast("bigint").alias("_used"))
+                 .checkpoint())
     w = Window.partitionBy(key).orderBy("_d")
     return chosen.withColumn("pick", F.row_number().over(w)).select(key, product_key, "pick")
 

@@ -20,15 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PARTITION = 50_000
 
 
 def partitions_for(spark, n_rows: int) -> int:
-    """Range partitions for ``n_rows`` rows: about ROWS_PER_PARTITION rows
-    each, at most the session's shuffle partitions (an explicit range
-    partition count is not coalesced by AQE, so it is sized here)."""
+    """Range partitions for ``n_rows`` rows: at least the cluster's default
+    parallelism (every core busy), about ROWS_PER_PARTITION rows each beyond
+    that, at most the session's shuffle partitions. An explicit range
+    partition count is not coalesced by AQE, so it is sized here."""
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, n_rows // ROWS_PER_PARTITION + 1))
+    floor = min(cap, spark.sparkContext.defaultParallelism)
+    return max(1, floor, min(cap, n_rows // ROWS_PER_PARTITION + 1))
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
