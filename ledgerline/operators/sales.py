@@ -74,7 +74,7 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     on every day / month of the requested range.
     """
     orders = filter_period(t.orders, start, end)
-    per_order = order_measures(t.order_items).join(orders, "order_id")
+    per_order = order_measures(_lines_of(t, orders, start, end)).join(orders, "order_id")
     key = period_key(by)
     out = (per_order.groupBy(key)
            .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(m).alias(m) for m in MEASURES]))
@@ -90,6 +90,18 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     return out
 
 
+def _lines_of(t: Tables, orders: DataFrame, start=None, end=None) -> DataFrame:
+    """Order lines, reduced to the orders of a period when one is given.
+
+    With a date filter the (few) matching order ids semi-join the lines
+    before any aggregation, so a one-day request does not aggregate every
+    line of the table; AQE broadcasts the id list when it is small.
+    """
+    if start is None and end is None:
+        return t.order_items
+    return t.order_items.join(orders.select("order_id"), "order_id", "left_semi")
+
+
 def yearly_summary(t: Tables) -> DataFrame:
     return summary(t, "year")
 
@@ -118,7 +130,7 @@ def day_summary(t: Tables, day) -> DataFrame:
     still gives one row of zeros (global aggregate, sums COALESCEd).
     """
     o = filter_period(t.orders, day, day).select("order_id")
-    per_order = order_measures(t.order_items)
+    per_order = order_measures(_lines_of(t, o, day, day))
     j = o.join(per_order, "order_id", "left")
     return j.agg(
         F.count(F.lit(1)).alias("orders"),
@@ -129,8 +141,8 @@ def day_summary(t: Tables, day) -> DataFrame:
 
 def period_revenue(t: Tables, start, end) -> DataFrame:
     o = filter_period(t.orders, start, end).select("order_id")
-    items = t.order_items.select("order_id", (F.col("quantity") * F.col("unit_price_cents")).alias("r"))
-    return items.join(o, "order_id").agg(F.sum("r").alias("revenue_cents"))
+    items = _lines_of(t, o, start, end).select("order_id", (F.col("quantity") * F.col("unit_price_cents")).alias("r"))
+    return items.agg(F.sum("r").alias("revenue_cents"))
 
 
 def sales_lines(t: Tables, ordered: bool = False) -> DataFrame:
