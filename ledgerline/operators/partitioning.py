@@ -72,10 +72,10 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running total of ``value`` (>= 0) in ``order`` over the whole frame.
+def running_sum(df: DataFrame, order: list[str], value, name, num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running totals of ``value`` (>= 0) in ``order`` over the whole frame.
 
+    ``value``/``name`` are one column name each, or equal-length lists.
     Range partitioning spreads the rows over tasks in order; each task sums
     its own rows in Arrow batches (``mapInPandas``, no shuffle), and the
     offset of a partition is the total of the partitions before it -- a table
@@ -84,26 +84,32 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str,
     """
     from pyspark.sql import types as T
 
+    values = [value] if isinstance(value, str) else list(value)
+    names = [name] if isinstance(name, str) else list(name)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The partition id is taken from the data right after the range exchange
     # (a task's own index differs, e.g. inside a union).
     r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(list(r.schema.fields) + [T.StructField(name, T.LongType())])
+    schema = T.StructType(list(r.schema.fields) + [T.StructField(c, T.LongType()) for c in names])
 
     def local(batches):
-        acc = 0
+        acc = [0] * len(values)
         for pdf in batches:
-            cs = pdf[value].astype("int64").cumsum() + acc
-            if len(cs):
-                acc = int(cs.iloc[-1])
-            pdf[name] = cs
+            for i, (v, c) in enumerate(zip(values, names)):
+                cs = pdf[v].fillna(0).astype("int64").cumsum() + acc[i]
+                if len(cs):
+                    acc[i] = int(cs.iloc[-1])
+                pdf[c] = cs
             yield pdf
 
     loc = r.mapInPandas(local, schema)
-    part = loc.groupBy("_pid").agg(F.max(name).alias("_tot"))
+    part = loc.groupBy("_pid").agg(*[F.max(c).alias("_tot_" + c) for c in names])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = part.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
-    return (loc.join(F.broadcast(off), "_pid")
-            .withColumn(name, F.col(name) + F.col("_off")).drop("_pid", "_off"))
+    off = part.select("_pid", *[F.coalesce(F.sum("_tot_" + c).over(w), F.lit(0)).alias("_off_" + c)
+                                for c in names])
+    out = loc.join(F.broadcast(off), "_pid")
+    for c in names:
+        out = out.withColumn(c, F.col(c) + F.col("_off_" + c))
+    return out.drop("_pid", *["_off_" + c for c in names])
