@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import as_date
+from ledgerline.session import checkpoint_dir
 from ledgerline.operators.partitioning import number_within, partitions_for, running_sum
 
 TWO32 = 1 << 32
@@ -64,6 +65,7 @@ def weight_units(table: DataFrame, weight: Column, keys: list[str]) -> tuple[Dat
     Cumulative bounds are a distributed running sum (``running_sum``), so a
     large weighted table is never gathered into one task.
     """
+    checkpoint_dir(table.sparkSession)
     t = table.select(*keys, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
     n = table.count()
     cum = (running_sum(t, keys, "_w", "_hi", partitions_for(table.sparkSession, n))
@@ -134,6 +136,7 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
     """
     units, total = weight_units(products.select(product_key, weight_col), F.col(weight_col), [product_key])
     # the input is read once: its lineage (shuffles, numbering) is cut here
+    checkpoint_dir(orders.sparkSession)
     need = orders.select(key, F.col(size_col).cast("int").alias("_size")).checkpoint()
     state = need.select(key, "_size", F.lit(0).cast("bigint").alias("_have"), F.lit(0).cast("bigint").alias("_used"))
     chosen = None
