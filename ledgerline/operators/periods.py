@@ -1,10 +1,10 @@
 """Many calendar requests answered at once.
 
 ``period_join``  -- rows whose date lies inside each request's inclusive
-                    period. Range join written as an equi-join on month
-                    buckets (each period exploded to the months it touches)
-                    with the ``BETWEEN`` kept as a residual filter, so Spark
-                    plans a hash/sort-merge join instead of a nested loop.
+                    period. Range join written as an equi-join on day keys
+                    (short periods) or month keys (long ones) with the
+                    ``BETWEEN`` kept as a residual filter, so Spark plans a
+                    hash/sort-merge join instead of a nested loop.
 
 ``period_report`` -- summary measures per request. Measures are additive
                     over days, so the report needs no (request x order)
@@ -28,19 +28,33 @@ from ledgerline.sources.roles import Tables
 REPORT_MEASURES = ("orders",) + sales.MEASURES
 
 
+SHORT_PERIOD_DAYS = 62
+
+
 def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
                 start_col: str = "date_start", end_col: str = "date_end") -> DataFrame:
     """Inner range join: fact rows with ``start <= date <= end``.
 
+    Each period is exploded into bucket keys -- its days when it spans at
+    most SHORT_PERIOD_DAYS days, else the first days of the months it
+    touches -- and every fact row carries both its day key and its month
+    key, tagged. One equi-join on (tag, key) then pairs a period only with
+    facts of its own days or months, and ``BETWEEN`` trims the edge months.
     A period with a NULL bound, or with end before start, matches nothing.
     """
     s, e = F.col(start_col), F.col(end_col)
-    months = F.explode(F.when(s <= e, F.sequence(F.trunc(s, "MM"), F.trunc(e, "MM"),
-                                                  F.expr("INTERVAL 1 MONTH"))))
-    p = periods.select("*", months.alias("_bucket"))
-    f = facts.withColumn("_bucket", F.trunc(F.col(date_col), "MM"))
-    j = p.join(f, "_bucket").where(F.col(date_col).between(F.col(start_col), F.col(end_col)))
-    return j.drop("_bucket")
+    short = F.datediff(e, s) < SHORT_PERIOD_DAYS
+    keys = F.when(s <= e, F.when(
+        short, F.transform(F.sequence(s, e), lambda d: F.struct(F.lit("d").alias("tag"), d.alias("key"))))
+        .otherwise(F.transform(F.sequence(F.trunc(s, "MM"), F.trunc(e, "MM"), F.expr("INTERVAL 1 MONTH")),
+                               lambda d: F.struct(F.lit("m").alias("tag"), d.alias("key")))))
+    p = periods.select("*", F.inline(keys).alias("_tag", "_key"))
+    d = F.col(date_col)
+    f = facts.select("*", F.inline(F.array(F.struct(F.lit("d").alias("tag"), d.alias("key")),
+                                           F.struct(F.lit("m").alias("tag"), F.trunc(d, "MM").alias("key"))))
+                     .alias("_tag", "_key"))
+    j = p.join(f, ["_tag", "_key"]).where(d.between(s, e))
+    return j.drop("_tag", "_key")
 
 
 def daily_running_totals(t: Tables) -> DataFrame:

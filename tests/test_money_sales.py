@@ -72,3 +72,15 @@ def test_fill_gives_every_day(tables):
     assert out.count() == 11
     gap = out.where(F.col("day") == dt.date(1997, 10, 25)).first()
     assert gap["orders"] == 0
+
+
+def test_period_join_matches_brute_force(spark, tables):
+    from ledgerline.operators.periods import period_join
+    periods = [(1, dt.date(1996, 3, 1), dt.date(1996, 3, 1)), (2, dt.date(1996, 2, 20), dt.date(1996, 4, 5)),
+               (3, dt.date(1995, 12, 15), dt.date(1996, 6, 30)), (4, None, dt.date(1996, 1, 1)),
+               (5, dt.date(1996, 5, 2), dt.date(1996, 5, 1))]
+    pdf = spark.createDataFrame(periods, "pid int, date_start date, date_end date")
+    got = sorted((r["pid"], r["order_id"]) for r in period_join(pdf, tables.orders, "order_date").collect())
+    orders = [(r["order_id"], r["order_date"]) for r in tables.orders.collect()]
+    want = sorted((pid, oid) for pid, s, e in periods if s and e for oid, d in orders if s <= d <= e)
+    assert got == want
