@@ -57,6 +57,13 @@ def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
     return j.drop("_tag", "_key")
 
 
+def _spine_bounds(t: Tables):
+    """(lo, hi) as scalar subqueries: the day before the first order date and
+    the last order date (a scan of the orders' date column only)."""
+    rng = sales.date_range(t)
+    return (rng.select(F.date_sub("first_date", 1)).scalar(), rng.select("last_date").scalar())
+
+
 def daily_running_totals(t: Tables) -> DataFrame:
     """(day, running totals of orders and measures) for every calendar day.
 
@@ -68,8 +75,8 @@ def daily_running_totals(t: Tables) -> DataFrame:
     ``partitioning.running_sum`` instead.
     """
     daily = sales.summary(t, "day")
-    bounds = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = bounds.select(F.explode(F.sequence(F.date_sub("lo", 1), F.col("hi"))).alias("day"))
+    lo, hi = _spine_bounds(t)
+    spine = t.spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = spine.join(daily, "day", "left")
     return filled.select("day", *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(w).alias(m)
@@ -84,9 +91,7 @@ def period_report(t: Tables, periods: DataFrame, start_col: str = "date_start",
     orders 0, sums NULL (as SUM over no rows).
     """
     cum = daily_running_totals(t)
-    lo_hi = cum.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    lo = lo_hi.select("lo").scalar()
-    hi = lo_hi.select("hi").scalar()
+    lo, hi = _spine_bounds(t)
     s, e = F.col(start_col), F.col(end_col)
     req = periods.select(
         "*",
