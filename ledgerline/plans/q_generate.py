@@ -109,7 +109,26 @@ def _menu(t):
                     (F.col("product_id") % 12 + 1).alias("weight")))
 
 
-@register("weighted_sample_distinct")
+SAMPLE_SQL = f"""
+sized AS (
+  SELECT order_id, CASE WHEN rn <= n * 2 // 5 THEN 1 WHEN rn <= n * 2 // 5 + n // 5 THEN 2 ELSE 3 END AS size
+  FROM (SELECT order_id, row_number() OVER (ORDER BY {_u_sql('order_id')}, order_id) AS rn,
+               (SELECT count(*) FROM s_orders) AS n FROM s_orders) r),
+menu AS (SELECT p.product_id, p.product_id % 12 + 1 AS w FROM products p
+         WHERE p.product_id IN (SELECT product_id FROM recipe_items)),
+cumw AS (SELECT product_id, sum(w) OVER (ORDER BY product_id) AS hi, sum(w) OVER (ORDER BY product_id) - w AS lo FROM menu),
+draws AS (SELECT s.order_id, s.size, d,
+                 ({_u_sql("CAST(s.order_id AS VARCHAR) || '|' || d")} * (SELECT sum(w) FROM menu)) // {G.TWO32} AS x
+          FROM sized s, (SELECT unnest(range(0, 64)) AS d) dd),
+picked AS (SELECT dr.order_id, dr.size, c.product_id, min(dr.d) AS first_d
+           FROM draws dr JOIN cumw c ON dr.x >= c.lo AND dr.x < c.hi GROUP BY 1, 2, 3),
+ranked AS (SELECT order_id, product_id, size, row_number() OVER (PARTITION BY order_id ORDER BY first_d) AS pick
+           FROM picked)
+"""
+
+
+@register("weighted_sample_distinct", ",\n" + SAMPLE_SQL + """
+SELECT order_id, product_id, pick FROM ranked WHERE pick <= size""")
 def q_weighted_sample_distinct(t):
     sized = G.fixed_mix_shuffle(t.orders.select("order_id"), "order_id", SEED)
     return G.weighted_sample_distinct(sized, _menu(t), SEED)
