@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import quality_rules, simhash_dedup
+from ledgerline.llm import mixing, quality_rules, sharding, simhash_dedup
 from ledgerline.llm.common import table
 
 # Words as the operators split them, in DuckDB's regular expressions.
 WORD_SQL = "[^\\x20\\x09-\\x0D]+"
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -28,6 +32,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def _rule_sql(r: quality_rules.Rule) -> str:
     ratio = f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator} / {r.denominator} ELSE 0.0 END)"
     parts = [f"{ratio} >= {r.low}"] * (r.low is not None) + [f"{ratio} <= {r.high}"] * (r.high is not None)
@@ -65,8 +73,10 @@ FROM b"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
