@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, language_id, mixing, quality_rules, sharding, simhash_dedup
+from ledgerline.llm import decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash_dedup
 from ledgerline.llm.common import table
 
 # Words as the operators split them, in DuckDB's regular expressions.
@@ -45,6 +45,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def _rule_sql(r: quality_rules.Rule) -> str:
     ratio = f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator} / {r.denominator} ELSE 0.0 END)"
     parts = [f"{ratio} >= {r.low}"] * (r.low is not None) + [f"{ratio} <= {r.high}"] * (r.high is not None)
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
