@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash_dedup
+from ledgerline.llm import decontaminate, html_extract, language_id, line_dedup, mixing, quality_rules, sharding, simhash_dedup
 from ledgerline.llm.common import table
 
 # Words as the operators split them, in DuckDB's regular expressions.
@@ -45,6 +45,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_html_extract": op10_html_extract,
 }
 
