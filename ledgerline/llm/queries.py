@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup
+from ledgerline.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
 from ledgerline.llm.common import table
 
 # Words as the operators split them, in DuckDB's regular expressions.
@@ -31,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
