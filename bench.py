@@ -26,7 +26,7 @@ HEADLINE = [
     "resolve_periods", "period_report", "join_period", "batch_answers",
     "check_unique", "check_foreign_keys", "check_date_coverage", "update_correlated", "upsert_by_key",
     "chunk_records", "vector_top_k", "text_top_k", "index_upsert",
-    "resolve_names", "guarded_select", "weighted_days", "generate_sales",
+    "resolve_names", "guarded_select", "fixed_mix_shuffle", "weighted_sample_distinct",
 ]
 
 

@@ -1,4 +1,4 @@
-"""Synthetic sales at any size, generated with Spark (no driver loop over rows).
+"""Seeded draws over tables: weighted choice, exact mixes, distinct weighted samples.
 
 Randomness is a seeded hash: ``uniform32(seed, key)`` takes the first 8 hex
 digits of ``md5(seed|key)`` -- a value in 0..2^32-1 that any engine can
@@ -6,30 +6,28 @@ repeat. A weighted choice compares ``u * W`` with ``C_i * 2^32`` in integer
 arithmetic (``C_i`` cumulative integer weights, ``W`` their total), so no
 floating-point boundary can differ between runs or engines.
 
-Drawing from a weighted table (days, products) is an equi-join: the table is
-expanded into its weight units ``x = 0..W-1`` (one row per unit, a size fixed
-by the table and its weights) and each draw looks up ``x = u * W div 2^32``.
+Drawing from a weighted table is an equi-join: every row covers the interval
+[lo, hi) of its cumulative weight; the axis 0..W-1 is cut into equal cells, a
+row stands in the cells that its interval touches (rows + cells in all,
+whatever the weights), and a draw ``x = u * W div 2^32`` looks up its cell.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import as_date
 from ledgerline.session import checkpoint_dir
-from ledgerline.operators.partitioning import number_within, partitions_for, running_sum
+from ledgerline.operators.partitioning import number_within, running_sum
 
 TWO32 = 1 << 32
-# Fixed values of the sales generator (weights and size mix).
+# Draws ahead per missing product in one round, at most.
+MAX_AHEAD = 1024
+# Fixed values of the sales laws (weights and size mix).
 BRANCHES = (("Suwaiq", 60), ("Farid", 40))
 PAYMENTS = (("Cash", 35), ("Card", 65))
-QUANTITIES = ((1, 65), (2, 25), (3, 8), (4, 2))
 ORDER_SIZES = ((1, 2), (2, 1), (3, 2))          # 1400 : 700 : 1400
-WEEKEND_DAYS = (4, 5)                             # Friday, Saturday (Monday = 0)
-WEEKEND_WEIGHT_TENTHS, DAY_WEIGHT_TENTHS = 16, 10  # weight 1.6 vs 1
 
 
 def uniform32(seed, key: Column) -> Column:
@@ -55,47 +53,22 @@ def date_spine(spark: SparkSession, start, end) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(as_date(start), as_date(end))).alias("day"))
 
 
-def day_weight() -> Column:
-    return F.when(F.weekday("day").isin(*WEEKEND_DAYS), WEEKEND_WEIGHT_TENTHS).otherwise(DAY_WEIGHT_TENTHS)
-
-
-def weight_units(table: DataFrame, weight: Column, keys: list[str]) -> tuple[DataFrame, Column]:
-    """(x, keys...) with one row per weight unit, and the total weight as a scalar.
+def weight_cells(table: DataFrame, weight: Column, key: str) -> tuple[DataFrame, int, int]:
+    """((cell, lo, hi, key) rows, total weight, cell width) of a weighted table.
 
     Cumulative bounds are a distributed running sum (``running_sum``), so a
     large weighted table is never gathered into one task.
     """
     checkpoint_dir(table.sparkSession)
-    t = table.select(*keys, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
-    n = table.count()
-    cum = (running_sum(t, keys, "_w", "_hi", partitions_for(table.sparkSession, n))
-           .withColumn("_lo", F.col("_hi") - F.col("_w")))
-    # One row per weight unit: a table sized by the weights, written once to
-    # the checkpoint folder so that every draw reads it instead of recomputing.
-    units = cum.select(*keys, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("x")).checkpoint()
-    total = units.select(F.max("x") + 1).scalar()
-    return units, total
-
-
-def weighted_days(spark: SparkSession, start, end, n_orders: int, seed) -> DataFrame:
-    """``n_orders`` order dates: every day once, the rest drawn with weight 1.6
-    on Friday/Saturday and 1 otherwise; ``order_id`` 1..n in date order."""
-    spine = date_spine(spark, start, end)
-    n_days = (as_date_py(end) - as_date_py(start)).days + 1
-    extra = n_orders - n_days
-    if extra < 0:
-        raise ValueError("fewer orders than days")
-    units, total = weight_units(spine, day_weight(), ["day"])
-    draws = spark.range(extra).select(F.col("id").alias("seq"))
-    x = (uniform32(seed, F.concat(F.lit("day|"), F.col("seq").cast("string"))) * total / TWO32)
-    drawn = draws.select("seq", F.floor(x).cast("bigint").alias("x")).join(units, "x").select("day", "seq")
-    days = spine.select("day", F.lit(-1).cast("bigint").alias("seq")).unionByName(drawn)
-    return (number_within(days, [], ["day", "seq"], "order_id", partitions_for(spark, n_orders))
-            .select("order_id", "day"))
-
-
-def as_date_py(v) -> _dt.date:
-    return v if isinstance(v, _dt.date) else _dt.date.fromisoformat(str(v))
+    t = table.select(key, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
+    cum = running_sum(t, [key], "_w", "hi").select(key, (F.col("hi") - F.col("_w")).alias("lo"), "hi")
+    n, total = cum.agg(F.count(F.lit(1)), F.coalesce(F.max("hi"), F.lit(0))).first()
+    if total >= 1 << 31:
+        raise ValueError("total weight must be below 2^31 (scale the weights down)")
+    width = max(1, total // max(1, n))
+    cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    # read by every round of draws
+    return cells.select("cell", "lo", "hi", key).checkpoint(), total, width
 
 
 def fixed_mix(n_col: Column, n_total: int, mix: tuple = ORDER_SIZES) -> Column:
@@ -116,44 +89,49 @@ def fixed_mix_shuffle(df: DataFrame, key: str, seed, mix: tuple = ORDER_SIZES, n
     the assignment is a seeded shuffle (rank by hash, then bands of ranks)."""
     n = df.count()
     h = df.withColumn("_h", uniform32(seed, F.col(key)))
-    ranked = number_within(h, [], ["_h", key], "_rank", partitions_for(df.sparkSession, n))
+    ranked = number_within(h, [], ["_h", key], "_rank")
     return ranked.withColumn(name, fixed_mix(F.col("_rank"), n, mix)).drop("_h", "_rank")
 
 
 def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_col: str = "size",
                              key: str = "order_id", product_key: str = "product_id",
-                             weight_col: str = "weight", max_rounds: int = 32) -> DataFrame:
+                             weight_col: str = "weight") -> DataFrame:
     """(order_id, product_id, pick) with ``size`` distinct products per order,
     drawn by weight with repeats redrawn.
 
     The draws of an order form one seeded i.i.d. sequence; the result is its
     first ``size`` distinct values, which is exactly "draw, redraw repeats".
     The sequence is consumed in rounds: every order still short of products
-    draws as many more as it lacks; the loop ends when no order is short
-    (``max_rounds`` only guards a weight table with fewer products than some
-    order needs). Lineage is cut with ``checkpoint`` after every round.
-    Per-order windows here hold at most the draws of one order in one round.
+    draws ahead; the loop ends when no order is short. An order that wants
+    more products than have a weight is refused before the first draw.
+    Lineage is cut with ``checkpoint`` after every round. Per-order windows
+    here hold at most the draws of one order in one round.
     """
-    units, total = weight_units(products.select(product_key, weight_col), F.col(weight_col), [product_key])
+    cells, total, width = weight_cells(products.select(product_key, weight_col), F.col(weight_col), product_key)
     # the input is read once: its lineage (shuffles, numbering) is cut here
-    checkpoint_dir(orders.sparkSession)
     need = orders.select(key, F.col(size_col).cast("int").alias("_size")).checkpoint()
+    largest = need.agg(F.max("_size")).first()[0] or 0
+    drawable = cells.select(product_key).distinct().count()
+    if largest > drawable:
+        raise ValueError(f"an order wants {largest} distinct products, {drawable} have a weight")
     state = need.select(key, "_size", F.lit(0).cast("bigint").alias("_have"), F.lit(0).cast("bigint").alias("_used"))
-    chosen = None
-    for r in range(max_rounds):
+    chosen, r = None, 0
+    while True:
         short = state.where(F.col("_have") < F.col("_size"))
         if short.limit(1).count() == 0:
             break
-        # Draw ahead (8x the shortfall, doubling every round) and accept only
-        # the first ``lack`` new products in draw order: the same result as
-        # drawing one at a time, in a logarithmic number of rounds.
-        ahead = 8 << r
+        # Draw ahead of the shortfall, further every round up to a bound, and
+        # accept only the first ``lack`` new products in draw order: the same
+        # result as drawing one at a time, in few rounds.
+        ahead = min(8 << r, MAX_AHEAD)
+        r += 1
         short = short.withColumn("_lack", F.col("_size") - F.col("_have")) \
             .withColumn("_n", (F.col("_size") - F.col("_have")) * ahead)
         draws = short.select(key, F.explode(F.sequence(F.col("_used"), F.col("_used") + F.col("_n") - 1)).alias("_d"))
         u = uniform32(seed, F.concat(F.col(key).cast("string"), F.lit("|"), F.col("_d").cast("string")))
-        picked = (draws.select(key, "_d", F.floor(u * total / TWO32).cast("bigint").alias("x"))
-                  .join(units, "x").select(key, "_d", product_key))
+        x = draws.select(key, "_d", F.shiftright(u * total, 32).alias("x"))
+        picked = (x.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell")
+                  .where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select(key, "_d", product_key))
         first = picked.groupBy(key, product_key).agg(F.min("_d").alias("_d"))
         if chosen is not None:
             first = first.join(chosen.select(key, product_key), [key, product_key], "left_anti")
@@ -169,32 +147,8 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
                  .select(key, "_size", F.coalesce("_got", F.lit(0)).cast("bigint").alias("_have"),
                          (F.col("_used") + F.coalesce("_spent", F.lit(0))).cast("bigint").alias("_used"))
                  .checkpoint())
+    if chosen is None:
+        kind = products.schema[product_key].dataType
+        return need.where(F.lit(False)).select(key, F.lit(None).cast(kind).alias(product_key), F.lit(0).alias("pick"))
     w = Window.partitionBy(key).orderBy("_d")
     return chosen.withColumn("pick", F.row_number().over(w)).select(key, product_key, "pick")
-
-
-def generate_sales(spark: SparkSession, products: DataFrame, start, end, n_orders: int,
-                   seed=70002027) -> tuple[DataFrame, DataFrame]:
-    """(orders, order_items) following the reference's laws at any size.
-
-    ``products`` needs product_id, price_cents, unit_cost_cents and an
-    integer ``weight``. Every day of [start, end] has an order; the rest of
-    the dates lean to Friday/Saturday; branch 60/40, payment 35/65; order
-    sizes 1/2/3 in exact proportion 2:1:2; distinct products by weight;
-    quantity 1..4 with weights 65/25/8/2; price and cost frozen from the product.
-    """
-    days = weighted_days(spark, start, end, n_orders, seed)
-    orders = days.select(
-        F.col("order_id"), F.col("day").alias("order_date"),
-        weighted_choice(uniform32(seed, F.concat(F.lit("branch|"), F.col("order_id"))), BRANCHES).alias("branch"),
-        weighted_choice(uniform32(seed, F.concat(F.lit("pay|"), F.col("order_id"))), PAYMENTS)
-        .alias("payment_method"))
-    sized = fixed_mix_shuffle(orders.select("order_id"), "order_id", seed)
-    picks = weighted_sample_distinct(sized, products, seed)
-    lines = picks.join(products.select("product_id", "price_cents", "unit_cost_cents"), "product_id")
-    items = lines.select(
-        "order_id", F.col("pick").alias("line_number"), "product_id",
-        weighted_choice(uniform32(seed, F.concat(F.lit("qty|"), F.col("order_id"), F.lit("|"), F.col("pick"))),
-                        QUANTITIES).cast("bigint").alias("quantity"),
-        F.col("price_cents").alias("unit_price_cents"), "unit_cost_cents")
-    return orders, items

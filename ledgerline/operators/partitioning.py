@@ -1,67 +1,71 @@
-"""Distributed numbering and size-checked broadcast.
+"""Distributed numbering, running totals and top-k.
 
 ``number_within`` replaces ``row_number() OVER (PARTITION BY g ORDER BY o)``
-where one group may hold a large share of all rows. A window would put a
-whole group into one task; here the rows are range-partitioned on (g, o), so
-a hot group spreads over many tasks, and each row's position is its local
-position plus the number of rows of its group in earlier partitions. That
-offset table has one row per (partition, group) segment -- at most
-partitions + groups rows -- and its window runs per group over at most
-``partitions`` rows.
-
-``broadcast_if_small`` hints a broadcast only after counting (with a
-``limit``) that the frame has at most ``max_rows`` rows; beyond that the
-frame is returned unchanged and the join shuffles.
+where one group may hold a large share of all rows, ``running_sum`` replaces
+a running total over a whole frame. Both cut the order into bins by plain
+arithmetic on the first order column, so a row's bin is a column expression
+of that row: nothing depends on partition ids, on sampling or on which
+attempt of a task ran. A window numbers (or sums) the rows of one bin, and
+the bins before it add their counts (or totals), a table with one row per
+bin and group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-DEFAULT_BROADCAST_ROWS = 1_000_000
-ROWS_PER_PARTITION = 50_000
-
-
-def partitions_for(spark, n_rows: int) -> int:
-    """Range partitions for ``n_rows`` rows: at least the cluster's default
-    parallelism (every core busy), about ROWS_PER_PARTITION rows each beyond
-    that, at most the session's shuffle partitions. An explicit range
-    partition count is not coalesced by AQE, so it is sized here."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = min(cap, spark.sparkContext.defaultParallelism)
-    return max(1, floor, min(cap, n_rows // ROWS_PER_PARTITION + 1))
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+from pyspark.sql import types as T
+
+ROWS_PER_BIN = 50_000
+PREFIX_BYTES = 6
+
+
+def _measure(df: DataFrame, column: str) -> Column:
+    """A number that never falls as ``column`` rises."""
+    c, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, PREFIX_BYTES))
+        return F.conv(F.rpad(head, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+    raise TypeError(f"cannot bin column {column} of type {kind.simpleString()}")
+
+
+def _with_bin(df: DataFrame, column: str, bin_: str, rows_per_bin: int) -> DataFrame:
+    """``df`` with the number of its equal-width bin; nulls come first, as in a sort."""
+    m = _measure(df, column)
+    n, lo, hi = df.select(m.alias("m")).agg(F.count(F.lit(1)), F.min("m"), F.max("m")).first()
+    bins = max(1, -(-n // rows_per_bin))
+    if lo is None or hi <= lo:
+        return df.withColumn(bin_, F.when(m.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    at = F.floor((m - F.lit(float(lo))) / F.lit((hi - lo) / bins))
+    return df.withColumn(bin_, F.when(m.isNull(), F.lit(-1)).otherwise(F.least(at, F.lit(bins - 1))).cast("long"))
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], name: str = "pos",
-                  num_partitions: int | None = None) -> DataFrame:
+                  rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """1-based position of each row inside its group, by ``order``.
 
     ``order`` must make rows unique inside a group (ties would have no
-    defined position). ``group`` may be empty: one global numbering.
+    defined position). ``group`` may be empty: one global numbering. A null
+    is a group of its own.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, *order]
-    r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    seg = r.groupBy("_pid", *group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_pid") if group else Window.orderBy("_pid")
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                            F.lit(0)))
-    seg = broadcast_if_small(seg.select("_pid", *group, "_first", "_off"))
-    out = r.join(seg, ["_pid", *group])
-    return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first") + 1)
-            .drop("_pid", "_mid", "_first", "_off"))
+    binned = _with_bin(df, order[0], "_bin", rows_per_bin)
+    local = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(*order))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bin").alias("_b"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)],
+                  F.col("_bin") == F.col("_b"))
+    out = binned.withColumn(name, local).join(offsets, same)
+    return out.select(*[c for c in df.columns if c != name], (F.col("_before") + F.col(name)).alias(name))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -72,44 +76,23 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def running_sum(df: DataFrame, order: list[str], value, name, num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running totals of ``value`` (>= 0) in ``order`` over the whole frame.
+def running_sum(df: DataFrame, order: list[str], value, name, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Inclusive running totals of ``value`` in ``order`` over the whole frame.
 
-    ``value``/``name`` are one column name each, or equal-length lists.
-    Range partitioning spreads the rows over tasks in order; each task sums
-    its own rows in Arrow batches (``mapInPandas``, no shuffle), and the
-    offset of a partition is the total of the partitions before it -- a table
-    with one row per partition, so broadcasting it is bounded by the
-    partition count, not by the data.
+    ``value``/``name`` are one column name each, or equal-length lists. A null
+    value counts as 0. ``order`` must make the rows unique.
     """
-    from pyspark.sql import types as T
-
     values = [value] if isinstance(value, str) else list(value)
     names = [name] if isinstance(name, str) else list(name)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The partition id is taken from the data right after the range exchange
-    # (a task's own index differs, e.g. inside a union).
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(list(r.schema.fields) + [T.StructField(c, T.LongType()) for c in names])
-
-    def local(batches):
-        acc = [0] * len(values)
-        for pdf in batches:
-            for i, (v, c) in enumerate(zip(values, names)):
-                cs = pdf[v].fillna(0).astype("int64").cumsum() + acc[i]
-                if len(cs):
-                    acc[i] = int(cs.iloc[-1])
-                pdf[c] = cs
-            yield pdf
-
-    loc = r.mapInPandas(local, schema)
-    part = loc.groupBy("_pid").agg(*[F.max(c).alias("_tot_" + c) for c in names])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = part.select("_pid", *[F.coalesce(F.sum("_tot_" + c).over(w), F.lit(0)).alias("_off_" + c)
-                                for c in names])
-    out = loc.join(F.broadcast(off), "_pid")
-    for c in names:
-        out = out.withColumn(c, F.col(c) + F.col("_off_" + c))
-    return out.drop("_pid", *["_off_" + c for c in names])
+    binned = _with_bin(df, order[0], "_bin", rows_per_bin)
+    inside = Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(F.col("_bin").alias("_b")).agg(
+        *[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"_t{i}") for i, v in enumerate(values)])
+    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}")
+                                    for i in range(len(values))])
+    local = binned.withColumns({f"_s{i}": F.sum(F.coalesce(F.col(v), F.lit(0))).over(inside)
+                                for i, v in enumerate(values)})
+    out = local.join(offsets, F.col("_bin") == F.col("_b"))
+    return out.select(*[c for c in df.columns if c not in names],
+                      *[(F.col(f"_o{i}") + F.col(f"_s{i}")).cast("long").alias(c) for i, c in enumerate(names)])

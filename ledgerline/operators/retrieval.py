@@ -3,25 +3,30 @@
 Chunking is a pure column expression (``sequence`` of window starts +
 ``posexplode`` + ``substring``): one row in, its chunks out, no shuffle.
 
-Vector retrieval is exact: the query set is broadcast (after a size check)
-to every partition of the vectors, distances are computed with higher-order
-array functions (JVM-side), and the per-query top-k is a window whose
-``rank <= k`` filter becomes a WindowGroupLimit below the shuffle.
+Vector retrieval is exact: the queries are cut into blocks of bounded bytes,
+each block is broadcast, and every batch of vectors is compared with it as a
+matrix (Arrow batches); a batch hands on its k nearest per query, so what is
+shuffled is k rows per query and batch, never all pairs.
 
 Text retrieval scores with Okapi BM25 (our choice: the reference's embedder
-is a model that is not part of it). Only postings of terms that occur in
-some query are kept -- a broadcast semi-join on the query vocabulary -- so a
-very common term never has to be shuffled by term; scores are summed per
-(query, chunk) with partial aggregation, then the same top-k window.
+is a model that is not part of it). The chunk index is materialised once;
+postings of terms that occur in no query are dropped, scores are summed per
+(query, chunk) inside chunk partitions, then the top-k window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.functions.text import file_stem, normalize_whitespace, tokens
-from ledgerline.operators.partitioning import number_within, partitions_for, top_k_per_group
+from ledgerline.operators.partitioning import number_within, top_k_per_group
+from ledgerline.session import checkpoint_dir
 
 # Chunk window and default number of retrieved chunks.
 CHUNK_SIZE = 450
@@ -30,8 +35,8 @@ TOP_K = 3
 # BM25 parameters (the usual defaults).
 BM25_K1 = 1.2
 BM25_B = 0.75
-SCORE_DIGITS = 9
-MAX_QUERY_ROWS = 100_000
+# Query vectors compared at once: bytes of one broadcast block.
+QUERY_BLOCK_BYTES = 16 << 20
 
 
 # ---- pages and chunks ----------------------------------------------------------
@@ -42,9 +47,7 @@ def page_text(docs: DataFrame, source_col: str = "source", order_col: str = "doc
     in ``order_col`` order. Blank pages (whitespace only) are skipped after
     numbering, as physical pages keep their numbers."""
     keep = keep or []
-    n = docs.count()
-    numbered = number_within(docs.select(source_col, order_col, text_col, *keep),
-                             [source_col], [order_col], "page", partitions_for(docs.sparkSession, n))
+    numbered = number_within(docs.select(source_col, order_col, text_col, *keep), [source_col], [order_col], "page")
     return numbered.where(normalize_whitespace(F.col(text_col)) != "").select(
         F.col(source_col).alias("source"), F.col("page").cast("int").alias("page"),
         F.col(text_col).alias("text"), *keep)
@@ -89,50 +92,92 @@ def chunk_records(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
 
 # ---- vector retrieval ----------------------------------------------------------
 
-def _distance(metric: str, a: Column, b: Column) -> Column:
-    """Smaller is nearer. l2: squared Euclidean; cosine: 1 - cos; ip: -dot."""
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")),
-                           F.lit(0.0), lambda s, z: s + z)
+def _distances(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """(queries, vectors) distances, smaller is nearer. l2: squared Euclidean; cosine: 1 - cos; ip: -dot.
+
+    Every entry is summed over the dimensions in order, so equal vectors get
+    equal distances whatever batch they stand in.
+    """
+    out = np.zeros((len(queries), len(vectors)))
     if metric == "l2":
-        diff = F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double"))
-                          * (u.cast("double") - v.cast("double")))
-        return F.aggregate(diff, F.lit(0.0), lambda s, z: s + z)
-    if metric == "cosine":
-        return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        for d in range(queries.shape[1]):
+            diff = queries[:, d, None] - vectors[None, :, d]
+            out += diff * diff
+        return out
+    for d in range(queries.shape[1]):
+        out += queries[:, d, None] * vectors[None, :, d]
     if metric == "ip":
-        return -dot(a, b)
+        return -out
+    if metric == "cosine":
+        def length(x):
+            s = np.zeros(len(x))
+            for d in range(x.shape[1]):
+                s += x[:, d] * x[:, d]
+            return np.sqrt(s)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1 - out / (length(queries)[:, None] * length(vectors)[None, :])
     raise ValueError(f"unknown metric {metric}")
 
 
+def _nearest(metric: str, qid: list, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
+    """(query ids, vector ids, distances): the k nearest of a batch for each query, ties by id."""
+    order = np.argsort(vid, kind="stable")
+    vid, v = vid[order], v[order]
+    d = _distances(metric, q, v)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    n = best.shape[1]
+    return [x for x in qid for _ in range(n)], vid[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric: str = "l2",
                  query_id: str = "query_id", query_vec: str = "embedding",
                  vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id) for the ``min(k, count)`` nearest vectors.
+    """(query_id, rank, vec_id) for the ``min(k, count)`` nearest vectors of the query's dimension.
 
-    Ties are broken by the lower id. Distances are rounded to 9 decimal
-    places before ranking so that summation noise cannot reorder equal
-    distances. Raises when the collection is empty.
+    Ranked by the exact double distance, then the lower id. Null vectors take
+    no part. Raises when the collection is empty. The queries are read in
+    blocks of QUERY_BLOCK_BYTES, one scan of the vectors for each block.
     """
-    if vectors.limit(1).count() == 0:
-        raise RuntimeError("the vector collection is empty")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("_v"))
-    # The query set is broadcast in slices of at most MAX_QUERY_ROWS rows, so
-    # every slice is a broadcast join (each vector partition scores the slice
-    # locally) however many queries there are; results are exact.
-    n_q = q.count()
-    slices = max(1, -(-n_q // MAX_QUERY_ROWS))
+    require_rows(vectors, "vector in the collection")
+    spark = vectors.sparkSession
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("q")).where("q IS NOT NULL")
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    blocks = max(1, -(-n * (8 * (width or 1) + 64) // QUERY_BLOCK_BYTES))
+    q_type, v_type = q.schema["query_id"].dataType.simpleString(), v.schema["vec_id"].dataType.simpleString()
+    schema = f"query_id {q_type}, vec_id {v_type}, distance double"
+    q_arrow = to_arrow_type(q.schema["query_id"].dataType)
+
+    def compared(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_size: dict[int, tuple[list, list]] = {}
+            for i, x in block.value:
+                ids, rows = by_size.setdefault(len(x), ([], []))
+                ids.append(i)
+                rows.append(x)
+            parts = {s: (ids, np.array(rows, float).reshape(len(ids), s)) for s, (ids, rows) in by_size.items()}
+            for b in batches:
+                ids, col = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                sizes = np.array([len(x) for x in col])
+                flat = np.asarray(col.flatten())
+                ends = np.cumsum(sizes)
+                for s, (qid, q_rows) in parts.items():
+                    at = np.flatnonzero(sizes == s)
+                    if len(at):
+                        rows = np.stack([flat[ends[i] - s:ends[i]] for i in at]) if s else np.zeros((len(at), 0))
+                        a, c, d = _nearest(metric, qid, q_rows, ids[at], rows, k)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(a, q_arrow), pa.array(c, b.schema.field(0).type), pa.array(d, pa.float64())],
+                            names=["query_id", "vec_id", "distance"])
+        return run
+
     out = None
-    for i in range(slices):
-        qs = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        pairs = v.join(F.broadcast(qs), F.size("_v") == F.size("_q"))
-        scored = pairs.select("query_id", "vec_id", F.round(_distance(metric, F.col("_q"), F.col("_v")),
-                                                            SCORE_DIGITS).alias("distance"))
-        ranked = top_k_per_group(scored, "query_id", [F.col("distance"), F.col("vec_id")], k)
-        part = ranked.select("query_id", "rank", "vec_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        block = spark.sparkContext.broadcast([(r["query_id"], r["q"]) for r in part.collect()])
+        near = v.mapInArrow(compared(block), schema)
+        out = near if out is None else out.unionByName(near)
+    return top_k_per_group(out, "query_id", [F.col("distance"), F.col("vec_id")], k).select("query_id", "rank", "vec_id")
 
 
 # ---- text retrieval (BM25) -----------------------------------------------------
@@ -141,37 +186,37 @@ def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id:
                query_text: str = "text", chunk_id: str = "id", chunk_text_col: str = "text") -> DataFrame:
     """(query_id, rank, id): the ``k`` best chunks per query by BM25; ties by id.
 
-    Plan: the postings of query-vocabulary terms are hash-partitioned by
-    chunk id once. Term counts per (chunk, term) and scores per (query,
-    chunk) are then aggregated inside those partitions (partitioning on
-    chunk id satisfies both groupings, and broadcast joins keep it), and the
-    top-k window keeps k rows per query per partition before the only other
-    shuffle (by query). The (query x chunk) score table is never shuffled.
-    Small frames (vocabulary, weights, query terms) are all bounded by one
-    size check on the (query, term) table.
+    The chunks' term counts are materialised once (one pass over the texts,
+    whatever feeds them) and hash-partitioned by chunk id; terms that no
+    query holds are dropped before that. Weights and scores are aggregated
+    inside those partitions, and the top-k window keeps k rows per query per
+    partition before the only other shuffle (by query): the (query x chunk)
+    score table is never shuffled. A score is summed in the order of its
+    terms, so equal chunks get equal scores. Raises when there is no chunk.
     """
-    from ledgerline.operators.partitioning import row_count_at_most
-
-    docs = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("_tok"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tok")).alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    qterms = (queries.select(F.col(query_id).alias("query_id"),
-                             F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-              .distinct())
-    bc = F.broadcast if row_count_at_most(qterms, MAX_QUERY_ROWS * 64) else (lambda d: d)
-    postings = (docs.select("id", F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-                .join(bc(qterms.select("term").distinct()), "term", "left_semi")
-                .repartition("id"))
-    tf = postings.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    spark = chunks.sparkSession
+    checkpoint_dir(spark)
+    q = (queries.select(F.col(query_id).alias("query_id"),
+                        F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).distinct())
+    tok = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("tok"))
+    counted = (tok.select("id", F.size("tok").alias("dl"), F.explode_outer("tok").alias("term"))
+               .join(q.select(F.col("term").alias("q_term")).distinct(), F.col("term") == F.col("q_term"), "left")
+               .groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list("q_term").alias("terms"))).checkpoint()
+    n_docs, avgdl = counted.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    if not n_docs:
+        raise RuntimeError("no chunk in the collection")
+    tf = (counted.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term")
+          .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
     df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = bc(df_t.select("term", idf.alias("idf")))
+    wanted = q.join(df_t.select("term", idf.alias("idf")), "term")
     tfc, dl = F.col("tf"), F.col("dl")
     part = tfc * (BM25_K1 + 1) / (tfc + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
-    contrib = (tf.join(weights, "term").join(bc(qterms), "term")
-               .select("query_id", "id", (F.col("idf") * part).alias("w")))
-    scores = contrib.groupBy("id", "query_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+    contrib = tf.join(wanted, "term").select("query_id", "id", "term", (F.col("idf") * part).alias("w"))
+    # at most one entry per query term
+    terms = F.array_sort(F.collect_list(F.struct("term", "w")))
+    scores = contrib.groupBy("id", "query_id").agg(terms.alias("t")).select(
+        "query_id", "id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
     ranked = top_k_per_group(scores, "query_id", [F.col("score").desc(), F.col("id")], k)
     return ranked.select("query_id", "rank", "id")
 
@@ -199,11 +244,13 @@ def source_list(hits: DataFrame, chunks: DataFrame, sep: str = "; ") -> DataFram
 
 
 def index_upsert(index: DataFrame, batch: DataFrame, replace_sources: bool = False) -> DataFrame:
-    """Upsert chunk records by id. Ids absent from the batch stay (stale chunks
+    """Upsert chunk records by id. An id that several rows of the batch share
+    (files whose names differ in the ending only) keeps the row whose source is
+    last in order. Ids absent from the batch stay (stale chunks
     of a shrunk document are kept) unless ``replace_sources`` drops every old
     chunk of a source that the batch re-indexes."""
     from ledgerline.operators.rewrite import upsert_by_key
 
     if replace_sources:
         index = index.join(batch.select("source").distinct(), "source", "left_anti").select(*index.columns)
-    return upsert_by_key(index, batch.select(*index.columns), "id")
+    return upsert_by_key(index, batch.select(*index.columns), "id", ["source", "page", "chunk", "text"])

@@ -71,19 +71,19 @@ def reprice(t: Tables, price_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     return products, items
 
 
-def upsert_by_key(old: DataFrame, batch: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
+def upsert_by_key(old: DataFrame, batch: DataFrame, key: str, order_col: str | list[str] | None = None) -> DataFrame:
     """Insert or replace by ``key``; keys absent from the batch stay unchanged.
 
-    Within the batch the row with the largest ``order_col`` wins for a key
-    (the last one written). The de-duplication is an aggregate (``max_by``)
+    Within the batch the row with the largest ``order_col`` (one column or
+    several) wins for a key (the last one written); without one, the row whose
+    other columns are largest, so a key never stays twice. The de-duplication is an aggregate (``max_by``)
     with partial aggregation before the shuffle, so a key repeated a huge
     number of times does not land whole in one task.
     """
     cols = old.columns
-    if order_col is not None:
-        rec = F.struct(*[F.col(c) for c in cols if c != key])
-        batch = (batch.groupBy(key).agg(F.max_by(rec, F.col(order_col)).alias("_r"))
-                 .select(key, "_r.*"))
+    order = [order_col] if isinstance(order_col, str) else list(order_col or [c for c in cols if c != key])
+    rec = F.struct(*[F.col(c) for c in cols if c != key])
+    batch = batch.groupBy(key).agg(F.max_by(rec, F.struct(*order)).alias("_r")).select(key, "_r.*")
     batch = batch.select(*cols)
     kept = old.join(batch.select(key), key, "left_anti")
     return kept.unionByName(batch)

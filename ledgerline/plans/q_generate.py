@@ -1,27 +1,16 @@
-"""Synthetic-data queries: spine, weighted choice, weighted days, exact mix, sampling, sales."""
+"""Seeded-draw queries over the orders and the menu: spine, weighted choice, exact mix, sampling."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ledgerline.operators import generate as G
-from ledgerline.operators import quality as Q
 from ledgerline.operators import recipes, sales
 from ledgerline.plans.registry import register
 
 SEED = 70002027
 
 
-def _range(t):
-    """Generation range: from the first order date, at most (orders / 2) days
-    and never past the last order date, so every day can get an order."""
-    import datetime as dt
-    r = sales.date_range(t).first()  # one row: (first_date, last_date)
-    n = t.orders.count()
-    end = min(r["last_date"], r["first_date"] + dt.timedelta(days=n // 2 - 1))
-    return r["first_date"], end
-
-
 def _u_sql(key_sql: str) -> str:
     return f"CAST(('0x' || substr(md5('{SEED}|' || {key_sql}), 1, 8)) AS BIGINT)"
 
@@ -60,39 +49,6 @@ def q_weighted_choice(t):
         .alias("payment_method"))
 
 
-WEIGHTED_DAYS_SQL = f"""
-spine AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(
-    (SELECT min(order_date) FROM s_orders),
-    least((SELECT max(order_date) FROM s_orders),
-          (SELECT min(order_date) FROM s_orders) + CAST((SELECT count(*) FROM s_orders) // 2 - 1 AS INTEGER)),
-    INTERVAL 1 DAY)) AS d) g),
-wd AS (SELECT day, CASE WHEN isodow(day) - 1 IN (4, 5) THEN 16 ELSE 10 END AS wt FROM spine),
-cum AS (SELECT day, sum(wt) OVER (ORDER BY day) AS hi, sum(wt) OVER (ORDER BY day) - wt AS lo FROM wd),
-draws AS (SELECT seq, ({_u_sql("'day|' || seq")} * (SELECT sum(wt) FROM wd)) // {G.TWO32} AS x
-          FROM (SELECT unnest(range(0, (SELECT count(*) FROM s_orders) - (SELECT count(*) FROM spine))) AS seq) s),
-alld AS (SELECT day, -1 AS seq FROM spine
-         UNION ALL SELECT c.day, d.seq FROM draws d JOIN cum c ON d.x >= c.lo AND d.x < c.hi),
-wdays AS (SELECT row_number() OVER (ORDER BY day, seq) AS order_id, day FROM alld)
-"""
-
-
-def _weighted_days(t):
-    lo, hi = _range(t)
-    n = t.orders.count()
-    return G.weighted_days(t.spark, lo, hi, n, SEED)
-
-
-@register("weighted_days", ",\n" + WEIGHTED_DAYS_SQL + "SELECT order_id, day FROM wdays")
-def q_weighted_days(t):
-    return _weighted_days(t)
-
-
-@register("weighted_day_counts", ",\n" + WEIGHTED_DAYS_SQL + """
-SELECT isodow(day) - 1 AS weekday, count(*) AS orders FROM wdays GROUP BY 1""")
-def q_weighted_day_counts(t):
-    return _weighted_days(t).groupBy(F.weekday("day").alias("weekday")).agg(F.count(F.lit(1)).alias("orders"))
-
-
 @register("fixed_mix_shuffle", f"""
 SELECT order_id, CASE WHEN rn <= n * 2 // 5 THEN 1 WHEN rn <= n * 2 // 5 + n // 5 THEN 2 ELSE 3 END AS size
 FROM (SELECT order_id, row_number() OVER (ORDER BY {_u_sql('order_id')}, order_id) AS rn,
@@ -132,29 +88,3 @@ SELECT order_id, product_id, pick FROM ranked WHERE pick <= size""")
 def q_weighted_sample_distinct(t):
     sized = G.fixed_mix_shuffle(t.orders.select("order_id"), "order_id", SEED)
     return G.weighted_sample_distinct(sized, _menu(t), SEED)
-
-
-def _generated(t):
-    lo, hi = _range(t)
-    return G.generate_sales(t.spark, _menu(t), lo, hi, t.orders.count(), SEED)
-
-
-@register("generate_sales")
-def q_generate_sales(t):
-    _orders, items = _generated(t)
-    return items
-
-
-@register("generate_checks")
-def q_generate_checks(t):
-    orders, items = _generated(t)
-    lo, hi = _range(t)
-    return Q.run_checks([
-        Q.check_row_count({"orders": orders}, {"orders": t.orders}),
-        Q.check_date_bounds(orders, "order_date", lo, hi),
-        Q.check_date_coverage(orders, "order_date", lo, hi),
-        Q.check_unique(orders, ["order_id"], "orders.order_id"),
-        Q.check_unique(items, ["order_id", "product_id"], "order_items.order_product"),
-        Q.check_foreign_keys([("order_items.order_id", items, orders, "order_id")]),
-        Q.check_positive(items, ["quantity", "unit_price_cents"], "order_items"),
-    ])

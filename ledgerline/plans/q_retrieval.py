@@ -70,8 +70,8 @@ def q_chunk_records(t):
 VECTOR_SQL = """
 WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
 d AS (SELECT q.query_id, e.vec_id,
-             round(list_sum(list_transform(list_zip(q.qv, e.embedding),
-                   lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 9) AS dist
+             list_sum(list_transform(list_zip(q.qv, e.embedding),
+                   lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS dist
       FROM q JOIN embeddings e ON len(q.qv) = len(e.embedding)),
 r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d)
 SELECT query_id, rank, vec_id FROM r WHERE rank <= 3"""
@@ -102,7 +102,7 @@ post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl
 w AS (SELECT term, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf
       FROM post GROUP BY term),
 sc AS (SELECT q.query_id, p.id,
-              round(sum(w.idf * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / (SELECT avgdl FROM stats))))), 9) AS score
+              list_sum(list(w.idf * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / (SELECT avgdl FROM stats)))) ORDER BY term)) AS score
        FROM post p JOIN w USING (term) JOIN q USING (term) GROUP BY q.query_id, p.id),
 hits AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
                         FROM sc) r WHERE rank <= 3)

@@ -1,5 +1,7 @@
+import datetime as dt
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,23 +9,40 @@ from ledgerline.operators import generate as G
 from ledgerline.operators.partitioning import number_within, running_sum
 
 
-def test_number_within_matches_row_number_on_skewed_groups(spark):
-    rows = [("hot", i) for i in range(3000)] + [(f"g{i % 7}", i) for i in range(500)]
-    df = spark.createDataFrame(rows, "g string, o long")
-    got = {(r["g"], r["o"]): r["pos"] for r in number_within(df, ["g"], ["o"], "pos", 16).collect()}
-    want = {(r["g"], r["o"]): r["rn"] for r in
-            df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).collect()}
-    assert got == want
+def test_number_within_matches_row_number(spark):
+    """More rows than a range sample holds, a hot group, a null group, columns that are no keys."""
+    df = (spark.range(240_000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+                                          .otherwise(F.concat(F.lit("g"), F.col("id") % 11)))
+          .withColumn("o", F.xxhash64("id")).withColumn("text", F.concat(F.lit("text "), F.col("id")))
+          .repartition(7))
+    got = number_within(df, ["g"], ["o"], "pos", 3000)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    assert got.columns == ["id", "g", "o", "text", "pos"]
+    both = got.join(want.select("id", F.col("text").alias("wanted_text"), "rn"), "id")
+    assert got.count() == 240_000
+    assert both.where("pos = rn AND text = wanted_text").count() == 240_000
+
+
+def test_number_within_kinds_of_order(spark):
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=i % 50), f"é{i % 13}", i / 7 if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, d date, s string, x double")
+    for first in ("d", "s", "x"):
+        got = {r["id"]: r["pos"] for r in number_within(df, [], [first, "id"], "pos", 30).collect()}
+        want = {r["id"]: r["rn"] for r in
+                df.withColumn("rn", F.row_number().over(Window.orderBy(first, "id"))).collect()}
+        assert got == want
+    assert number_within(df.limit(0), [], ["id"]).count() == 0
 
 
 def test_running_sum_matches_cumsum(spark):
-    rows = [(i, (i * 7) % 5) for i in range(1000)]
-    df = spark.createDataFrame(rows, "k long, w long")
-    got = {r["k"]: r["c"] for r in running_sum(df, ["k"], "w", "c", 8).collect()}
-    acc = 0
-    for k, w in rows:
-        acc += w
-        assert got[k] == acc
+    df = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 7 % 5).alias("w"),
+                                     F.when(F.col("id") % 2 == 0, 1).alias("v"), F.lit("x").alias("other")).repartition(5)
+    got = running_sum(df, ["k"], ["w", "v"], ["c", "e"], 1500).orderBy("k").collect()
+    a = b = 0
+    for r in got:
+        a, b = a + r["w"], b + (r["v"] or 0)
+        assert (r["c"], r["e"]) == (a, b)
+    assert len(got) == 100_000
 
 
 def test_weighted_choice_proportions(spark):
@@ -51,10 +70,9 @@ def test_weighted_sample_distinct(spark):
     # size = number of drawable products: every one of them is chosen
     full = spark.createDataFrame([(1, 3)], "order_id long, size int")
     assert {r["product_id"] for r in G.weighted_sample_distinct(full, products, 3).collect()} == {1, 3, 4}
-
-
-def test_weighted_days(spark):
-    d = G.weighted_days(spark, "2025-01-01", "2025-03-31", 400, 5).collect()
-    assert len(d) == 400 and sorted(r["order_id"] for r in d) == list(range(1, 401))
-    days = [r["day"] for r in sorted(d, key=lambda r: r["order_id"])]
-    assert days == sorted(days) and len(set(days)) == 90
+    with pytest.raises(ValueError):
+        G.weighted_sample_distinct(spark.createDataFrame([(1, 4)], "order_id long, size int"), products, 3)
+    heavy = spark.createDataFrame([(1, 10**9), (2, 1), (3, 10**9)], "product_id long, weight long")
+    two = spark.createDataFrame([(i, 2) for i in range(50)], "order_id long, size int")
+    assert {r["product_id"] for r in G.weighted_sample_distinct(two, heavy, 3).collect()} == {1, 3}
+    assert G.weighted_sample_distinct(two.limit(0), heavy, 3).count() == 0

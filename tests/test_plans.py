@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-ITERATIVE = {"generate_sales", "generate_checks", "weighted_sample_distinct"}
+ITERATIVE = {"weighted_sample_distinct", "pipeline"}
 
 
 def _plan(df) -> str:
