@@ -107,18 +107,21 @@ def resolve_periods(requests: DataFrame, data_range: DataFrame, spec_col: str =
     # 2. candidate days per kind
     ref, wd, y, m = F.col("_ref"), F.col("_weekday"), F.col("_year"), F.col("_month")
     occ = F.when(F.col("_has_occurrence"), F.col("_occurrence")).otherwise(F.lit(1))
+    # out-of-bounds numbers become null before any arithmetic, which would overflow
+    occ = F.when(occ.between(1, MAX_OCCURRENCE), occ)
+    offset = F.when(F.col("_offset").between(-MAX_OFFSET_DAYS, MAX_OFFSET_DAYS), F.col("_offset"))
     kind = F.col("_kind")
     df = df.select(
         *keep, *[F.col(f"_has_{k}") for k in PRESENCE_KEYS], "_kind", "_direction", "_offset", "_weekday",
         _nz(kind.isNull() | (kind == "none")).alias("_no_period"),
         _nz(kind.isin(*KINDS)).alias("_known"),
-        _nz(wd.between(0, 6) & occ.between(1, MAX_OCCURRENCE)).alias("_week_ok"),
-        _nz(F.abs(F.col("_offset")) <= MAX_OFFSET_DAYS).alias("_rel_ok"),
+        _nz(wd.between(0, 6) & occ.isNotNull()).alias("_week_ok"),
+        offset.isNotNull().alias("_rel_ok"),
         F.date_sub(ref, F.coalesce(F.nullif(F.pmod(F.weekday(ref) - wd, F.lit(7)), F.lit(0)), F.lit(7))
                    + 7 * (occ - 1)).alias("_prev_day"),
         F.date_add(ref, F.coalesce(F.nullif(F.pmod(wd - F.weekday(ref), F.lit(7)), F.lit(0)), F.lit(7))
                    + 7 * (occ - 1)).alias("_next_day"),
-        F.date_add(ref, F.col("_offset")).alias("_rel_day"),
+        F.date_add(ref, offset).alias("_rel_day"),
         parse_iso_date(F.col("_date")).alias("_one_day"),
         parse_iso_date(F.col("_start")).alias("_r_start"),
         parse_iso_date(F.col("_end")).alias("_r_end"),

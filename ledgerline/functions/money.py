@@ -28,8 +28,9 @@ def half_even(c: Column, scale: int = 0) -> Column:
 
 
 def cents_to_units(c: Column) -> Column:
-    """Hundredths to currency units rounded to two places; NULL stays NULL."""
-    return F.round(c.cast("double") / 100.0, 2)
+    """Hundredths to currency units: fractional hundredths are rounded half-even to whole ones first
+    (12.5 -> 0.12, 267.5 -> 2.68); NULL stays NULL."""
+    return half_even(c.cast("double")) / 100.0
 
 
 def money_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:

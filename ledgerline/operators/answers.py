@@ -17,7 +17,7 @@ from ledgerline.functions.text import fold_ascii, label_text
 ROUTES = ("sql", "rag", "clarify")
 ERR_ROUTE = "invalid router response"
 NO_RECORDS = "No matching records were found for that request."
-MANY_ROWS = "Found {n} results. See the table below."
+MANY_ROWS = " results. See the table below."
 COST_NOTE = ("Estimated food cost and gross profit use sample ingredient costs. "
              "Net profit requires operating expenses.")
 CLARIFY_DEFAULT = "Please make the question more specific."
@@ -60,10 +60,12 @@ def clarification_split(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unavailable_topic(requests: DataFrame, text_col: str = "text") -> DataFrame:
     """Requests that ask for a topic the data does not hold, with that topic
-    (the first one in the fixed list order). One regex per row, no join."""
-    pattern = r"(?i)\b(" + "|".join(t.replace(" ", r"\s+") for t in UNAVAILABLE_TOPICS) + r")"
-    found = F.lower(F.regexp_extract(F.col(text_col), pattern, 1))
-    return requests.withColumn("topic", F.regexp_replace(found, r"\s+", " ")).where(F.col("topic") != "")
+    (the first one in the fixed list order). Topics are whole words, a plural s included. No join."""
+    def asked(topic):
+        return F.col(text_col).rlike(r"(?i)\b" + topic.replace(" ", r"\s+") + r"s?\b")
+
+    topic = F.coalesce(*[F.when(asked(x), F.lit(x)) for x in UNAVAILABLE_TOPICS])
+    return requests.withColumn("topic", topic).where(F.col("topic").isNotNull())
 
 
 def _value_text(c: Column, money: bool) -> Column:
@@ -92,7 +94,7 @@ def answer_text(results: DataFrame, key: str, money_labels: list[str],
     n = F.col(row_count) if row_count else F.lit(1)
     body = (F.when((n == 0) | all_null, F.lit(NO_RECORDS))
             .when(n == 1, F.concat_ws("\n\n", *lines))
-            .otherwise(F.concat(F.lit("Found "), n.cast("string"), F.lit(" results. See the table below."))))
+            .otherwise(F.concat(F.lit("Found "), n.cast("string"), F.lit(MANY_ROWS))))
     if period_start and period_end:
         prefix = F.when(F.col(period_start).isNotNull(),
                         F.concat(F.lit("Period: "), F.col(period_start).cast("string"), F.lit(" to "),
@@ -103,63 +105,98 @@ def answer_text(results: DataFrame, key: str, money_labels: list[str],
     return results.select(key, body.alias("answer"))
 
 
+def _piece(i: int, length: Column, pieces: int) -> tuple[Column, Column]:
+    """(0-based start, length) of piece ``i`` of a name cut into ``pieces`` nearly equal parts."""
+    lo = F.floor(length * i / pieces).cast("int")
+    return lo, F.floor(length * (i + 1) / pieces).cast("int") - lo
+
+
+def _close_names(req: DataFrame, cat: DataFrame, distance: int) -> DataFrame:
+    """(_key, candidate) within the edit distance, by shared pieces.
+
+    A name cut into ``distance + 1`` pieces keeps one of them unchanged under
+    ``distance`` edits, shifted by at most ``distance``. Requests are cut the
+    way a name of each possible length would be; one equi-join on (length,
+    piece, text) finds all candidates, the distance is checked on those.
+    """
+    n = distance + 1
+    own = []
+    for i in range(n):
+        lo, size = _piece(i, F.col("_len"), n)
+        own.append(F.struct(F.lit(i).alias("i"), F.substring(F.col("_fold"), lo + 1, size).alias("p")))
+    names = cat.withColumn("_len", F.length("_fold")).select("candidate", "_fold", "_len", F.inline(F.array(*own)))
+    lengths = F.sequence(F.greatest(F.length("_rfold") - distance, F.lit(0)), F.length("_rfold") + distance)
+    r = req.select("_key", "_rfold", F.explode(lengths).alias("_len"))
+    cuts = []
+    for i in range(n):
+        lo, size = _piece(i, F.col("_len"), n)
+        for shift in range(-distance, distance + 1):
+            cuts.append(F.struct(F.lit(i).alias("i"), F.when(lo + shift >= 0, F.substring(
+                F.col("_rfold"), lo + shift + 1, size)).alias("p")))
+    r = r.select("_key", "_rfold", "_len", F.inline(F.array(*cuts))).where("p IS NOT NULL").distinct()
+    return (r.join(names, ["_len", "i", "p"]).select("_key", "_rfold", "candidate", "_fold").distinct()
+            .where(F.levenshtein(F.col("_rfold"), F.col("_fold"), distance) >= 0).select("_key", "candidate"))
+
+
+def _containing_names(req: DataFrame, cat: DataFrame) -> DataFrame:
+    """(_key, candidate): names that hold the request as whole words, found by the request's rarest word."""
+    names = cat.select("candidate", "_fold", F.explode(F.array_distinct(F.split("_fold", " "))).alias("_w"))
+    uses = names.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    asked = req.select("_key", "_rfold", F.explode(F.array_distinct(F.split("_rfold", " "))).alias("_w"))
+    rarest = (asked.join(uses, "_w", "left").groupBy("_key", "_rfold")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_w")).alias("_r")).select("_key", "_rfold", "_r._w"))
+    padded = F.instr(F.concat(F.lit(" "), F.col("_fold"), F.lit(" ")),
+                     F.concat(F.lit(" "), F.col("_rfold"), F.lit(" "))) > 0
+    return rarest.join(names, "_w").where(padded).select("_key", "candidate")
+
+
 def catalog_candidates(requests: DataFrame, catalog: DataFrame, request_col: str = "name",
-                       catalog_col: str = "name", key: str = "request_id") -> DataFrame:
+                       catalog_col: str = "name", key: str = "request_id",
+                       distance: int = NAME_DISTANCE) -> DataFrame:
     """(key, candidate, match_level) for every catalog name that matches a request.
 
     Levels (the lowest one that applies is kept per pair):
       1 equal ignoring ASCII case;
       2 the catalog name contains the request as whole words;
-      3 edit distance <= 2 (on the folded names).
-    All matching is by equi-joins -- level 1 on the folded name, level 2 on
-    the request's first word against the words of each catalog name, level 3
-    on name length (|len a - len b| <= 2 is needed for distance <= 2) --
-    never a request x catalog product.
+      3 edit distance <= ``distance`` (on the folded names).
+    All matching is by equi-joins -- on the folded name, on the request's
+    rarest word, on shared pieces -- never a request x catalog product.
     """
     cat = (catalog.select(F.col(catalog_col).alias("candidate")).distinct()
            .withColumn("_fold", fold_ascii(F.col("candidate"))))
     req = (requests.select(F.col(key).alias("_key"), F.col(request_col).alias("_req"))
            .withColumn("_rfold", fold_ascii(F.col("_req"))))
-
     exact = req.join(cat, req["_rfold"] == cat["_fold"]).select("_key", "candidate", F.lit(1).alias("_lvl"))
-
-    cat_words = cat.select("candidate", "_fold", F.explode(F.array_distinct(F.split("_fold", " "))).alias("_w"))
-    req_first = req.select("_key", "_rfold", F.split("_rfold", " ")[0].alias("_w"))
-    padded = F.instr(F.concat(F.lit(" "), F.col("_fold"), F.lit(" ")),
-                     F.concat(F.lit(" "), F.col("_rfold"), F.lit(" "))) > 0
-    contains = (req_first.join(cat_words, "_w").where(padded)
-                .select("_key", "candidate", F.lit(2).alias("_lvl")))
-
-    cat_len = cat.withColumn("_len", F.length("_fold"))
-    req_len = req.select("_key", "_rfold",
-                         F.explode(F.sequence(F.length("_rfold") - NAME_DISTANCE,
-                                              F.length("_rfold") + NAME_DISTANCE)).alias("_len"))
-    near = (req_len.join(cat_len, "_len")
-            .where(F.levenshtein(F.col("_rfold"), F.col("_fold"), NAME_DISTANCE) >= 0)
-            .select("_key", "candidate", F.lit(3).alias("_lvl")))
-
+    contains = _containing_names(req, cat).withColumn("_lvl", F.lit(2))
+    near = _close_names(req, cat, distance).withColumn("_lvl", F.lit(3))
     return (exact.unionByName(contains).unionByName(near)
             .groupBy("_key", "candidate").agg(F.min("_lvl").alias("match_level"))
             .withColumnRenamed("_key", key))
 
 
+def name_choices(requests: DataFrame, catalog: DataFrame, request_col: str = "name",
+                 catalog_col: str = "name", key: str = "request_id", distance: int = NAME_DISTANCE) -> DataFrame:
+    """(key, candidate): one row per catalog name at the best level that a request has."""
+    cands = catalog_candidates(requests, catalog, request_col, catalog_col, key, distance)
+    best = cands.groupBy(key).agg(F.min("match_level").alias("_best"))
+    return cands.join(best, key).where(F.col("match_level") == F.col("_best")).select(key, "candidate")
+
+
 def resolve_names(requests: DataFrame, catalog: DataFrame, request_col: str = "name",
-                  catalog_col: str = "name", key: str = "request_id") -> DataFrame:
+                  catalog_col: str = "name", key: str = "request_id", distance: int = NAME_DISTANCE) -> DataFrame:
     """Match loosely written names against a catalog of names.
 
     status: ``resolved`` (exactly one candidate at the best level that has
-    any), ``ambiguous`` (several: the choices are listed, none is picked) or
-    ``unknown``. Candidates per request are bounded by the catalog.
+    any), ``ambiguous`` (several: ``n_choices`` of them, none is picked; their
+    rows are ``name_choices``) or ``unknown``.
     """
-    cands = catalog_candidates(requests, catalog, request_col, catalog_col, key)
-    best = cands.groupBy(key).agg(F.min("match_level").alias("_best"))
-    top = cands.join(best, key).where(F.col("match_level") == F.col("_best"))
-    g = top.groupBy(key).agg(F.array_sort(F.collect_set("candidate")).alias("_c"))
+    g = name_choices(requests, catalog, request_col, catalog_col, key, distance).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("candidate").alias("_c"))
     req = requests.select(F.col(key), F.col(request_col))
     return req.join(g, key, "left").select(
         key, request_col,
-        F.when(F.col("_c").isNull(), F.lit("unknown"))
-        .when(F.size("_c") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("status"),
-        F.when(F.size("_c") == 1, F.col("_c")[0]).alias("resolved_name"),
-        F.when(F.size("_c") > 1, F.array_join("_c", "; ")).alias("choices"),
+        F.when(F.col("_n").isNull(), F.lit("unknown"))
+        .when(F.col("_n") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("status"),
+        F.when(F.col("_n") == 1, F.col("_c")).alias("resolved_name"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_choices"),
     )

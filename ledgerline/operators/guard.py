@@ -1,10 +1,11 @@
 """Guarded, parameterised, read-only SELECT over an allow-list of tables.
 
-The text checks run on the driver *before* ``spark.sql`` sees the text,
-because ``spark.sql`` executes DDL and commands at once. The query then runs
-in a fresh session (``newSession``) that holds only the allowed tables as
-temporary views, with SQL-on-files disabled; the table names the query
-refers to are read from Spark's own parse tree and must all be allowed.
+``spark.sql`` runs DDL and commands at once, so nothing reaches it before two
+checks: the text must be one SELECT statement, and Spark's own parse tree of
+it may name only unqualified relations of the allow-list, no table functions
+and no denied function. The query then runs in a fresh session
+(``newSession``) that holds only the allowed tables as temporary views, with
+SQL-on-files disabled.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.functions.money import money_columns
 
 # Fixed values of the guard.
-DENIED_FUNCTIONS = ("reflect", "java_method", "try_reflect", "read_files")
-PERIOD_PARAMS = ("date_start", "date_end")
-_DENIED_RE = re.compile(r"\b(" + "|".join(DENIED_FUNCTIONS) + r")\b", re.IGNORECASE)
-_RELATION_RE = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+DENIED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "read_files"})
+PERIOD_PARAMS = frozenset({"date_start", "date_end"})
+
+ONE_SELECT = re.compile(r"\s*(select\b[^;]*?)\s*;?\s*", re.IGNORECASE | re.DOTALL)
+# Parse-tree nodes that read something else than a plainly named relation.
+REFUSED_NODES = frozenset({"UnresolvedWith", "UnresolvedTableValuedFunction", "RelationTimeTravel",
+                           "UnresolvedTVFAliases", "ScriptTransformation"})
 
 
 class GuardError(ValueError):
@@ -28,63 +32,80 @@ class GuardError(ValueError):
 
 
 def check_text(sql) -> str:
-    """One SELECT only: text; one trailing ``;`` dropped; no other ``;`` (even
-    inside a literal); first word ``select``; no denied function."""
-    if not isinstance(sql, str):
-        raise GuardError("SQL must be text.")
-    text = sql.strip()
-    if text.endswith(";"):
-        text = text[:-1]
-    text = text.strip()
-    words = text.split()
-    if not words or words[0].lower() != "select" or ";" in text:
-        raise GuardError("Only one SELECT query is allowed.")
-    if _DENIED_RE.search(text.replace("`", " ")):
-        raise GuardError("A denied function is used.")
-    return text
-
-
-def check_period_params(sql: str, period: dict | None) -> dict:
-    """With a resolved period both ``:date_start`` and ``:date_end`` must appear."""
-    if not period:
-        return {}
-    if any(f":{p}" not in sql for p in PERIOD_PARAMS):
-        raise GuardError("Use both :date_start and :date_end to filter the requested period.")
-    return {"date_start": period["start"], "date_end": period["end"]}
-
-
-def referenced_tables(session: SparkSession, sql: str) -> set[str]:
-    """Table names in the parse tree (subqueries included), lower-cased."""
+    """The statement of a text that is one SELECT; a semicolon may only end it (none inside, literals included)."""
+    found = ONE_SELECT.fullmatch(sql) if isinstance(sql, str) else None
+    if found is None:
+        raise GuardError("expected the text of a single SELECT statement")
+    return found.group(1)
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _tree(plan):
+    """Every plan and expression node of a parsed statement, subqueries included."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += _items(node.children())
+        if hasattr(node, "expressions"):
+            try:
+                stack += _items(node.expressions())
+                continue
+            except Exception:  # an expression: it has no expressions() of its own
+                pass
+        try:
+            inner = node.plan()
+        except Exception:  # not a subquery
+            continue
+        stack.append(inner)
+
+
+def inspect(session: SparkSession, sql: str) -> tuple[set[str], set[str]]:
+    """(relations, parameters) that a statement names, lower-cased; refuses what it must not hold."""
     plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names = set()
-    for m in _RELATION_RE.finditer(plan.toString()):
-        names.add(m.group(1).split(",")[-1].strip().strip("`").lower())
-    return names
+    relations, params = set(), set()
+    for node in _tree(plan):
+        kind = node.getClass().getSimpleName()
+        if kind in REFUSED_NODES:
+            raise GuardError(f"not allowed in a guarded query: {kind}")
+        if kind == "UnresolvedRelation":
+            parts = _items(node.multipartIdentifier())
+            if len(parts) != 1:
+                raise GuardError(f"qualified relation name: {'.'.join(parts)}")
+            relations.add(parts[0].lower())
+        elif kind == "UnresolvedFunction":
+            parts = _items(node.nameParts())
+            if len(parts) != 1 or parts[0].lower() in DENIED_FUNCTIONS:
+                raise GuardError(f"function not allowed: {'.'.join(parts)}")
+        elif kind == "NamedParameter":
+            params.add(node.name())
+    return relations, params
 
 
 def guarded_select(spark: SparkSession, sql, tables: Callable[[SparkSession], dict[str, DataFrame]],
-                   params: dict | None = None, period: dict | None = None,
-                   max_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+                   params: dict | None = None, period: dict | None = None) -> tuple[DataFrame, list[str]]:
     """Run one caller SELECT safely; returns (frame with money in units, money labels).
 
     ``tables(session)`` builds the allowed tables inside the sandbox session.
-    ``period`` (``{'start', 'end'}``) binds ``:date_start``/``:date_end``.
-    ``max_rows`` caps the rows returned (the reference has a work budget, not
-    a row cap; this is the Spark-side bound a caller may choose).
+    ``period`` (``{'start', 'end'}``) binds ``:date_start``/``:date_end``; a
+    query for a period has to use both. Every row of the result is returned.
     """
     text = check_text(sql)
-    bound = dict(params or {})
-    bound.update(check_period_params(text, period))
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
+    relations, named = inspect(session, text)
+    bound = dict(params or {})
+    if period:
+        if not PERIOD_PARAMS <= named:
+            raise GuardError(f"a query for a period must use {' and '.join(sorted(':' + p for p in PERIOD_PARAMS))}")
+        bound |= {"date_start": period["start"], "date_end": period["end"]}
     allowed = tables(session)
+    unknown = sorted(relations - {n.lower() for n in allowed})
+    if unknown:
+        raise GuardError(f"relations outside the allow-list: {unknown}")
     for name, df in allowed.items():
         df.createOrReplaceTempView(name)
-    used = referenced_tables(session, text)
-    unknown = sorted(used - {n.lower() for n in allowed})
-    if unknown:
-        raise GuardError(f"Tables not allowed: {unknown}")
-    df = session.sql(text, args=bound or None)
-    if max_rows is not None:
-        df = df.limit(max_rows)
-    return money_columns(df)
+    return money_columns(session.sql(text, args=bound or None))

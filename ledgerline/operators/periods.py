@@ -23,16 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import sales
+from ledgerline.session import checkpoint_dir
 from ledgerline.sources.roles import Tables
 
 REPORT_MEASURES = ("orders",) + sales.MEASURES
 
 
+# Longest period that is exploded into days; a longer one into months. The result is the same either way.
 SHORT_PERIOD_DAYS = 62
 
 
 def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
-                start_col: str = "date_start", end_col: str = "date_end") -> DataFrame:
+                start_col: str = "date_start", end_col: str = "date_end", salts: int = 1) -> DataFrame:
     """Inner range join: fact rows with ``start <= date <= end``.
 
     Each period is exploded into bucket keys -- its days when it spans at
@@ -41,20 +43,42 @@ def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
     key, tagged. One equi-join on (tag, key) then pairs a period only with
     facts of its own days or months, and ``BETWEEN`` trims the edge months.
     A period with a NULL bound, or with end before start, matches nothing.
+    Periods are clipped to the facts' date range first, so a period of
+    centuries makes no more keys than the facts have. ``salts`` splits each
+    key: facts take one of so many salts, periods are copied to all of them.
     """
-    s, e = F.col(start_col), F.col(end_col)
+    lo, hi = facts.agg(F.min(date_col), F.max(date_col)).first()
+    if lo is None:
+        lo = hi = F.lit(None).cast("date")
+    else:
+        lo, hi = F.lit(lo).cast("date"), F.lit(hi).cast("date")
+    s, e = F.greatest(F.col(start_col), lo), F.least(F.col(end_col), hi)
+    valid = F.col(start_col).isNotNull() & F.col(end_col).isNotNull() & (s <= e)
     short = F.datediff(e, s) < SHORT_PERIOD_DAYS
-    keys = F.when(s <= e, F.when(
+    keys = F.when(valid, F.when(
         short, F.transform(F.sequence(s, e), lambda d: F.struct(F.lit("d").alias("tag"), d.alias("key"))))
         .otherwise(F.transform(F.sequence(F.trunc(s, "MM"), F.trunc(e, "MM"), F.expr("INTERVAL 1 MONTH")),
                                lambda d: F.struct(F.lit("m").alias("tag"), d.alias("key")))))
     p = periods.select("*", F.inline(keys).alias("_tag", "_key"))
+    p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     d = F.col(date_col)
     f = facts.select("*", F.inline(F.array(F.struct(F.lit("d").alias("tag"), d.alias("key")),
                                            F.struct(F.lit("m").alias("tag"), F.trunc(d, "MM").alias("key"))))
                      .alias("_tag", "_key"))
-    j = p.join(f, ["_tag", "_key"]).where(d.between(s, e))
-    return j.drop("_tag", "_key")
+    f = f.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    j = p.join(f, ["_tag", "_key", "_salt"]).where(d.between(F.col(start_col), F.col(end_col)))
+    return j.drop("_tag", "_key", "_salt")
+
+
+def orders_in_periods(t: Tables, periods: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, order_days, orders) of every request with at least one order in its period.
+
+    The orders are reduced to one row per day before the range join, so
+    neither a busy day nor a long period makes (request, order) pairs.
+    """
+    daily = t.orders.groupBy("order_date").agg(F.count(F.lit(1)).alias("n"))
+    j = period_join(periods.select(key, "date_start", "date_end"), daily, "order_date")
+    return j.groupBy(key).agg(F.count(F.lit(1)).alias("order_days"), F.sum("n").alias("orders"))
 
 
 def _spine_bounds(t: Tables):
@@ -65,7 +89,7 @@ def _spine_bounds(t: Tables):
 
 
 def daily_running_totals(t: Tables) -> DataFrame:
-    """(day, running totals of orders and measures) for every calendar day.
+    """(day, running totals of orders and measures) for every calendar day, materialised once.
 
     The spine runs from the day before the first order date to the last one,
     so every lookup inside the data range finds a row; the row before the
@@ -79,8 +103,9 @@ def daily_running_totals(t: Tables) -> DataFrame:
     spine = t.spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = spine.join(daily, "day", "left")
+    checkpoint_dir(t.spark)
     return filled.select("day", *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(w).alias(m)
-                                  for m in REPORT_MEASURES])
+                                  for m in REPORT_MEASURES]).checkpoint()
 
 
 def period_report(t: Tables, periods: DataFrame, start_col: str = "date_start",
@@ -91,7 +116,8 @@ def period_report(t: Tables, periods: DataFrame, start_col: str = "date_start",
     orders 0, sums NULL (as SUM over no rows).
     """
     cum = daily_running_totals(t)
-    lo, hi = _spine_bounds(t)
+    lo, hi = cum.agg(F.min("day"), F.max("day")).first()
+    lo, hi = F.lit(lo).cast("date"), F.lit(hi).cast("date")
     s, e = F.col(start_col), F.col(end_col)
     req = periods.select(
         "*",

@@ -68,13 +68,16 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     """Orders, units, revenue, food cost and gross profit per period.
 
     ``by`` is ``year`` (text ``yyyy``), ``month`` (``yyyy-MM``), ``day``
-    (date) or any orders column (``branch``, ``payment_method``). Inner join:
+    (date), ``category`` (of the product; an order counts once in each of its
+    categories) or any orders column (``branch``, ``payment_method``). Inner join:
     orders without lines drop out, as in the reference's yearly table.
     Only periods with rows are returned unless ``fill`` asks for a zero row
     on every day / month of the requested range.
     """
     orders = filter_period(t.orders, start, end)
     per_order = order_measures(_lines_of(t, orders, start, end)).join(orders, "order_id")
+    if by == "category":
+        return _by_category(t, _lines_of(t, orders, start, end).join(orders.select("order_id"), "order_id", "left_semi"))
     key = period_key(by)
     out = (per_order.groupBy(key)
            .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(m).alias(m) for m in MEASURES]))
@@ -90,6 +93,16 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     return out
 
 
+def _by_category(t: Tables, items: DataFrame) -> DataFrame:
+    """Measures per product category. Lines are reduced to one row per (order, product) before the
+    product join, then to (order, category), so an order with two products of a category counts once."""
+    per = (items.select("order_id", "product_id", *line_measures()).groupBy("order_id", "product_id")
+           .agg(*[F.sum(m).alias(m) for m in MEASURES]))
+    named = per.join(t.products.select("product_id", "category"), "product_id")
+    once = named.groupBy("category", "order_id").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return once.groupBy("category").agg(F.count(F.lit(1)).alias("orders"), *[F.sum(m).alias(m) for m in MEASURES])
+
+
 def _lines_of(t: Tables, orders: DataFrame, start=None, end=None) -> DataFrame:
     """Order lines, reduced to the orders of a period when one is given.
 
@@ -194,11 +207,13 @@ def date_range(t: Tables) -> DataFrame:
 
 
 def count_distinct(t: Tables) -> DataFrame:
-    return t.orders.join(t.order_items.select("order_id", "product_id"), "order_id").agg(
-        F.count_distinct("order_date").alias("order_days"),
-        F.count_distinct("product_id").alias("products_sold"),
-        F.count_distinct("order_id").alias("orders_with_lines"),
-    )
+    """Days with orders, products sold and orders with lines: one distinct each, never a row per combination."""
+    lines = t.order_items.select("order_id", "product_id").join(t.orders.select("order_id"), "order_id", "left_semi")
+    products = lines.select("product_id").distinct().select(F.count(F.lit(1)).alias("n")).scalar()
+    sold = t.orders.join(lines.select("order_id").distinct(), "order_id")
+    days = sold.groupBy("order_date").agg(F.count(F.lit(1)).alias("n"))
+    return days.agg(F.count_if(F.col("order_date").isNotNull()).alias("order_days"), products.alias("products_sold"),
+                    F.coalesce(F.sum("n"), F.lit(0)).alias("orders_with_lines"))
 
 
 def today(offset_hours: int = 5) -> _dt.date:

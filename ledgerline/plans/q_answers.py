@@ -117,10 +117,14 @@ _Q_SQL = "CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 " + " ".jo
 @register("unavailable_topic", f"""
 SELECT request_id, text, topic FROM (
   SELECT request_id, text,
-         regexp_replace(lower(regexp_extract(text, '(?i)\\b(net\\s+profit|stock|waste|vat|refund|customer)', 1)),
-                        '\\s+', ' ', 'g') AS topic
-  FROM (SELECT event_id AS request_id, ({_Q_SQL}) || ' for ' || event_type AS text FROM events) q) x
-WHERE topic <> ''""", use_roles=False)
+         CASE WHEN list_has_any(w, ['net profit', 'net profits']) THEN 'net profit'
+              WHEN list_has_any(w, ['stock', 'stocks']) THEN 'stock' WHEN list_has_any(w, ['waste', 'wastes']) THEN 'waste'
+              WHEN list_has_any(w, ['vat', 'vats']) THEN 'vat' WHEN list_has_any(w, ['refund', 'refunds']) THEN 'refund'
+              WHEN list_has_any(w, ['customer', 'customers']) THEN 'customer' END AS topic
+  FROM (SELECT *, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS w
+        FROM (SELECT *, string_split(lower(text), ' ') AS ws
+              FROM (SELECT event_id AS request_id, ({_Q_SQL}) || ' for ' || event_type AS text FROM events) q) s) l) x
+WHERE topic IS NOT NULL""", use_roles=False)
 def q_unavailable_topic(t):
     return A.unavailable_topic(_questions(t))
 
@@ -168,12 +172,18 @@ top AS (SELECT c.request_id, list_sort(list(DISTINCT c.cand)) AS cs FROM cands c
 SELECT rq.request_id, rq.name,
        CASE WHEN top.cs IS NULL THEN 'unknown' WHEN len(top.cs) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
        CASE WHEN len(top.cs) = 1 THEN top.cs[1] END AS resolved_name,
-       CASE WHEN len(top.cs) > 1 THEN array_to_string(top.cs, '; ') END AS choices
+       CAST(COALESCE(len(top.cs), 0) AS BIGINT) AS n_choices
 FROM rq LEFT JOIN top USING (request_id)""")
 def q_resolve_names(t):
     return A.resolve_names(_name_requests(t), t.products.select("name"))
 
 
+@register("name_choices", ",\n" + NAMES_SQL + """
+SELECT request_id, unnest(cs) AS candidate FROM top""")
+def q_name_choices(t):
+    return A.name_choices(_name_requests(t), t.products.select("name"))
+
+
 @register("join_catalog_match", ",\n" + NAMES_SQL + """
 SELECT request_id, cand AS candidate, lvl AS match_level FROM cands WHERE lvl IS NOT NULL""")
 def q_join_catalog_match(t):

@@ -160,10 +160,9 @@ def q_period_report(t):
 
 
 @register("join_period", _with_requests("""
-SELECT r.request_id, o.order_id, o.order_date
-FROM res r JOIN s_orders o ON o.order_date BETWEEN r.date_start AND r.date_end
-WHERE r.kind IN ('relative_day', 'weekday', 'date')"""))
+SELECT r.request_id, count(*) AS order_days, CAST(sum(o.n) AS BIGINT) AS orders
+FROM res r JOIN (SELECT order_date, count(*) AS n FROM s_orders GROUP BY 1) o
+  ON o.order_date BETWEEN r.date_start AND r.date_end
+GROUP BY 1"""))
 def q_join_period(t):
-    day_requests = resolved(t).where(F.col("kind").isin("relative_day", "weekday", "date"))
-    return (periods.period_join(day_requests, t.orders, "order_date")
-            .select("request_id", "order_id", "order_date"))
+    return periods.orders_in_periods(t, resolved(t))

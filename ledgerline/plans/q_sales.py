@@ -68,6 +68,16 @@ def q_breakdown_payment(t):
     return sales.breakdown(t, "payment_method")
 
 
+@register("breakdown_category", """
+SELECT p.category, count(DISTINCT o.order_id) AS orders, CAST(sum(i.quantity) AS BIGINT) AS units,
+       CAST(sum(i.quantity * i.unit_price_cents) AS BIGINT) AS revenue_cents,
+       CAST(sum(i.quantity * i.unit_cost_cents) AS BIGINT) AS estimated_food_cost_cents,
+       CAST(sum(i.quantity * (i.unit_price_cents - i.unit_cost_cents)) AS BIGINT) AS estimated_gross_profit_cents
+FROM s_orders o JOIN order_items i USING (order_id) JOIN products p USING (product_id) GROUP BY p.category""")
+def q_breakdown_category(t):
+    return sales.breakdown(t, "category")
+
+
 @register("totals", """
 SELECT CAST(sum(quantity * unit_price_cents) AS BIGINT) AS revenue_cents,
        CAST(sum(quantity * unit_cost_cents) AS BIGINT) AS estimated_food_cost_cents,

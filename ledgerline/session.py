@@ -47,11 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    unset and the master is local (tests) a scratch folder is created; on a
+    cluster that would not be shared, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

@@ -24,6 +24,7 @@ from ledgerline.operators import rewrite as W
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("source", T.StringType()),
+    T.StructField("page", T.IntegerType()),
     T.StructField("text", T.StringType()),
 ])
 INDEX_SCHEMA = "id string, source string, page int, chunk int, text string"
@@ -45,13 +46,13 @@ def current_index(spark: SparkSession, index_base: str) -> DataFrame:
 def upsert_batch(index_base: str, chunk_size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP):
     """foreachBatch function: chunk the new documents and publish the upserted index.
 
-    Each micro-batch must carry whole sources (all pages of a document file),
-    as page numbers are counted within the batch.
+    Page numbers come with the files, so the pages of a source may arrive in
+    any number of batches. A page without a number stops the batch.
     """
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        pages = R.page_text(batch.select("doc_id", "source", "text"))
-        chunks = R.chunk_records(pages, chunk_size, overlap)
+        checked = F.when(F.col("page").isNull(), F.raise_error(F.lit("a page without its number"))).otherwise(F.col("page"))
+        chunks = R.chunk_records(batch.select("source", checked.cast("int").alias("page"), "text"), chunk_size, overlap)
         merged = R.index_upsert(current_index(spark, index_base), chunks)
         W.publish_validated({"chunks": merged}, index_base, index_checks)
     return run
