@@ -9,9 +9,9 @@ matrix (Arrow batches); a batch hands on its k nearest per query, so what is
 shuffled is k rows per query and batch, never all pairs.
 
 Text retrieval scores with Okapi BM25 (our choice: the reference's embedder
-is a model that is not part of it). The chunk index is materialised once;
-postings of terms that occur in no query are dropped, scores are summed per
-(query, chunk) inside chunk partitions, then the top-k window.
+is a model that is not part of it). The tokenised chunks are materialised
+once; batches of them are scored against blocks of queries as matrices, and
+only the k best per query and batch reach the top-k window.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 # Query vectors compared at once: bytes of one broadcast block.
 QUERY_BLOCK_BYTES = 16 << 20
+# Text queries compared at once: (query, term) pairs of one broadcast block, and cells of a score matrix.
+QUERY_BLOCK_TERMS = 200_000
+SCORE_CELLS = 2_000_000
 
 
 # ---- pages and chunks ----------------------------------------------------------
@@ -182,42 +185,85 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric:
 
 # ---- text retrieval (BM25) -----------------------------------------------------
 
+def _bm25_batch(ids: np.ndarray, tokens_of: list, at: dict[str, int], idf: np.ndarray, avgdl: float,
+                wanted: list[tuple[object, list[int]]], k: int) -> Iterator[tuple[object, object, float]]:
+    """(query id, chunk id, score) of the k best chunks of a batch for each query; ties by id.
+
+    A score is summed over the query's terms in order, so equal chunks get
+    equal scores in any batch.
+    """
+    tf = np.zeros((len(ids), len(at)))
+    dl = np.array([len(t) for t in tokens_of], float)
+    rows = [i for i, t in enumerate(tokens_of) for w in t if w in at]
+    np.add.at(tf, (rows, [at[w] for t in tokens_of for w in t if w in at]), 1.0)
+    weight = idf * (tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[:, None] / avgdl)))
+    columns = np.ascontiguousarray(weight.T)
+    for query, terms in wanted:
+        score = np.zeros(len(ids))
+        for t in terms:
+            score += columns[t]
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        for i in sorted(hit, key=lambda i: (-score[i], ids[i]))[:k]:
+            yield query, ids[i], float(score[i])
+
+
 def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id: str = "query_id",
                query_text: str = "text", chunk_id: str = "id", chunk_text_col: str = "text") -> DataFrame:
     """(query_id, rank, id): the ``k`` best chunks per query by BM25; ties by id.
 
-    The chunks' term counts are materialised once (one pass over the texts,
-    whatever feeds them) and hash-partitioned by chunk id; terms that no
-    query holds are dropped before that. Weights and scores are aggregated
-    inside those partitions, and the top-k window keeps k rows per query per
-    partition before the only other shuffle (by query): the (query x chunk)
-    score table is never shuffled. A score is summed in the order of its
-    terms, so equal chunks get equal scores. Raises when there is no chunk.
+    The tokenised chunks are materialised once (one pass over the texts,
+    whatever feeds them). The queries are the stated set: they are read in
+    blocks of at most QUERY_BLOCK_TERMS (query, term) pairs; for a block, the
+    document frequencies of its terms are counted with map-side combining, and
+    every batch of chunks is scored as a (chunk, term) matrix that hands on
+    its k best per query -- no (query, chunk) pair is shuffled beyond those.
+    Raises when there is no chunk.
     """
     spark = chunks.sparkSession
     checkpoint_dir(spark)
-    q = (queries.select(F.col(query_id).alias("query_id"),
-                        F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).distinct())
-    tok = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("tok"))
-    counted = (tok.select("id", F.size("tok").alias("dl"), F.explode_outer("tok").alias("term"))
-               .join(q.select(F.col("term").alias("q_term")).distinct(), F.col("term") == F.col("q_term"), "left")
-               .groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list("q_term").alias("terms"))).checkpoint()
-    n_docs, avgdl = counted.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    base = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("tok")).checkpoint()
+    n_docs, avgdl = base.agg(F.count(F.lit(1)), F.avg(F.size("tok"))).first()
     if not n_docs:
         raise RuntimeError("no chunk in the collection")
-    tf = (counted.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term")
-          .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = q.join(df_t.select("term", idf.alias("idf")), "term")
-    tfc, dl = F.col("tf"), F.col("dl")
-    part = tfc * (BM25_K1 + 1) / (tfc + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
-    contrib = tf.join(wanted, "term").select("query_id", "id", "term", (F.col("idf") * part).alias("w"))
-    # at most one entry per query term
-    terms = F.array_sort(F.collect_list(F.struct("term", "w")))
-    scores = contrib.groupBy("id", "query_id").agg(terms.alias("t")).select(
-        "query_id", "id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
-    ranked = top_k_per_group(scores, "query_id", [F.col("score").desc(), F.col("id")], k)
+    q = queries.select(F.col(query_id).alias("query_id"),
+                       F.array_sort(F.array_distinct(tokens(F.col(query_text)))).alias("terms"))
+    total = q.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-total // QUERY_BLOCK_TERMS))
+    q_arrow = to_arrow_type(q.schema["query_id"].dataType)
+    schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, "
+              f"id {base.schema['id'].dataType.simpleString()}, score double")
+
+    def scored(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, idf, wanted = shared.value
+            step = max(1, SCORE_CELLS // max(1, len(at)))
+            for b in batches:
+                for lo in range(0, b.num_rows, step):
+                    part = b.slice(lo, step)
+                    found = list(_bm25_batch(np.array(part.column(0).to_pylist(), object), part.column(1).to_pylist(),
+                                             at, idf, avgdl, wanted, k))
+                    qs, ids, scores = zip(*found) if found else ((), (), ())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(qs, q_arrow), pa.array(ids, part.schema.field(0).type), pa.array(scores, pa.float64())],
+                        names=["query_id", "id", "score"])
+        return run
+
+    out = None
+    for i in range(blocks):
+        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        terms = mine.select(F.explode("terms").alias("term")).distinct()
+        uses = (base.select(F.explode(F.array_distinct("tok")).alias("term")).join(terms, "term", "left_semi")
+                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        weights = uses.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        held = sorted((r["term"], r["idf"]) for r in weights.collect())
+        at = {t: j for j, (t, _) in enumerate(held)}
+        wanted = [(r["query_id"], [at[t] for t in r["terms"] if t in at]) for r in mine.collect()]
+        shared = spark.sparkContext.broadcast((at, np.array([w for _, w in held]), wanted))
+        part = base.mapInArrow(scored(shared), schema)
+        out = part if out is None else out.unionByName(part)
+    ranked = top_k_per_group(out, "query_id", [F.col("score").desc(), F.col("id")], k)
     return ranked.select("query_id", "rank", "id")
 
 
