@@ -30,7 +30,26 @@ def q_catalog_profile_data(t):
     return prof.where(~prof["section"].startswith("schema:"))
 
 
-@register("catalog_profile")
+# The role tables' columns, as the profile has to list them.
+ROLE_COLUMNS = {
+    "ingredients": "ingredient_id bigint, name string, unit string, cost_per_unit_cents bigint",
+    "order_items": "order_id bigint, product_id bigint, line_number int, quantity bigint, unit_price_cents bigint, "
+                   "unit_cost_cents bigint",
+    "orders": "order_id bigint, order_date date, branch string, payment_method string",
+    "products": "product_id bigint, name string, category string, price_cents bigint",
+    "recipe_items": "recipe_item_id bigint, product_id bigint, ingredient_id bigint, quantity double",
+}
+_SCHEMA_SQL = ", ".join(f"('schema:{table}', {i}, '{column}')" for table, columns in ROLE_COLUMNS.items()
+                        for i, column in enumerate(columns.split(", "), 1))
+
+
+@register("catalog_profile", f"""
+SELECT section, CAST(position AS BIGINT) AS position, value FROM (VALUES {_SCHEMA_SQL}) AS s(section, position, value)
+UNION ALL SELECT 'dates' AS section, CAST(1 AS BIGINT) AS position,
+       CAST(min(order_date) AS VARCHAR) || ' to ' || CAST(max(order_date) AS VARCHAR) AS value FROM s_orders
+UNION ALL SELECT 'menu', product_id, name || ' | ' || category FROM products
+UNION ALL SELECT 'ingredients', row_number() OVER (ORDER BY name, ingredient_id), name || ' (' || unit || ')'
+FROM ingredients""")
 def q_catalog_profile(t):
     return readers.catalog_profile(t.views(), t.orders, t.products, t.ingredients)
 

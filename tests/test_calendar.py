@@ -75,6 +75,9 @@ def test_same_weekday_is_excluded(spark):
     ({"kind": "relative_day", "offset": 3660}, None),
     ({"kind": "relative_day", "offset": -3660}, None),
     ({"kind": "relative_day", "offset": 3661}, C.ERR_OFFSET),
+    ({"kind": "relative_day", "offset": -2147483648}, C.ERR_OFFSET),
+    ({"kind": "weekday", "weekday": 2, "direction": "next", "occurrence": 2000000000}, C.ERR_WEEKDAY),
+    ({"kind": "weekday", "weekday": 2, "direction": "next", "occurrence": -2147483648}, C.ERR_WEEKDAY),
     ({"kind": "relative_day", "offset": True}, C.ERR_OFFSET),
     ({"kind": "relative_day", "offset": 1.5}, C.ERR_OFFSET),
     ({"kind": "relative_day"}, C.ERR_FIELD),

@@ -17,6 +17,18 @@ def test_money_columns_values_and_labels(spark):
     assert got == {1: None, 2: 0.0, 3: -1.5, 4: 0.01, 5: 0.99, 6: 1.0}
 
 
+def test_fractional_cents_round_half_even(spark):
+    df = spark.createDataFrame([(12.5,), (267.5,), (13.5,), (99.4,), (-12.5,), (None,)], "avg_cents double")
+    assert [r[0] for r in money_columns(df)[0].collect()] == [0.12, 2.68, 0.14, 0.99, -0.12, None]
+
+
+def test_breakdown_category_counts_an_order_once(spark, tables):
+    got = {r["category"]: r["orders"] for r in sales.breakdown(tables, "category").collect()}
+    j = tables.order_items.join(tables.products.select("product_id", "category"), "product_id")
+    want = {r["category"]: r["n"] for r in j.groupBy("category").agg(F.count_distinct("order_id").alias("n")).collect()}
+    assert got == want
+
+
 def test_money_labels_of_empty_result(spark):
     df = spark.createDataFrame([], "a_cents long, b string, c_cents long")
     out, labels = money_columns(df)
