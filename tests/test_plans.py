@@ -3,16 +3,17 @@
 import pytest
 
 import __spark_entry__ as E
+from ledgerline.plans import registry
 
 SF = "/root/testdata/sf0.001"
-ITERATIVE = {"weighted_sample_distinct", "pipeline"}
+ITERATIVE = {"weighted_sample_distinct"}
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n not in ITERATIVE))
+@pytest.mark.parametrize("name", sorted(n for n in registry.all_queries() if n not in ITERATIVE))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = _plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
