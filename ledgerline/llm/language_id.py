@@ -50,8 +50,9 @@ RATE = 0.15
 DECAY = 1e-4
 SEED = 1
 SEGMENT = 64
-BATCH_WORDS = 400_000
-CACHE_WORDS = 1_000_000
+BATCH_WORDS = 200_000
+CACHE_WORDS = 400_000
+SCORE_WORDS = 10_000
 UNKNOWN = "und"
 MIN_SCORE = 0.4
 HASH_SPACE = 1 << 30
@@ -86,7 +87,9 @@ class Model:
     move: np.ndarray             # transition weights, from x to
 
     def scores(self, found: list[str]) -> np.ndarray:
-        """Label scores of words: the sums of their features' weights."""
+        """Label scores of words: the sums of their features' weights; SCORE_WORDS at a time bound the memory."""
+        if len(found) > SCORE_WORDS:
+            return np.concatenate([self.scores(found[i:i + SCORE_WORDS]) for i in range(0, len(found), SCORE_WORDS)])
         flat, ends, base = [], [], len(self.index)
         get, lex = self.index.get, self.lexicon.get
         for w in found:
