@@ -20,13 +20,14 @@ from ledgerline.llm.common import cut
 def _handed_back(edges: DataFrame, key: str) -> DataFrame:
     """``edges`` (big, small) with ``low``: the smallest neighbour of the node in ``key``."""
     other = "small" if key == "big" else "big"
-    low = edges.groupBy(key).agg(F.min(other).alias("low"))
+    # written, so that both sides of the join are plain exchanges, which adaptive execution can split
+    low = cut(edges.groupBy(key).agg(F.min(other).alias("low")))
     return edges.join(low, key)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("big", "small").union(edges.select(F.col("small").alias("big"), F.col("big").alias("small")))
-    low = both.groupBy("big").agg(F.min("small").alias("low")).withColumn("low", F.least("big", "low"))
+    low = cut(both.groupBy("big").agg(F.min("small").alias("low")).withColumn("low", F.least("big", "low")))
     return (both.where("small > big").join(low, "big")
             .select(F.col("small").alias("big"), F.col("low").alias("small")).distinct())
 
