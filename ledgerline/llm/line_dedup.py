@@ -68,8 +68,9 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     chunks = _chunked(docs, divisor, min_lines, *DOC, "doc_id").select(
         *DOC, "start", "n", *CHUNK,
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *DOC, "start").alias("place"))
-    first = (chunks.groupBy(*CHUNK).agg(F.min("place").alias("first"), F.max("place").alias("last"))
-             .where("first < last").drop("last"))
+    # written, so that both sides of the join are plain exchanges, which adaptive execution can split
+    first = stored(chunks.groupBy(*CHUNK).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+                   .where("first < last").drop("last"))
     return chunks.join(first, CHUNK).where("place > first").select(*DOC, "start", "n", *CHUNK, "first")
 
 
