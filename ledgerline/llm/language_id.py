@@ -30,7 +30,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +50,8 @@ RATE = 0.15
 DECAY = 1e-4
 SEED = 1
 SEGMENT = 64
-BATCH_WORDS = 200_000
-CACHE_WORDS = 400_000
+BATCH_WORDS = 100_000
+CACHE_WORDS = 200_000
 SCORE_WORDS = 10_000
 UNKNOWN = "und"
 MIN_SCORE = 0.4
@@ -285,39 +285,39 @@ class _Known(dict):
         return n
 
 
-def label_batches(texts: Iterator[list[str | None]], model: Model) -> Iterator[list[tuple[np.ndarray, list[str]]]]:
-    """For each list of texts, the word marginals and words of each text."""
-    known, table = _Known(), np.zeros((0, len(model.labels)), np.float32)
-    for batch in texts:
-        out: list = []
+class Labeller:
+    """Labels texts one after another; holds the scores of the words seen lately and one block of words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known, self.table = _Known(), np.zeros((0, len(model.labels)), np.float32)
+
+    def label(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Label marginals and words of each text, in order."""
         pending: list[list[str]] = []
         size = 0
-
-        def flush():
-            nonlocal table, pending, size
-            lengths = np.array([len(w) for w in pending], np.int64)
-            ids = np.fromiter((known[w] for ws in pending for w in ws), np.int64, int(lengths.sum()))
-            if known.new:
-                table = np.concatenate((table, model.scores(known.new)))
-                known.new = []
-            filled = lengths > 0
-            m = marginals(table[ids], lengths[filled], model.move) if filled.any() else table[:0]
-            ends = np.cumsum(lengths)
-            out.extend((m[e - n:e], ws) for e, n, ws in zip(ends, lengths, pending))
-            pending, size = [], 0
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                table = table[:0]
-
-        for t in batch:
-            found = letter_runs(t) if t else []
-            pending.append(found)
-            size += len(found)
+        for t in texts:
+            pending.append(letter_runs(t) if t else [])
+            size += len(pending[-1])
             if size >= BATCH_WORDS:
-                flush()
-        if pending:
-            flush()
-        yield out
+                yield from self._block(pending)
+                pending, size = [], 0
+        yield from self._block(pending)
+
+    def _block(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        known = self.known
+        lengths = np.array([len(w) for w in texts], np.int64)
+        ids = np.fromiter((known[w] for ws in texts for w in ws), np.int64, int(lengths.sum()))
+        if known.new:
+            self.table = np.concatenate((self.table, self.model.scores(known.new)))
+            known.new = []
+        filled = lengths > 0
+        m = marginals(self.table[ids], lengths[filled], self.model.move) if filled.any() else self.table[:0]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            self.table = self.table[:0]
+        for end, n, ws in zip(np.cumsum(lengths), lengths, texts):
+            yield m[end - n:end], ws
 
 
 def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score",
@@ -335,17 +335,10 @@ def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        held: list[pa.RecordBatch] = []
-
-        def texts():
-            for b in batches:
-                held.append(b)
-                yield b.column(at).to_pylist()
-
-        for found in label_batches(texts(), m):
-            b = held.pop()
+        labeller = Labeller(m)
+        for b in batches:
             langs, scores, parts = [], [], []
-            for marg, _ in found:
+            for marg, _ in labeller.label(x.as_py() for x in b.column(at)):
                 if not len(marg):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -374,9 +367,9 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        labeller = Labeller(m)
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for d, (marg, ws) in zip(ids, next(label_batches(iter([b.column(1).to_pylist()]), m))):
+            for d, (marg, ws) in zip(b.column(0).to_pylist(), labeller.label(x.as_py() for x in b.column(1))):
                 if ws:
                     best = marg.argmax(axis=1)
                     yield pa.RecordBatch.from_arrays([
