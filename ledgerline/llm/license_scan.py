@@ -3,17 +3,23 @@
 Texts with a licensing word become candidates (a JVM-side filter); around
 each such word a block of words is cut out. A block is compressed alone and
 with each template as a zstandard raw dictionary: the closer the wording,
-the larger the reduction. Templates are tried in order of their reduction,
-and a winner is confirmed only by its exact wording: the alignment of the
-template's words with the block's (missing, added and replaced words) must
-differ in at most ``MAX_DIFFERENCE`` of the template's words, none for short
-ones. The differing words are part of the result.
+the larger the reduction. A template is confirmed only by its exact wording:
+the alignment of the template's words with the block's (missing, added and
+replaced words) must differ in at most ``MAX_DIFFERENCE`` of the template's
+words, none for short ones. The differing words are part of the result.
+Templates of which more words are absent can't match and are not compressed;
+short ones need no least reduction. A number never stands for another one.
+
+Templates hold slots for what varies (years, holder, version, identifier).
+Where matches overlap, the one with more words of its template in place wins
+(less one for each difference), then the larger reduction.
 
 Work is per row, without a shuffle; a block has a bounded number of words,
 so very long texts are many blocks.
 
 Defined results: null, empty and unlicensed texts give no row; repeated rows
-give their rows each; overlapping matches keep the higher ranked one. Extra
+give their rows each. A license named without its version is reported without
+one; a wording of no template gives no row. Extra
 columns are ignored.
 """
 
@@ -29,9 +35,11 @@ from pyspark.sql import functions as F
 MIN_REDUCTION = 0.1
 MAX_DIFFERENCE = 0.1
 LEVEL = 19
+NEVER = 1_000_000
 
 # Words that nominate a block, and public license notices.
-CUE = r"(?i)licen[cs]|copyright|redistribut|rights reserved|creative commons|public domain|free of charge"
+CUE = r"(?i)licen[cs]|copyright|redistribut|rights reserved|creative commons|public domain|free of charge" \
+      r"|hereby granted|\b[AL]?GPL|\bCC[ -](?:BY|0)|\bCC0\b"
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -48,59 +56,188 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("proprietary", "Copyright. All rights reserved."),
+    ("proprietary", "All rights reserved."),
+)
+
+# Slots: up to so many words of a form, at no cost. A word /form/ is one required word; ``{}`` in a name is its text.
+SLOTS = {"{year}": (3, r"c|©|copyright|present|(?:19|20)\d\d(?:[-–,/](?:\d\d|\d{4}|present))*"),
+         "{holder}": (8, r"(?!licens|under$|released$|permission$)[^\0]+"), "{v}": (2, r"v|version|[-–]"), "{the}": (1, r"the|an?"),
+         "{kind}": (1, r"international|unported|generic|universal"), "{license}": (1, r"license")}
+VERSION = r"/v?\d+(?:\.\d+)*\+?/"
+FORMS = ("under {the} %s", "under the terms of {the} %s", "This work is licensed under {the} %s",
+         "subject to the terms of {the} %s", "License: {the} %s", "%s Copyright {year}")
+
+
+def _named() -> list[tuple[str, str]]:
+    """(name, template): the forms in which a notice names a license of the common SPDX list."""
+    named = [("MIT", "MIT {license}"), ("MIT", "Expat {license}"), ("ISC", "ISC {license}"), ("Zlib", "zlib license"),
+             ("BSD", "BSD {license}"), ("Unlicense", "Unlicense"), ("WTFPL", "WTFPL"), ("CC0-1.0", "CC0 {license}"),
+             ("Apache", "Apache License"), ("Apache", "Apache Software License"),
+             ("Apache-2.0", "Apache-2.0 {license}"), ("Apache-2.0", "Apache {license} {v} /v?2(?:\\.0)?/ {license}"),
+             ("Apache-1.1", "Apache {license} {v} /v?1\\.1/ {license}"),
+             ("CC0-1.0", "CC0 {v} /v?1(?:\\.0)?/ {kind}"), ("CC0-1.0", "CC0-1.0"), ("CC0-1.0", "Creative Commons Zero {license}"),
+             ("BSD-2-Clause", "Simplified BSD {license}"), ("BSD-3-Clause", "New BSD {license}"),
+             ("BSD-3-Clause", "Modified BSD {license}"), ("0BSD", "Zero-Clause BSD {license}"), ("0BSD", "0BSD {license}")]
+    for n in "234":
+        named += [(f"BSD-{n}-Clause", x) for x in (f"BSD {n}-Clause {{license}}", f"{n}-Clause BSD {{license}}",
+                                                   f"BSD-{n}-Clause {{license}}", f"BSD {n} Clause {{license}}")]
+    for key, full in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"),
+                      ("LGPL", "GNU Library General Public License"), ("AGPL", "GNU Affero General Public License"),
+                      ("GFDL", "GNU Free Documentation License"), ("MPL", "Mozilla Public License"),
+                      ("EPL", "Eclipse Public License"), ("EUPL", "European Union Public License"), ("BSL", "Boost Software License"),
+                      ("Artistic", "Artistic License"), ("CDDL", "Common Development and Distribution License"),
+                      ("GPL", "GNU GPL"), ("LGPL", "GNU LGPL"), ("AGPL", "GNU AGPL"), *((x, x) for x in (
+                          "GPL", "LGPL", "AGPL", "MPL", "EPL", "EUPL", "CDDL"))):
+        named += [(key, full), (f"{key}-{{}}", f"{full} {{v}} {VERSION} {{license}}")]
+        if full == key:
+            named.append((f"{key}-{{}}", f"/{key.lower()}-?v?\\d+(?:\\.\\d+)*\\+?/ {{license}}"))
+    for short, full in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for x in (f"CC {short}", f"CC-{short}", f"Creative Commons {short}", f"Creative Commons {full}"):
+            named += [(f"CC-{short}", f"{x} {{license}}"), (f"CC-{short}-{{}}", f"{x} {{license}} {VERSION} {{kind}} {{license}}")]
+        named.append((f"CC-{short}-{{}}", f"/cc-{short.lower()}-\\d+(?:\\.\\d+)*/ {{license}}"))
+    return [(k, f % x) for k, x in named for f in FORMS]
+
+
+# Everything that is looked for: the notices above, with slots, and the opening words of common licenses.
+NOTICES = TEMPLATES + (
+    ("proprietary", "Copyright {year} {holder} All rights reserved."),
+    ("proprietary", "© {year} {holder} All rights reserved."),
+    ("proprietary", "All rights reserved {year} {holder} Copyright"),
+    *(("{}", "SPDX-License-Identifier: " + " /or|and|with/ ".join([r"/\(*[a-z0-9][\w.+-]*/"] * n)) for n in (1, 2, 3, 4)),
+    ("MIT", "The MIT License MIT"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("public-domain", "released into the public domain"),
+    ("public-domain", "dedicated to the public domain"),
+    ("public-domain", "placed in the public domain"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    *((f"{key}-{{}}", f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {full} "
+                      f"as published by the Free Software Foundation, either {{v}} {VERSION} of the License")
+      for key, full in (("GPL", "General Public License"), ("LGPL", "Lesser General Public License"),
+                        ("LGPL", "Library General Public License"), ("AGPL", "Affero General Public License"))
+      for what in ("program", "library", "file")),
+    *_named(),
 )
 
 WORD = re.compile(r"\S+")
 
 
 def plain(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()[]{}<>*#")
+    return word.lower().strip(".,;:!?\"'()[]{}<>*#").replace("licence", "license")
 
 
-def align(template: list[str], block: list[str]) -> tuple[int, int, int, list[str]]:
-    """Best stretch of ``block`` for the whole template: (differences, start, end, wording differences).
+class Slot:
+    """A word of a template given by its form: an optional one (a missing word costs nothing) or a required one."""
 
-    Word edit distance with free ends in the block; among equal distances the first stretch that ends earliest.
-    """
+    def __init__(self, form: str, required: bool):
+        self.fits, self.required = re.compile(form).fullmatch, required
+        self.wild = bool(self.fits("\1"))
+
+
+def read(template: str) -> list[str | Slot]:
+    """A template's words and slots."""
+    out: list[str | Slot] = []
+    for w in template.split():
+        if w in SLOTS:
+            n, form = SLOTS[w]
+            out += [Slot(form, False)] * n
+        elif w[0] == w[-1] == "/" and len(w) > 2:
+            out.append(Slot(w[1:-1], True))
+        elif plain(w):
+            out.append(plain(w))
+    return out
+
+
+def _numeric(word: str) -> bool:
+    return word[:1].isdigit() or word[:1] == "v" and word[1:2].isdigit()
+
+
+def _cost(t: str | Slot, word: str) -> int:
+    """Differences of a template's word against a word of the block."""
+    if isinstance(t, Slot):
+        return 0 if t.fits(word) else NEVER
+    return 0 if t == word else NEVER if _numeric(t) and _numeric(word) else 1
+
+
+def _missing(t: str | Slot) -> int:
+    """Differences of a template's word against nothing."""
+    if isinstance(t, Slot):
+        return NEVER if t.required else 0
+    return NEVER if _numeric(t) else 1
+
+
+def aligned(template: list[str | Slot], block: list[str]) -> tuple[int, int, int, list[str], list[tuple[Slot, int]]]:
+    """``align`` and the slots that hold a word, with its place."""
     n = len(block)
     rows = [[0] * (n + 1)]
-    for i, t in enumerate(template):
-        prev, row = rows[-1], [i + 1]
+    for t in template:
+        gap = _missing(t)
+        prev, row = rows[-1], [rows[-1][0] + gap]
         for j in range(n):
-            row.append(min(prev[j] + (t != block[j]), prev[j + 1] + 1, row[j] + 1))
+            row.append(min(prev[j] + _cost(t, block[j]), prev[j + 1] + gap, row[j] + 1))
         rows.append(row)
     end = j = min(range(n + 1), key=lambda x: (rows[-1][x], x))
-    i, notes = len(template), []
+    # optional words at the end belong to the match
+    tail = len(template)
+    while tail and isinstance(template[tail - 1], Slot) and not template[tail - 1].required:
+        tail -= 1
+    for t in template[tail:]:
+        if end < n and rows[-1][end + 1] == rows[-1][end] and t.fits(block[end]):
+            end += 1
+    i, j, notes, held = len(template), end, [], []
     while i:
-        if j and rows[i][j] == rows[i - 1][j - 1] + (template[i - 1] != block[j - 1]):
+        t = template[i - 1]
+        if j and rows[i][j] == rows[i - 1][j - 1] + _cost(t, block[j - 1]):
             i, j = i - 1, j - 1
-            if template[i] != block[j]:
-                notes.append(f"{template[i]} -> {block[j]}")
-        elif rows[i][j] == rows[i - 1][j] + 1:
+            if isinstance(t, Slot):
+                held.append((t, j))
+            elif t != block[j]:
+                notes.append(f"{t} -> {block[j]}")
+        elif rows[i][j] == rows[i - 1][j] + _missing(t):
             i -= 1
-            notes.append(f"- {template[i]}")
+            if not isinstance(t, Slot):
+                notes.append(f"- {t}")
         else:
             j -= 1
             notes.append(f"+ {block[j]}")
-    return rows[-1][end], j, end, notes[::-1]
+    return rows[-1][end], j, end, notes[::-1], held[::-1]
+
+
+def align(template: list[str | Slot], block: list[str]) -> tuple[int, int, int, list[str]]:
+    """Best stretch of ``block`` for the whole template: (differences, start, end, wording differences).
+
+    Word edit distance with free ends in the block; among equal distances the first stretch that ends earliest.
+    """
+    return aligned(template, block)[:4]
 
 
 class Scanner:
-    """Compressors for a set of templates; made once in each Python worker."""
+    """Compressors for a set of templates, made once in each Python worker when first needed."""
+
+    def __init__(self, templates=NOTICES):
+        self.templates = []
+        for name, text in templates:
+            t = read(text)
+            fixed = [w for w in t if isinstance(w, str)]
+            self.templates.append((name, t, fixed, len(t) - sum(isinstance(w, Slot) and not w.required for w in t)))
+        self.made: dict[int | None, object] = {}
+        self.reach = max(len(t) for _, t, _, _ in self.templates)
 
-    def __init__(self, templates=TEMPLATES):
+    def size(self, raw: bytes, k: int | None = None) -> int:
+        """Compressed bytes of ``raw``, alone or with template ``k`` as the dictionary."""
         import zstandard as z
 
-        def made(data=None):
+        if k not in self.made:
             params = z.ZstdCompressionParameters.from_level(
                 LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-            d = None if data is None else z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            return z.ZstdCompressor(compression_params=params, dict_data=d)
-
-        self.templates = [(name, [w for w in map(plain, text.split()) if w], made(" ".join(
-            w for w in map(plain, text.split()) if w).encode())) for name, text in templates]
-        self.alone = made()
-        self.reach = max(len(w) for _, w, _ in self.templates)
+            d = None if k is None else z.ZstdCompressionDict(
+                " ".join(self.templates[k][2]).encode().ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
+            self.made[k] = z.ZstdCompressor(compression_params=params, dict_data=d)
+        return len(self.made[k].compress(raw))
 
     def blocks(self, words: list[str], cues: list[int]) -> Iterator[tuple[int, int]]:
         """Stretches of words around the cues, joined where they overlap and cut where they get long."""
@@ -125,19 +262,38 @@ class Scanner:
         for a, b in self.blocks(words, [c for c in cues if c >= 0]):
             body = words[a:b]
             raw = " ".join(body).encode("utf-8", "surrogatepass")
-            base = len(self.alone.compress(raw))
-            ranked = sorted(((1 - len(c.compress(raw)) / base, -k) for k, (_, _, c) in enumerate(self.templates)), reverse=True)
-            taken = [False] * len(body)
-            for gain, k in ranked:
-                name, template, _ = self.templates[-k]
-                while gain >= MIN_REDUCTION * min(1, 2 * len(template) / len(body)):
-                    rest = ["\0" if t else w for w, t in zip(body, taken)]
-                    diff, i, j, notes = align(template, rest)
-                    if diff > MAX_DIFFERENCE * len(template) or any(taken[i:j]):
+            base, present, matches = None, set(body), []
+            for k, (name, template, fixed, n) in enumerate(self.templates):
+                allowed = MAX_DIFFERENCE * n
+                if sum(w not in present for w in fixed) > allowed:
+                    continue
+                base = base or self.size(raw)
+                gain = 1 - self.size(raw, k) / base
+                if allowed >= 1 and gain < MIN_REDUCTION * min(1, 2 * n / len(body)):
+                    continue
+                rest = body
+                while True:
+                    diff, i, j, notes, held = aligned(template, rest)
+                    if diff > allowed or i == j or "\0" in rest[i:j]:
                         break
-                    taken[i:j] = [True] * (j - i)
-                    s, e = a + i, a + j
-                    found.setdefault((s, e), (name, s, e - s, gain, diff, notes, text[places[s][0]:places[e - 1][1]]))
+                    rest = rest[:i] + ["\0"] * (j - i) + rest[j:]
+                    ids = [places[a + x] for t, x in held if t.required]
+                    # the operators of an SPDX expression are capitals
+                    if name == "{}" and not all(text[x:y].isupper() for x, y in ids[1::2]):
+                        continue
+                    given = text[ids[0][0]:ids[-1][1]].strip("()*/<>,;.") if ids else ""
+                    if name != "{}":
+                        given = plain(given)
+                        given = re.sub(r"^[a-z-]+", "", given).rstrip("+")
+                        given += ".0" * (given.isdigit() and not name.startswith("CC0"))
+                    # words in place; a holder's words count for nothing
+                    n_held = n + sum(not (t.required or t.wild) for t, _ in held)
+                    matches.append((diff - n_held, -gain, k, a + i, a + j, diff, notes, name.replace("{}", given)))
+            taken = set()
+            for _, gain, k, s, e, diff, notes, name in sorted(matches):
+                if taken.isdisjoint(range(s, e)):
+                    taken.update(range(s, e))
+                    found.setdefault((s, e), (name, s, e - s, -gain, diff, notes, text[places[s][0]:places[e - 1][1]]))
         out, last = [], -1
         for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
             if s >= last:
@@ -146,7 +302,7 @@ class Scanner:
         return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates=NOTICES) -> DataFrame:
     """(doc_id, license, position, n_words, reduction, n_differences, differences, matched): one row per notice found."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     src = docs.where(F.col("text").rlike(CUE)).select("doc_id", "text")

@@ -57,3 +57,34 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.license, r.position) for r in got), key=repr) == [
         (4, "MIT", 1), (4, "MIT", 1), (None, "MIT", 0)]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_names_years_and_versions():
+    s = L.Scanner()
+    for text, want in {
+        "All rights reserved.": "proprietary", "Copyright (c) 2024 Acme. All rights reserved.": "proprietary",
+        "© 2019-2024 The Acme Widget Company, Inc. All rights reserved.": "proprietary",
+        "Licensed under the MIT License": "MIT", "This project is distributed under the terms of the MIT licence.": "MIT",
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU Affero General Public License v3.0": "AGPL-3.0", "Released under GPLv3": "GPL-3.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or later": "GPL-2.0",
+        "Licensed under the ISC License": "ISC", "Licensed under CC0 1.0 Universal": "CC0-1.0",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Licensed under the Apache License 2.0": "Apache-2.0",
+        "Licensed under the Mozilla Public License 2.0": "MPL-2.0", "Released under the BSD 3-Clause License": "BSD-3-Clause",
+    }.items():
+        for body in (text, f"some words before\n{text}\nand some after it"):
+            got = s.scan(body)
+            assert [(x[0], x[4]) for x in got] == [(want, 0)], (text, got)
+
+
+def test_every_license_like_line(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = {(r.doc_id, i) for r in df.collect() for i, x in enumerate(r.text.split("\n")) if L.re.search(L.CUE, x)}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {(r.doc_id, texts[r.doc_id][:[m.start() for m in L.WORD.finditer(texts[r.doc_id])][r.position]].count("\n"))
+           for r in L.scan(df).collect()}
+    assert lines and got == lines
