@@ -54,7 +54,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
