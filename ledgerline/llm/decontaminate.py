@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows in a multi-index of Hamming blocks.
 
-A window of a document as long as a benchmark item (in words) is a leak of
-the item if their weighted word shingles (weight = number of repeats) have a
+A window of a document as long as a benchmark item (in words), or the whole
+of a shorter document, is a leak of the item if their weighted word shingles (weight = number of repeats) have a
 Jaccard similarity of at least ``SIMILARITY``. All windows that can reach it
 are compared, in four steps, with DataFrame functions only:
 
@@ -10,9 +10,11 @@ are compared, in four steps, with DataFrame functions only:
    the window differ, and of every s = m // (d + 1)-th place of the document
    at least one inside the window starts a shingle of the item. Only those
    places are hashed and looked up: no window is lost, and a document
-   without an anchor goes no further.
-2. Windows. Every window of an item's length that holds an anchor gets a
-   64-bit SimHash of its shingles.
+   without an anchor goes no further. A whole document of m' < m shingles
+   differs in at most (m' - tm) / (1 + t) <= d m' / m places, so the same
+   spacing meets it in a common one.
+2. Windows. Every window of an item's length that holds an anchor, and every
+   shorter document that holds one, gets a 64-bit SimHash of its shingles.
 3. Multi-index. The fingerprint is cut into RADIUS + 1 blocks; fingerprints
    within RADIUS bits agree in at least one block, so an equi-join on
    (length, block, value) finds all of them. The bit distance is then exact.
@@ -96,22 +98,23 @@ def _items(benchmark: DataFrame) -> DataFrame:
                         F.greatest(n - SHINGLE_WORDS + 1, F.lit(1)).alias("m"), "w")
 
 
-def _similarity(item: Column, window: Column, m: Column) -> Column:
-    """Weighted Jaccard similarity of two lists of m shingles each."""
-    plain = (F.size(F.array_distinct(item)) == m) & (F.size(F.array_distinct(window)) == m)
+def _similarity(item: Column, window: Column) -> Column:
+    """Weighted Jaccard similarity of two lists of shingles."""
+    plain = (F.size(F.array_distinct(item)) == F.size(item)) & (F.size(F.array_distinct(window)) == F.size(window))
 
     def times(a, x):
         return F.size(F.filter(a, lambda y: y == x))
 
     repeats = F.aggregate(F.array_distinct(item), F.lit(0), lambda acc, x: acc + F.least(times(item, x), times(window, x)))
     common = F.when(plain, F.size(F.array_intersect(item, window))).otherwise(repeats)
-    return common / (2 * m - common)
+    return common / (F.size(item) + F.size(window) - common)
 
 
-def _windows(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: list[int]) -> DataFrame:
+def _windows(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: list[int], similarity: float) -> DataFrame:
     """(c1, c2, len, m, s, win): every window that holds an anchor, once for each text.
 
-    ``docs`` has (c1, c2, w); ``shingles`` has (hash, len, m) of the items.
+    ``docs`` has (c1, c2, w); ``shingles`` has (hash, len, m) of the items. A document shorter than an item is one
+    window, unless even all of its shingles are too few. ``len`` is the item's, ``m`` counts the window's shingles.
     """
     w = F.col("w")
     # No filter on the places: it would be pushed below the projection and split the text again for each.
@@ -124,14 +127,16 @@ def _windows(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: li
     anchors = (held.join(bounded(shingles), F.col("a.h") == F.col("hash"))
                .select("c1", "c2", "len", "m", F.col("a.p").alias("p"), lo.alias("lo"), F.size("w").alias("n"),
                        F.slice("w", lo + 1, 2 * F.col("len")).alias("part")))
-    once = anchors.groupBy("c1", "c2", "len", "m", "p").agg(
+    enough = F.least(F.col("n"), F.col("len")) - k + 1 >= similarity * F.col("m") - 1e-9
+    once = anchors.where(enough).groupBy("c1", "c2", "len", "m", "p").agg(
         F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("part").alias("part"))
     # a window belongs to the first anchor that it holds
     before = F.lag("p").over(Window.partitionBy("c1", "c2", "len").orderBy("p"))
     first = F.greatest(F.col("lo"), F.coalesce(before + 1, F.lit(0)))
-    ranged = once.withColumn("first", first).withColumn("last", F.least(F.col("p"), F.col("n") - F.col("len")))
+    ranged = once.withColumn("first", first).withColumn("last", F.least(F.col("p"), F.greatest(F.col("n") - F.col("len"), F.lit(0))))
     return (ranged.where("first <= last").withColumn("s", F.explode(F.sequence("first", "last")))
-            .select("c1", "c2", "len", "m", "s", F.slice("part", F.col("s") - F.col("lo") + 1, F.col("len")).alias("win")))
+            .select("c1", "c2", "len", (F.least(F.col("n"), F.col("len")) - k + 1).alias("m"), "s",
+                    F.slice("part", F.col("s") - F.col("lo") + 1, F.col("len")).alias("win")))
 
 
 def _found(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame | None:
@@ -160,7 +165,7 @@ def _found(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     for b in range(passes):
         mine = F.pmod(F.xxhash64("hash"), F.lit(passes)) == b
         hashes = [r["hash"] for r in places.where(mine).select("hash").distinct().collect()]
-        win = stored(_windows(docs, places.where(mine), k, step, hashes))
+        win = stored(_windows(docs, places.where(mine), k, step, hashes, similarity))
         id_ = ["c1", "c2", "len", "s"]
         pairs = keyed(_fingerprints(win, id_, "win", k), *id_, "fp").join(index, ["len", "blk", "val"])
         x = F.col("fp").bitwiseXOR(F.col("ifp"))
@@ -170,9 +175,9 @@ def _found(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
         near = (pairs.withColumn("distance", F.bit_count(x))
                 .where((F.col("distance") <= radius) & (first == F.col("blk"))).select(*id_, "ik", "distance"))
         both = near.join(win, id_).join(shingles, "ik").select(
-            "c1", "c2", "ik", "s", "distance", "m", F.struct("sh", _shingles(F.col("win"), m, k).alias("wsh")).alias("x"))
+            "c1", "c2", "ik", "s", "distance", F.struct("sh", _shingles(F.col("win"), m, k).alias("wsh")).alias("x"))
         # the one-element array binds the window's shingles to a name, so they are built once
-        sim = F.get(F.transform(F.array("x"), lambda v: _similarity(v["sh"], v["wsh"], m)), F.lit(0))
+        sim = F.get(F.transform(F.array("x"), lambda v: _similarity(v["sh"], v["wsh"])), F.lit(0))
         hit = (stored(both.select("c1", "c2", "ik", F.col("s").alias("position"), sim.alias("similarity"), "distance"))
                .where(F.col("similarity") >= similarity - 1e-12))
         out = hit if out is None else out.union(hit)

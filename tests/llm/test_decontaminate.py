@@ -94,3 +94,57 @@ def test_no_python_in_the_plan(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     plan = D.leaks(df, spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def slow_whole(docs, items, t=0.8):
+    """As ``slow``, and a document shorter than the item is one window."""
+    out = []
+    for d, text in docs:
+        w = (text or "").lower().split()
+        for i, item in items:
+            v = (item or "").lower().split()
+            if not v or not w:
+                continue
+            k = min(5, len(v))
+            g, best = grams(v, k), None
+            for s in range(max(len(w) - len(v), 0) + 1):
+                x = grams(w[s:s + len(v)], k)
+                common = sum((g & x).values())
+                sim = common / (sum(g.values()) + sum(x.values()) - common)
+                if sim >= t - 1e-12 and (best is None or sim > best[1] + 1e-12):
+                    best = (s, sim)
+            if best:
+                out.append((d, i, best[0], round(best[1], 9)))
+    return sorted(out, key=repr)
+
+
+def test_stride_is_safe_for_short_documents():
+    for m in range(1, 200):
+        for own in range(1, m + 1):
+            common = next((c for c in range(own + 1) if c / (m + own - c) >= 0.8 - 1e-12), None)
+            if common is not None:
+                assert -(-own // D.stride(m)) > own - common
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i, n in enumerate([3, 5, 6, 12, 20, 33, 47, 59, 59, 80, 120])]
+    items += [(50, "a a a a a a a a b a a a a a a a a a"), (51, None)]
+    docs = [(0, " ".join(items[7][1].split()[:-5]))]
+    for i, item in items[:-1]:
+        for _ in range(8):
+            v = item.split()
+            a, b = r.randint(0, max(1, len(v) // 6)), r.randint(0, max(1, len(v) // 6))
+            v = v[a:len(v) - b]
+            if v and r.random() < 0.4:
+                j = r.randrange(len(v))
+                v[j:j + 1] = r.choice([[], ["zz"], [v[j].upper()]])
+            docs.append((len(docs), " ".join(v)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = slow_whole(docs, items)
+    got = D.leaks(df, bench).collect()
+    assert sorted(((x.doc_id, x.item_id, x.position, round(x.similarity, 9)) for x in got), key=repr) == want
+    assert (0, 7, 0, round(50 / 55, 9)) in want and len(want) > len(slow(docs, items)) + 10
+    assert {x.doc_id for x in D.clean(df, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
