@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
+from ledgerline.llm import (decontaminate, html_extract, importance_resample, language_id, lexical_search, license_scan, line_dedup, mixing,
+                            quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup)
 from ledgerline.llm.common import table
 
 # Words as the operators split them, in DuckDB's regular expressions.
@@ -61,6 +62,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def _rule_sql(r: quality_rules.Rule) -> str:
     ratio = f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator} / {r.denominator} ELSE 0.0 END)"
     parts = [f"{ratio} >= {r.low}"] * (r.low is not None) + [f"{ratio} <= {r.high}"] * (r.high is not None)
@@ -97,6 +111,86 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS ws FROM documents
+), w AS (
+  SELECT rid, doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS p FROM d)
+), f AS (
+  SELECT h, min(doc_id) AS least FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT rid, unnest(range(p, p + 50)) AS i FROM w JOIN f USING (h) WHERE doc_id > least
+), g AS (
+  SELECT rid, list(i) AS gone FROM c GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE
+         list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)"""
+
+# The remainder of a byte by the reflected polynomial of CRC-32, then bytes in order.
+OP12_SQL = """
+WITH RECURSIVE bits(i, k, r) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(r ORDER BY i) AS t FROM bits WHERE k = 8
+), uses AS (
+  SELECT 0 AS side, doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 1, NULL, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), w AS (
+  SELECT side, rid, unnest(ws) AS word FROM uses
+), bytes AS (
+  SELECT word, list_transform(range(0, octet_length(encode(word))), lambda j: ('0x' || substr(hex(encode(word)), (2 * j + 1)::BIGINT, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT word FROM w)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table
+), totals AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM w JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM totals
+), weights AS (
+  SELECT rid, sum(gain)::BIGINT AS weight FROM w JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY rid
+), scored AS (
+  SELECT u.rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+         + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM uses u LEFT JOIN weights USING (rid) WHERE side = 0
+), ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (rid)"""
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS iid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), q AS (
+  SELECT item_id, iid, term, count(*) AS uses FROM i GROUP BY ALL
+), total AS (
+  SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0
+), p AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * max(n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, total GROUP BY term
+), m AS (
+  SELECT rid, doc_id, 75 + (25 * len(ws)::BIGINT * n) // l AS m FROM d, total
+), scored AS (
+  SELECT iid, item_id, doc_id, rid, sum(uses * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -108,8 +202,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extract": op10_html_extract,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": _op7_sql(),
+    "op11_substring_dedup": OP11_SQL,
+    "op12_importance_resample": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
