@@ -25,8 +25,9 @@ Spark's rounds bring the names together, from low symbols to high ones:
    the first run of each are compared by a 128-bit name of their 50 words.
 
 All grouping is by aggregates with map-side combining followed by joins with
-one row per name, so a passage that stands in a third of all documents never
-lands whole in one task (AQE splits the joins' hot partitions). A long
+one row per name. A name with more than a hundredth of all rows (there are
+less than a hundred of these) is broadcast, so a passage that stands in a
+third of all documents never lands whole in one task. A long
 document is named in segments that overlap by a window: reaches beyond a
 segment's end reach out of all its windows, so segments change no symbol that
 counts.
@@ -56,6 +57,7 @@ BLOCK_WORDS = 400_000     # words named at once
 SEGMENT = 200_000         # words of a long document named at once
 TEXT_STEP = 1 << 20       # characters split into words at once
 KNOWN_WORDS = 500_000     # fingerprints of words that a task remembers
+HOT_SHARE = 100           # a name with more than one row in so many is broadcast
 LAST = (1 << 63) - 1
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -339,10 +341,16 @@ def name_windows(docs: DataFrame) -> DataFrame:
 
 # ---- exchanges ----------------------------------------------------------------
 
-def _in_several(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, least): names that stand in several documents, and the smallest of these."""
-    return (runs.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-            .where("least < most").drop("most"))
+def attach(rows: DataFrame, names: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``names``, one row per key with the key's number of rows in ``uses``.
+
+    A key of more than 1 / HOT_SHARE of the ``total`` rows is one of less than
+    HOT_SHARE keys: these are broadcast, so a hot key's rows stay where they are.
+    """
+    hot = F.col("uses") > total // HOT_SHARE
+    many = F.broadcast(names.where(hot).drop("uses"))
+    rest = rows.join(many.select(*keys), keys, "left_anti").join(names.where(~hot).drop("uses"), keys)
+    return rows.join(many, keys).unionByName(rest)
 
 
 def _gathered(runs: DataFrame, name_: str) -> DataFrame:
@@ -359,25 +367,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def covered_windows(docs: DataFrame) -> DataFrame:
     """(doc, row, start, n): runs of windows that also start in a smaller document; ``row`` is the text's xxhash64."""
     live = _keyed(docs)
+    several = F.col("least") < F.col("most")
+    span = F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("uses")
     for i, top in enumerate(ROUNDS):
         last = i == len(ROUNDS) - 1
         runs = stored(name_round(live, top, last))
-        shared = _in_several(runs.select("seed", "doc"), ["seed"])
-        runs = runs.join(shared, "seed", "left_semi")
+        open_ = (F.min("a") < F.max("a")) | (F.min("b") < F.max("b"))   # runs of different words share the symbol
+        shared = stored(runs.groupBy("seed").agg(*span, open_.alias("open")).where(several).select("seed", "uses", "open"))
+        runs = stored(attach(runs, shared, ["seed"], runs.count()))
         if not last:
             # a text that stands in several rows is looked at once per document
             spans = _gathered(runs, "live")
             live = stored(live.drop("live").join(spans, ["doc", "row"]).dropDuplicates(["doc", "row"]))
-    runs = stored(runs)
-    firsts = runs.groupBy("seed", "a", "b").agg(F.min("doc").alias("first"))
-    several = firsts.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed", F.lit(True).alias("open"))
-    firsts = firsts.join(several, "seed", "left")
-    found = stored(runs.join(firsts, ["seed", "a", "b"]).where("doc > first OR open")
+    words = ["seed", "a", "b"]
+    firsts = stored(runs.groupBy(*words).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("uses")))
+    found = stored(attach(runs, firsts, words, runs.count()).where("doc > first OR open")
                    .select("doc", "row", "start", "n", (F.col("doc") > F.col("first")).alias("whole")))
     spans = _gathered(found.where("NOT whole"), "live")
     windows = stored(name_windows(live.drop("live").join(spans, ["doc", "row"])))
-    singles = (windows.join(_in_several(windows, ["a", "b"]), ["a", "b"]).where("doc > least")
-               .select("doc", "row", "start", F.lit(1).alias("n")))
+    shared = stored(windows.groupBy("a", "b").agg(*span).where(several).select("a", "b", "uses", "least"))
+    singles = attach(windows, shared, ["a", "b"], windows.count()).where("doc > least").select("doc", "row", "start", F.lit(1).alias("n"))
     return found.where("whole").select("doc", "row", "start", "n").unionByName(singles)
 
 
