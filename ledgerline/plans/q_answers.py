@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ledgerline.functions.money import money_columns
 from ledgerline.operators import answers as A
 from ledgerline.operators import periods, sales
-from ledgerline.operators.guard import guarded_select
+from ledgerline.operators.guard import guarded_select, screen, work
 from ledgerline.plans.q_periods import REQUESTS_SQL, event_requests
 from ledgerline.plans.registry import register
 from ledgerline.sources import roles
@@ -277,3 +277,43 @@ def q_guarded_select(t):
     period = {k: dt.date.fromisoformat(v) for k, v in GUARD_PERIOD.items()}
     df, _labels = guarded_select(t.spark, GUARDED_SQL, lambda s: roles.load(s, t.base).views(), period=period)
     return df
+
+
+# Statements as requests might bring them (by props.k % 12, ``{et}`` and ``{k}`` filled in) with their verdicts.
+STATEMENTS = (
+    ("SELECT count(*) AS n FROM orders", "allowed"),
+    ("SELECT * FROM identifier('orders')", "refused"),
+    ("SELECT identifier('reflect')('java.lang.System', 'getProperty', 'user.home') AS x", "refused"),
+    ("SELECT branch, count(*) AS n FROM orders WHERE branch = '{et}' GROUP BY branch", "allowed"),
+    ("SELECT count(*) AS n FROM order_items a JOIN order_items b ON a.quantity < b.quantity", "over budget"),
+    ("SELECT * FROM {et}_log", "refused"),
+    ("DROP TABLE orders", "refused"),
+    ("SELECT o.branch, sum(i.quantity) AS units FROM orders o JOIN order_items i ON i.order_id = o.order_id GROUP BY o.branch", "allowed"),
+    ("SELECT {k}; SELECT 2", "refused"),
+    ("SELECT name FROM products WHERE EXISTS (SELECT 1 FROM global_temp.orders)", "refused"),
+    ("SELECT name, price_cents FROM products ORDER BY price_cents DESC, name LIMIT {k}", "allowed"),
+    ("SELECT i.order_id, p.name FROM products p, order_items i WHERE p.price_cents > i.unit_price_cents", "over budget"),
+)
+# Work admitted for a screened statement, in scans of all tables.
+BUDGET_SCANS = 8
+
+
+def _statements(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    texts = F.element_at(F.array(*[F.lit(x) for x, _ in STATEMENTS]), (k % len(STATEMENTS) + 1).cast("int"))
+    text = F.replace(F.replace(texts, F.lit("{et}"), F.col("event_type")), F.lit("{k}"), k.cast("string"))
+    return t.raw("events").select(F.col("event_id").alias("request_id"), text.alias("sql"))
+
+
+def _sql_case(parts) -> str:
+    return " ".join(f"WHEN {i} THEN '" + x.replace("'", "''") + "'" for i, x in enumerate(parts))
+
+
+@register("guard_verdicts", f"""
+SELECT event_id AS request_id, replace(replace(CASE k % {len(STATEMENTS)} {_sql_case(x for x, _ in STATEMENTS)} END,
+         '{{et}}', event_type), '{{k}}', CAST(k AS VARCHAR)) AS sql,
+       CASE k % {len(STATEMENTS)} {_sql_case(v for _, v in STATEMENTS)} END AS verdict
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e""", use_roles=False)
+def q_guard_verdicts(t):
+    budget = BUDGET_SCANS * sum(work(df) for df in t.views().values())
+    return screen(_statements(t), lambda s: roles.load(s, t.base).views(), budget=budget)

@@ -2,6 +2,10 @@
 checks sf0.01); queries without an oracle must run and keep their schema."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -58,3 +62,33 @@ def test_query_against_oracle(spark, duck, name):
     a = sorted((tuple(_norm(r[i]) for i in si) for r in rows), key=repr)
     b = sorted((tuple(_norm(r[i]) for i in oi) for r in rel.fetchall()), key=repr)
     assert a == b
+
+
+@pytest.mark.parametrize("absent", [("ledgerline/llm", "tests/llm"), ("ledgerline/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_without_optional_parts(tmp_out, absent):
+    """In a copy without the optional folders or the pipeline, the entry imports and keeps all other queries."""
+    here = os.path.dirname(os.path.abspath(E.__file__))
+    parts = [os.path.join(here, a) for a in absent]
+    copy = os.path.join(tmp_out, "copy")
+
+    def left_out(folder, names):
+        return [n for n in names if os.path.join(folder, n) in parts or n in (".git", "__pycache__")]
+    shutil.copytree(here, copy, ignore=left_out)
+    code = ("import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); "
+            "from ledgerline.plans import registry; "
+            "assert set(registry.all_queries()) <= set(q) and set(o) <= set(q); "
+            "print(len(q) - len(registry.all_queries()), E.__file__)")
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr
+    extra, path = done.stdout.split()
+    assert path.startswith(copy) and (int(extra) == 0) == ("ledgerline/llm" in absent)
+
+
+def test_a_missing_package_is_not_hidden(monkeypatch):
+    """Only the optional parts themselves may be absent, not something that they need."""
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'numpy'", name="numpy")
+    monkeypatch.setattr(E.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        E._optional("ledgerline.llm.queries")
