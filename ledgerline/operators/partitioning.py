@@ -2,12 +2,15 @@
 
 ``number_within`` replaces ``row_number() OVER (PARTITION BY g ORDER BY o)``
 where one group may hold a large share of all rows, ``running_sum`` replaces
-a running total over a whole frame. Both cut the order into bins by plain
-arithmetic on the first order column, so a row's bin is a column expression
-of that row: nothing depends on partition ids, on sampling or on which
-attempt of a task ran. A window numbers (or sums) the rows of one bin, and
-the bins before it add their counts (or totals), a table with one row per
-bin and group.
+a running total over a whole frame. Both cut the order into bins of nearly
+equal numbers of rows. The cut points are quantiles of the rows' order keys,
+read off a sample of the rows whose key hashes lowest (a sketch that merges by
+union and repeats exactly); they enter the plan once, as one literal, so a
+row's bin is a column expression of that row: nothing depends on partition
+ids or on which attempt of a task ran. Any cut points give right results,
+their quality decides the balance alone. A window numbers (or sums) the rows
+of one bin, and the bins before it add their counts (or totals), a table with
+one row per bin and group.
 """
 
 from __future__ import annotations
@@ -19,33 +22,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BIN = 50_000
-PREFIX_BYTES = 6
-
-
-def _measure(df: DataFrame, column: str) -> Column:
-    """A number that never falls as ``column`` rises."""
-    c, kind = F.col(column), df.schema[column].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, PREFIX_BYTES))
-        return F.conv(F.rpad(head, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot bin column {column} of type {kind.simpleString()}")
-
-
-def _with_bin(df: DataFrame, column: str, bin_: str, rows_per_bin: int) -> DataFrame:
-    """``df`` with the number of its equal-width bin; nulls come first, as in a sort."""
-    m = _measure(df, column)
-    n, lo, hi = df.select(m.alias("m")).agg(F.count(F.lit(1)), F.min("m"), F.max("m")).first()
-    bins = max(1, -(-n // rows_per_bin))
-    if lo is None or hi <= lo:
-        return df.withColumn(bin_, F.when(m.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
-    at = F.floor((m - F.lit(float(lo))) / F.lit((hi - lo) / bins))
-    return df.withColumn(bin_, F.when(m.isNull(), F.lit(-1)).otherwise(F.least(at, F.lit(bins - 1))).cast("long"))
+MAX_BINS = 4096            # beyond ROWS_PER_BIN * MAX_BINS rows the bins grow
+SAMPLE_PER_BIN = 128
+HASHES = 1 << 40
+
+
+def _unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"_w{i}" for i in range(n + len(taken)))
+    return [c for c in free if c not in taken][:n]
+
+
+def _cut_points(df: DataFrame, order: list[str], rows_per_bin: int) -> tuple[Column, int]:
+    """(array of the bins' first keys but the lowest, number of bins)."""
+    kind = T.ArrayType(T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(order)]))
+    keys = df.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
+    n = keys.count()
+    bins = min(MAX_BINS, max(1, -(-n // rows_per_bin)))
+    if bins == 1:
+        return F.array().cast(kind), 1
+    share = min(1.0, SAMPLE_PER_BIN * bins / n)
+    low = F.pmod(F.xxhash64("k"), F.lit(HASHES)) < int(share * HASHES)
+    # about SAMPLE_PER_BIN * MAX_BINS rows at most, whatever the input
+    sample = keys.where(low).withColumn("i", F.row_number().over(Window.orderBy("k")))
+    total = sample.count()
+    at = sorted({total * j // bins + 1 for j in range(1, bins)})
+    cuts = sample.where(F.col("i").isin(at)).agg(F.to_json(F.array_sort(F.collect_list("k")))).first()[0]
+    return F.from_json(F.lit(cuts), kind), bins
+
+
+def _with_bin(df: DataFrame, order: list[str], bin_: str, rows_per_bin: int) -> DataFrame:
+    """``df`` with the number of its bin in ``order``: the cut points at or before the row's key, by binary search."""
+    cuts, bins = _cut_points(df, order, rows_per_bin)
+    if bins == 1:
+        return df.withColumn(bin_, F.lit(0))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bins.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at))
+    return df.withColumn(bin_, found)
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], name: str = "pos",
@@ -56,16 +71,16 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str =
     defined position). ``group`` may be empty: one global numbering. A null
     is a group of its own.
     """
-    binned = _with_bin(df, order[0], "_bin", rows_per_bin)
-    local = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(*order))
-    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bin").alias("_b"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)],
-                  F.col("_bin") == F.col("_b"))
-    out = binned.withColumn(name, local).join(offsets, same)
-    return out.select(*[c for c in df.columns if c != name], (F.col("_before") + F.col(name)).alias(name))
+    bin_, count, first, other, *copies = _unused(df, 4 + len(group))
+    binned = _with_bin(df, order, bin_, rows_per_bin)
+    local = F.row_number().over(Window.partitionBy(*group, bin_).orderBy(*order))
+    before = Window.partitionBy(*group).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy(*group, bin_).agg(F.count(F.lit(1)).alias(count))
+    offsets = sizes.select(*[F.col(g).alias(c) for g, c in zip(group, copies)], F.col(bin_).alias(other),
+                           F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(c)) for g, c in zip(group, copies)], F.col(bin_) == F.col(other))
+    numbered = binned.withColumn(count, local).join(offsets, same)
+    return numbered.select(*[c for c in df.columns if c != name], (F.col(first) + F.col(count)).alias(name))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -84,15 +99,14 @@ def running_sum(df: DataFrame, order: list[str], value, name, rows_per_bin: int
     """
     values = [value] if isinstance(value, str) else list(value)
     names = [name] if isinstance(name, str) else list(name)
-    binned = _with_bin(df, order[0], "_bin", rows_per_bin)
-    inside = Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = binned.groupBy(F.col("_bin").alias("_b")).agg(
-        *[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"_t{i}") for i, v in enumerate(values)])
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}")
-                                    for i in range(len(values))])
-    local = binned.withColumns({f"_s{i}": F.sum(F.coalesce(F.col(v), F.lit(0))).over(inside)
-                                for i, v in enumerate(values)})
-    out = local.join(offsets, F.col("_bin") == F.col("_b"))
+    bin_, other, *spare = _unused(df, 2 + 3 * len(values))
+    total, offset, sums = (spare[i::3] for i in range(3))
+    binned = _with_bin(df, order, bin_, rows_per_bin)
+    inside = Window.partitionBy(bin_).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy(other).rowsBetween(Window.unboundedPreceding, -1)    # one row per bin
+    totals = binned.groupBy(F.col(bin_).alias(other)).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(t) for v, t in zip(values, total)])
+    offsets = totals.select(other, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o) for t, o in zip(total, offset)])
+    local = binned.withColumns({s: F.sum(F.coalesce(F.col(v), F.lit(0))).over(inside) for v, s in zip(values, sums)})
+    out = local.join(offsets, F.col(bin_) == F.col(other))
     return out.select(*[c for c in df.columns if c not in names],
-                      *[(F.col(f"_o{i}") + F.col(f"_s{i}")).cast("long").alias(c) for i, c in enumerate(names)])
+                      *[(F.col(o) + F.col(s)).cast("long").alias(c) for o, s, c in zip(offset, sums, names)])

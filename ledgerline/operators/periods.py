@@ -1,25 +1,32 @@
 """Many calendar requests answered at once.
 
-``period_join``  -- rows whose date lies inside each request's inclusive
-                    period. Range join written as an equi-join on day keys
-                    (short periods) or month keys (long ones) with the
-                    ``BETWEEN`` kept as a residual filter, so Spark plans a
-                    hash/sort-merge join instead of a nested loop.
-
-``period_report`` -- summary measures per request. Measures are additive
-                    over days, so the report needs no (request x order)
-                    pairs at all: sales are reduced to one row per calendar
-                    day, turned into running totals over a dense day spine,
-                    and each request reads two running totals (end day and
-                    the day before its start). Work is O(lines) for the daily
-                    reduction plus O(requests) for two equi-joins against a
-                    table whose size is the number of calendar days in the
-                    data -- independent of data volume.
+``period_join``      -- rows whose date lies inside each request's inclusive
+                        period, as equi-joins: a period is a few aligned
+                        dyadic blocks of days, a day stands in one block per
+                        level.
+
+``period_aggregate`` -- any aggregate that combines (maximum, minimum, sum)
+                        over the days of each request's period, from block
+                        aggregates: O(log days) rows per request.
+
+``period_report``    -- summary measures per request. Measures are additive
+                        over days, so the report needs no (request x order)
+                        pairs at all: sales are reduced to one row per calendar
+                        day, turned into running totals over a dense day spine,
+                        and each request reads two running totals (end day and
+                        the day before its start). Work is O(lines) for the daily
+                        reduction plus O(requests) for two equi-joins against a
+                        table whose size is the number of calendar days in the
+                        data -- independent of data volume. ``orders_in_periods``
+                        counts the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import sales
@@ -29,56 +36,133 @@ from ledgerline.sources.roles import Tables
 REPORT_MEASURES = ("orders",) + sales.MEASURES
 
 
-# Longest period that is exploded into days; a longer one into months. The result is the same either way.
-SHORT_PERIOD_DAYS = 62
+# ---- dyadic blocks ------------------------------------------------------------------
+#
+# Block (level, at) holds the days at * 2^level .. (at + 1) * 2^level - 1, counted from a base day.
+
+def levels_of(lo: date, hi: date) -> int:
+    """Number of levels that cover the days lo..hi."""
+    return (hi - lo).days.bit_length() + 1
+
+
+def period_blocks(start: Column, end: Column, lo: date, hi: date) -> Column:
+    """Array of (level, at): the disjoint blocks that make up start..end, clipped to lo..hi; at most two per level.
+
+    Empty where a bound is null or end is before start. Level by level the
+    period is cut to even bounds, an odd bound gives a block of that level.
+    """
+    base = F.lit(lo).cast("date")
+    first = F.greatest(F.datediff(start, base), F.lit(0))
+    stop = F.least(F.datediff(end, base), F.lit((hi - lo).days)) + 1
+    valid = start.isNotNull() & end.isNotNull() & (start <= end)
+    blocks = []
+    for level in range(levels_of(lo, hi)):
+        width = 1 << level
+        s, e = F.floor((first + (width - 1)) / width).cast("int"), F.floor(stop / width).cast("int")
+        odd = F.pmod(s, F.lit(2)) == 1
+        for take, at in ((valid & (s < e) & odd, s), (valid & (s + odd.cast("int") < e) & (F.pmod(e, F.lit(2)) == 1), e - 1)):
+            blocks.append(F.when(take, F.struct(F.lit(level).alias("level"), at.alias("at"))))
+    return F.filter(F.array(*blocks), lambda b: b.isNotNull())
+
+
+def day_blocks(day: Column, lo: date, hi: date) -> Column:
+    """Array of (level, at): the block of each level that holds ``day``."""
+    offset = F.datediff(day, F.lit(lo).cast("date"))
+    return F.transform(F.sequence(F.lit(0), F.lit(levels_of(lo, hi) - 1)),
+                       lambda level: F.struct(level.alias("level"), F.floor(offset / F.pow(F.lit(2.0), level)).cast("int").alias("at")))
+
+
+def _bounds(facts: DataFrame, date_col: str) -> tuple[date, date] | None:
+    lo, hi = facts.agg(F.min(date_col), F.max(date_col)).first()
+    return None if lo is None else (lo, hi)
 
 
 def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
                 start_col: str = "date_start", end_col: str = "date_end", salts: int = 1) -> DataFrame:
     """Inner range join: fact rows with ``start <= date <= end``.
 
-    Each period is exploded into bucket keys -- its days when it spans at
-    most SHORT_PERIOD_DAYS days, else the first days of the months it
-    touches -- and every fact row carries both its day key and its month
-    key, tagged. One equi-join on (tag, key) then pairs a period only with
-    facts of its own days or months, and ``BETWEEN`` trims the edge months.
+    The periods' blocks meet the blocks of the days that occur in the facts:
+    one equi-join, in which every pair is a (period, day) of the result, since
+    a period's blocks are disjoint. The facts join on their day, as they are.
     A period with a NULL bound, or with end before start, matches nothing.
-    Periods are clipped to the facts' date range first, so a period of
-    centuries makes no more keys than the facts have. ``salts`` splits each
-    key: facts take one of so many salts, periods are copied to all of them.
+    ``salts`` splits each day: facts take one of so many salts, the (period,
+    day) pairs are copied to all of them.
     """
-    lo, hi = facts.agg(F.min(date_col), F.max(date_col)).first()
-    if lo is None:
-        lo = hi = F.lit(None).cast("date")
-    else:
-        lo, hi = F.lit(lo).cast("date"), F.lit(hi).cast("date")
-    s, e = F.greatest(F.col(start_col), lo), F.least(F.col(end_col), hi)
-    valid = F.col(start_col).isNotNull() & F.col(end_col).isNotNull() & (s <= e)
-    short = F.datediff(e, s) < SHORT_PERIOD_DAYS
-    keys = F.when(valid, F.when(
-        short, F.transform(F.sequence(s, e), lambda d: F.struct(F.lit("d").alias("tag"), d.alias("key"))))
-        .otherwise(F.transform(F.sequence(F.trunc(s, "MM"), F.trunc(e, "MM"), F.expr("INTERVAL 1 MONTH")),
-                               lambda d: F.struct(F.lit("m").alias("tag"), d.alias("key")))))
-    p = periods.select("*", F.inline(keys).alias("_tag", "_key"))
-    p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = F.col(date_col)
-    f = facts.select("*", F.inline(F.array(F.struct(F.lit("d").alias("tag"), d.alias("key")),
-                                           F.struct(F.lit("m").alias("tag"), F.trunc(d, "MM").alias("key"))))
-                     .alias("_tag", "_key"))
-    f = f.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    j = p.join(f, ["_tag", "_key", "_salt"]).where(d.between(F.col(start_col), F.col(end_col)))
-    return j.drop("_tag", "_key", "_salt")
+    bounds = _bounds(facts, date_col)
+    if bounds is None:
+        return periods.limit(0).join(facts, F.lit(False), "inner") if not periods.columns else periods.join(facts, F.lit(False))
+    days = facts.where(F.col(date_col).isNotNull()).select(F.col(date_col).alias("_day")).distinct()
+    days = days.select("_day", F.inline(day_blocks(F.col("_day"), *bounds)).alias("_level", "_at"))
+    p = periods.select("*", F.inline(period_blocks(F.col(start_col), F.col(end_col), *bounds)).alias("_level", "_at"))
+    pairs = p.join(days, ["_level", "_at"]).drop("_level", "_at")
+    pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    f = facts.withColumns({"_day": F.col(date_col), "_salt": F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")})
+    return pairs.join(f, ["_day", "_salt"]).drop("_day", "_salt")
+
+
+def period_aggregate(periods: DataFrame, daily: DataFrame, date_col: str, measures: dict[str, Callable[[str], Column]],
+                     key: str = "request_id", start_col: str = "date_start", end_col: str = "date_end") -> DataFrame:
+    """(key, measures) of every period with at least one row of ``daily`` inside.
+
+    ``measures`` maps a column of ``daily`` to an aggregate that gives the
+    same over parts as over the whole (``F.max``, ``F.min``, ``F.sum``). It is
+    taken once per block, then over the blocks of each period: a period of
+    years reads some twenty rows.
+    """
+    columns = list(measures)
+    bounds = _bounds(daily, date_col)
+    if bounds is None:
+        return periods.select(key).join(daily.select(*columns), F.lit(False))
+    blocks = (daily.where(F.col(date_col).isNotNull()).select(F.inline(day_blocks(F.col(date_col), *bounds)).alias("_level", "_at"), *columns)
+              .groupBy("_level", "_at").agg(*[f(c).alias(c) for c, f in measures.items()]))
+    p = periods.select(key, F.inline(period_blocks(F.col(start_col), F.col(end_col), *bounds)).alias("_level", "_at"))
+    return p.join(blocks, ["_level", "_at"]).groupBy(key).agg(*[f(c).alias(c) for c, f in measures.items()])
+
+
+def busiest_days(t: Tables, periods: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, busiest_day, busiest_orders, quietest_orders): the day with the most orders (the first of equals) and the
+    least number of orders on a day with any, per request with an order in its period."""
+    daily = (t.orders.groupBy("order_date").agg(F.count(F.lit(1)).alias("n"))
+             .select("order_date", F.struct("n", (-F.unix_date("order_date")).alias("d")).alias("most"), F.col("n").alias("least")))
+    found = period_aggregate(periods, daily, "order_date", {"most": F.max, "least": F.min}, key)
+    return found.select(key, F.date_from_unix_date(-F.col("most.d")).alias("busiest_day"),
+                        F.col("most.n").alias("busiest_orders"), F.col("least").alias("quietest_orders"))
+
+
+# ---- running totals -------------------------------------------------------------------
+
+def _running(daily: DataFrame, spine: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """(day, running totals) for every day of ``spine``; the table has one row per calendar day."""
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = spine.join(daily, "day", "left")
+    return filled.select("day", *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(w).alias(m) for m in measures])
 
 
-def orders_in_periods(t: Tables, periods: DataFrame, key: str = "request_id") -> DataFrame:
-    """(key, order_days, orders) of every request with at least one order in its period.
+def _differences(periods: DataFrame, cum: DataFrame, measures: tuple[str, ...], start_col: str, end_col: str) -> DataFrame:
+    """``periods`` with each measure's total inside the period, from two running totals (``_inside``: there is a day at all)."""
+    lo, hi = (F.lit(x).cast("date") for x in cum.agg(F.min("day"), F.max("day")).first())
+    s, e = F.col(start_col), F.col(end_col)
+    both = s.isNotNull() & e.isNotNull()
+    # through a generator, so that no filter on the keys is pushed into the columns that the period was derived from
+    keys = F.struct(F.when(both, F.least(e, hi)).alias("_end_key"), F.when(both, F.greatest(F.date_sub(s, 1), lo)).alias("_before_key"))
+    req = periods.select("*", F.inline(F.array(keys)))
+    at_end = cum.select(F.col("day").alias("_end_key"), *[F.col(m).alias("_e_" + m) for m in measures])
+    before = cum.select(F.col("day").alias("_before_key"), *[F.col(m).alias("_b_" + m) for m in measures])
+    j = req.join(at_end, "_end_key", "left").join(before, "_before_key", "left")
+    return j.select(*[F.col(c) for c in periods.columns], (F.col("_end_key") > F.col("_before_key")).alias("_inside"),
+                    *[(F.col("_e_" + m) - F.col("_b_" + m)).alias("_d_" + m) for m in measures])
 
-    The orders are reduced to one row per day before the range join, so
-    neither a busy day nor a long period makes (request, order) pairs.
-    """
-    daily = t.orders.groupBy("order_date").agg(F.count(F.lit(1)).alias("n"))
-    j = period_join(periods.select(key, "date_start", "date_end"), daily, "order_date")
-    return j.groupBy(key).agg(F.count(F.lit(1)).alias("order_days"), F.sum("n").alias("orders"))
+
+def orders_in_periods(t: Tables, periods: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, order_days, orders) of every request with at least one order in its period, from running totals of the days."""
+    daily = t.orders.groupBy(F.col("order_date").alias("day")).agg(F.count(F.lit(1)).alias("orders"), F.lit(1).alias("order_days"))
+    lo, hi = _spine_bounds(t)
+    spine = t.spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
+    checkpoint_dir(t.spark)
+    counts = ("order_days", "orders")
+    cum = _running(daily, spine, counts).checkpoint()
+    found = _differences(periods.select(key, "date_start", "date_end"), cum, counts, "date_start", "date_end")
+    return found.where(F.col("_inside") & (F.col("_d_orders") > 0)).select(key, *[F.col("_d_" + m).cast("bigint").alias(m) for m in counts])
 
 
 def _spine_bounds(t: Tables):
@@ -101,11 +185,8 @@ def daily_running_totals(t: Tables) -> DataFrame:
     daily = sales.summary(t, "day")
     lo, hi = _spine_bounds(t)
     spine = t.spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = spine.join(daily, "day", "left")
     checkpoint_dir(t.spark)
-    return filled.select("day", *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(w).alias(m)
-                                  for m in REPORT_MEASURES]).checkpoint()
+    return _running(daily, spine, REPORT_MEASURES).checkpoint()
 
 
 def period_report(t: Tables, periods: DataFrame, start_col: str = "date_start",
@@ -115,24 +196,7 @@ def period_report(t: Tables, periods: DataFrame, start_col: str = "date_start",
     Requests with no period, an error, or no sales in the period are kept:
     orders 0, sums NULL (as SUM over no rows).
     """
-    cum = daily_running_totals(t)
-    lo, hi = cum.agg(F.min("day"), F.max("day")).first()
-    lo, hi = F.lit(lo).cast("date"), F.lit(hi).cast("date")
-    s, e = F.col(start_col), F.col(end_col)
-    req = periods.select(
-        "*",
-        F.when(s.isNotNull() & e.isNotNull(), F.least(e, hi)).alias("_end_key"),
-        F.when(s.isNotNull() & e.isNotNull(), F.greatest(F.date_sub(s, 1), lo)).alias("_before_key"),
-    )
-    at_end = cum.select(F.col("day").alias("_end_key"), *[F.col(m).alias("_e_" + m) for m in REPORT_MEASURES])
-    before = cum.select(F.col("day").alias("_before_key"), *[F.col(m).alias("_b_" + m) for m in REPORT_MEASURES])
-    j = req.join(at_end, "_end_key", "left").join(before, "_before_key", "left")
-    inside = F.col("_end_key") > F.col("_before_key")
-    n_orders = F.when(inside, F.col("_e_orders") - F.col("_b_orders")).otherwise(F.lit(0))
-    out = j.select(
-        *[F.col(c) for c in periods.columns],
-        F.coalesce(n_orders, F.lit(0)).cast("bigint").alias("orders"),
-        *[F.when(inside & (n_orders > 0), F.col("_e_" + m) - F.col("_b_" + m)).cast("bigint").alias(m)
-          for m in sales.MEASURES],
-    )
-    return out
+    j = _differences(periods, daily_running_totals(t), REPORT_MEASURES, start_col, end_col)
+    n_orders = F.coalesce(F.when(F.col("_inside"), F.col("_d_orders")), F.lit(0))
+    return j.select(*[F.col(c) for c in periods.columns], n_orders.cast("bigint").alias("orders"),
+                    *[F.when(n_orders > 0, F.col("_d_" + m)).cast("bigint").alias(m) for m in sales.MEASURES])

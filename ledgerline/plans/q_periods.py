@@ -166,3 +166,24 @@ FROM res r JOIN (SELECT order_date, count(*) AS n FROM s_orders GROUP BY 1) o
 GROUP BY 1"""))
 def q_join_period(t):
     return periods.orders_in_periods(t, resolved(t))
+
+
+@register("period_peaks", _with_requests(""",
+daily AS (SELECT order_date, count(*) AS n FROM s_orders GROUP BY 1)
+SELECT r.request_id, max({'n': d.n, 'd': -(d.order_date - DATE '1970-01-01')}).n AS busiest_orders,
+       DATE '1970-01-01' + CAST(-max({'n': d.n, 'd': -(d.order_date - DATE '1970-01-01')}).d AS INTEGER) AS busiest_day,
+       min(d.n) AS quietest_orders
+FROM res r JOIN daily d ON d.order_date BETWEEN r.date_start AND r.date_end
+GROUP BY 1"""))
+def q_period_peaks(t):
+    return periods.busiest_days(t, resolved(t))
+
+
+@register("period_days", _with_requests("""
+SELECT p.date_start, p.date_end, d.order_date, d.orders
+FROM (SELECT DISTINCT date_start, date_end FROM res WHERE date_start IS NOT NULL) p
+JOIN (SELECT order_date, count(*) AS orders FROM s_orders GROUP BY 1) d ON d.order_date BETWEEN p.date_start AND p.date_end"""))
+def q_period_days(t):
+    asked = resolved(t).select("date_start", "date_end").distinct()
+    daily = t.orders.groupBy("order_date").agg(F.count(F.lit(1)).alias("orders"))
+    return periods.period_join(asked, daily, "order_date")

@@ -34,6 +34,34 @@ def test_number_within_kinds_of_order(spark):
     assert number_within(df.limit(0), [], ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("order", [
+    # 95 % of the rows in 1 % of the range
+    "CASE WHEN id % 20 <> 0 THEN pmod(xxhash64(id), 10000000) ELSE pmod(xxhash64(id), 1000000000) END / 1e9D",
+    # one long prefix for all, then one of two long prefixes
+    "repeat('s3/bucket/', 30) || CASE WHEN id % 3 = 0 THEN repeat('left/', 20) ELSE repeat('right/', 20) END || hex(xxhash64(id))",
+    # nulls, and values shared by many rows
+    "CASE WHEN id % 4 <> 0 THEN id % 3 END",
+])
+def test_bins_are_even(spark, order):
+    """Right positions and no bin above twice the mean, however the order column is spread."""
+    from ledgerline.operators import partitioning as P
+    df = spark.range(120_000).withColumn("o", F.expr(order)).repartition(6)
+    binned = P._with_bin(df, ["o", "id"], "b", 3000)
+    sizes = [r["count"] for r in binned.groupBy("b").count().collect()]
+    assert 36 <= len(sizes) <= 40 and max(sizes) <= 2 * 3000
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy("o", "id"))).select("id", "rn")
+    assert number_within(df, [], ["o", "id"], "pos", 3000).join(want, "id").where("pos = rn").count() == 120_000
+
+
+def test_columns_keep_their_values(spark):
+    """Columns named like the helper columns come out as they went in."""
+    names = ["_bin", "_n", "_before", "_g0", "_b", "_w0", "_w1", "_w2", "_w3", "_s0", "_o0", "_t0"]
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"), *[F.lit(f"mine {c}").alias(c) for c in names])
+    for out in (number_within(df, ["g"], ["id"], "pos", 100), running_sum(df, ["id"], "g", "sum", 100)):
+        assert out.count() == 500
+        assert out.where(" AND ".join(f"{c} = 'mine {c}'" for c in names)).count() == 500
+
+
 def test_running_sum_matches_cumsum(spark):
     df = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 7 % 5).alias("w"),
                                      F.when(F.col("id") % 2 == 0, 1).alias("v"), F.lit("x").alias("other")).repartition(5)
