@@ -20,6 +20,8 @@ NO_RECORDS = "No matching records were found for that request."
 MANY_ROWS = " results. See the table below."
 COST_NOTE = ("Estimated food cost and gross profit use sample ingredient costs. "
              "Net profit requires operating expenses.")
+PLAN_TEXTS = ("sql", "clarification", "reason")
+ERR_PLAN_MISSING, ERR_PLAN_JSON, ERR_PLAN_OBJECT = "no plan", "plan is not JSON", "plan is not an object"
 CLARIFY_DEFAULT = "Please make the question more specific."
 # Topics the data cannot answer (they need a clarification).
 UNAVAILABLE_TOPICS = ("net profit", "stock", "waste", "vat", "refund", "customer")
@@ -51,6 +53,62 @@ def routes(requests: DataFrame, label_col: str = "route") -> dict[str, DataFrame
     return out
 
 
+def parse_plans(plans: DataFrame, column: str = "plan_json") -> DataFrame:
+    """``plans`` with sql, clarification, reason, date_spec (JSON text) and ``error`` from the JSON text in ``column``.
+
+    The text is parsed once into a VARIANT, so a malformed plan is a row with
+    an error, not a failed job: the plan is missing, is no JSON, is no object,
+    or holds a field of the wrong kind (its values are then null). A null or
+    absent field is null; a plan may have further fields.
+    """
+    parsed = plans.withColumn("_v", F.try_parse_json(column))
+
+    def field(name: str) -> Column:
+        return F.try_variant_get("_v", f"$.{name}", "variant")
+
+    def is_kind(c: Column, *kinds: str) -> Column:
+        return F.coalesce(F.schema_of_variant(c).rlike("^(" + "|".join(kinds) + ")"), F.lit(True))
+
+    text = [(n, is_kind(field(n), "VOID", "STRING")) for n in PLAN_TEXTS]
+    spec_ok = is_kind(field("date_spec"), "VOID", "OBJECT")
+    error = (F.when(F.col(column).isNull(), F.lit(ERR_PLAN_MISSING))
+             .when(F.col("_v").isNull(), F.lit(ERR_PLAN_JSON))
+             .when(~is_kind(F.col("_v"), "OBJECT"), F.lit(ERR_PLAN_OBJECT)))
+    for name, ok in text:
+        error = error.when(~ok, F.lit(f"{name} is not text"))
+    out = parsed.withColumn("error", error.when(~spec_ok, F.lit("date_spec is not an object")))
+    fine = F.col("error").isNull()
+    spec = F.when(~F.coalesce(F.is_variant_null(field("date_spec")), F.lit(True)), F.to_json(field("date_spec")))
+    return out.select(*plans.columns, *[F.when(fine, F.try_variant_get("_v", f"$.{n}", "string")).alias(n) for n in PLAN_TEXTS],
+                      F.when(fine, spec).alias("date_spec"), "error")
+
+
+def plan_periods(plans: DataFrame, data_range: DataFrame, column: str = "plan_json", reference: str = "reference") -> DataFrame:
+    """``parse_plans`` with the period of each plan's date spec: kind, date_start, date_end; ``error`` of the plan or else of its spec."""
+    from ledgerline.functions.calendar import resolve_periods
+
+    parsed = parse_plans(plans, column).withColumnRenamed("error", "_plan_error")
+    found = resolve_periods(parsed, data_range, "date_spec", reference)
+    return found.withColumn("error", F.coalesce("_plan_error", "error")).drop("_plan_error")
+
+
+def grouped_results(requests: DataFrame, results: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per request: its columns, ``row_count``, and the values of its first result row in ``order``.
+
+    ``results`` holds any number of rows per ``key``; one aggregate with
+    map-side combining gives the count, the least row and whether every value
+    is null (which counts as no rows, as in ``empty_flag``). Requests without
+    result rows are kept with row_count 0 and null values.
+    """
+    values = [c for c in results.columns if c != key]
+    empty = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in values])
+    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in values if c not in order])
+    g = results.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"), F.bool_and(empty).alias("_empty"))
+    return requests.join(g, key, "left").select(
+        *[F.col(c) for c in requests.columns], F.when(F.col("_empty"), 0).otherwise(F.coalesce("_n", F.lit(0))).alias("row_count"),
+        *[F.col(f"_first.{c}").alias(c) for c in values])
+
+
 def clarification_split(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plans without SQL become clarifications (with a default question)."""
     clar = plans.where(F.col("sql").isNull()).withColumn(

@@ -6,22 +6,33 @@ repeat. A weighted choice compares ``u * W`` with ``C_i * 2^32`` in integer
 arithmetic (``C_i`` cumulative integer weights, ``W`` their total), so no
 floating-point boundary can differ between runs or engines.
 
-Drawing from a weighted table is an equi-join: every row covers the interval
-[lo, hi) of its cumulative weight; the axis 0..W-1 is cut into equal cells, a
-row stands in the cells that its interval touches (rows + cells in all,
-whatever the weights), and a draw ``x = u * W div 2^32`` looks up its cell.
+Drawing from a weighted table: every row covers the interval [lo, hi) of its
+cumulative weight, and a draw ``x = u * W div 2^32`` takes the row whose
+interval holds it. A table of bounded size is broadcast and searched; a larger
+one is an equi-join: the axis 0..W-1 is cut into equal cells, a row stands in
+the cells that its interval touches (rows + cells in all, whatever the
+weights), and a draw looks up its cell.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.functions.calendar import as_date
 from ledgerline.session import checkpoint_dir
 from ledgerline.operators.partitioning import number_within, running_sum
 
 TWO32 = 1 << 32
+MAX_WEIGHT = 1 << 31
+# Products (two numbers each) whose cumulative weights are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 # Draws ahead per missing product in one round, at most.
 MAX_AHEAD = 1024
 # Fixed values of the sales laws (weights and size mix).
@@ -63,7 +74,7 @@ def weight_cells(table: DataFrame, weight: Column, key: str) -> tuple[DataFrame,
     t = table.select(key, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
     cum = running_sum(t, [key], "_w", "hi").select(key, (F.col("hi") - F.col("_w")).alias("lo"), "hi")
     n, total = cum.agg(F.count(F.lit(1)), F.coalesce(F.max("hi"), F.lit(0))).first()
-    if total >= 1 << 31:
+    if total >= MAX_WEIGHT:
         raise ValueError("total weight must be below 2^31 (scale the weights down)")
     width = max(1, total // max(1, n))
     cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
@@ -93,23 +104,75 @@ def fixed_mix_shuffle(df: DataFrame, key: str, seed, mix: tuple = ORDER_SIZES, n
     return ranked.withColumn(name, fixed_mix(F.col("_rank"), n, mix)).drop("_h", "_rank")
 
 
+def _drawn_within(need: DataFrame, table: list, seed, key: str, product_key: str, kind: str) -> DataFrame:
+    """The draws of every order made where its row is, one lookup each in the broadcast cumulative weights."""
+    ids, ends = np.array([r[0] for r in table], object), np.cumsum([r[1] for r in table])
+    if len(ends) and ends[-1] >= MAX_WEIGHT:
+        raise ValueError("total weight must be below 2^31 (scale the weights down)")
+    shared = need.sparkSession.sparkContext.broadcast((ids, ends))
+    id_type = to_arrow_type(need.sparkSession.createDataFrame([], f"x {kind}").schema[0].dataType)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends = shared.value
+        for batch in batches:
+            rows, places, picks = [], [], []
+            for i, (order, text, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                seen, d = set(), 0
+                while len(seen) < (size or 0):
+                    u = int(hashlib.md5(f"{seed}|{text}|{d}".encode()).hexdigest()[:8], 16)
+                    at = int(np.searchsorted(ends, u * int(ends[-1]) >> 32, side="right"))
+                    d += 1
+                    if at not in seen:
+                        seen.add(at)
+                        rows.append(i)
+                        places.append(at)
+                        picks.append(len(seen))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids[places].tolist(), id_type),
+                                              pa.array(picks, pa.int32())], names=[key, product_key, "pick"])
+    row = need.select(key, F.col(key).cast("string").alias("_text"), "_size")
+    return row.mapInArrow(draw, f"`{key}` {need.schema[key].dataType.simpleString()}, `{product_key}` {kind}, pick int")
+
+
 def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_col: str = "size",
                              key: str = "order_id", product_key: str = "product_id",
-                             weight_col: str = "weight") -> DataFrame:
+                             weight_col: str = "weight", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(order_id, product_id, pick) with ``size`` distinct products per order,
     drawn by weight with repeats redrawn.
 
     The draws of an order form one seeded i.i.d. sequence; the result is its
     first ``size`` distinct values, which is exactly "draw, redraw repeats".
+    With at most ``broadcast_rows`` products their cumulative weights are
+    broadcast and an order draws until it has its products, in the task that
+    holds its row: no shuffle, no rounds. A larger table of products is cut
+    into cells and joined in rounds (``_drawn_in_rounds``), with the same
+    result. An order that wants more products than have a weight is refused
+    before the first draw.
+    """
+    need = orders.select(key, F.col(size_col).cast("int").alias("_size"))
+    weight = F.col(weight_col).cast("bigint")
+    # nothing but the bounded table of products is gathered; one row more tells whether it is larger
+    table = (products.where(weight > 0).select(product_key, weight.alias("_w")).orderBy(product_key)
+             .limit(broadcast_rows + 1).collect())
+    if len(table) > broadcast_rows:
+        return _drawn_in_rounds(need, products, seed, key, product_key, weight_col)
+    need = need.checkpoint()    # read twice
+    largest = need.agg(F.max("_size")).first()[0] or 0
+    if largest > len(table):
+        raise ValueError(f"an order wants {largest} distinct products, {len(table)} have a weight")
+    return _drawn_within(need, table, seed, key, product_key, products.schema[product_key].dataType.simpleString())
+
+
+def _drawn_in_rounds(need: DataFrame, products: DataFrame, seed, key: str, product_key: str, weight_col: str) -> DataFrame:
+    """The same draws by joins with cells of the weight axis.
+
     The sequence is consumed in rounds: every order still short of products
-    draws ahead; the loop ends when no order is short. An order that wants
-    more products than have a weight is refused before the first draw.
-    Lineage is cut with ``checkpoint`` after every round. Per-order windows
-    here hold at most the draws of one order in one round.
+    draws ahead; the loop ends when no order is short. Lineage is cut with
+    ``checkpoint`` after every round. Per-order windows here hold at most the
+    draws of one order in one round.
     """
     cells, total, width = weight_cells(products.select(product_key, weight_col), F.col(weight_col), product_key)
     # the input is read once: its lineage (shuffles, numbering) is cut here
-    need = orders.select(key, F.col(size_col).cast("int").alias("_size")).checkpoint()
+    need = need.checkpoint()
     largest = need.agg(F.max("_size")).first()[0] or 0
     drawable = cells.select(product_key).distinct().count()
     if largest > drawable:

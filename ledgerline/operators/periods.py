@@ -45,26 +45,32 @@ def levels_of(lo: date, hi: date) -> int:
     return (hi - lo).days.bit_length() + 1
 
 
-def period_blocks(start: Column, end: Column, lo: date, hi: date) -> Column:
-    """Array of (level, at): the disjoint blocks that make up start..end, clipped to lo..hi; at most two per level.
+def _blocks_between(first: Column, stop: Column, levels: int) -> Column:
+    """Array of (level, at): the disjoint blocks of the days first..stop - 1, at most two per level.
 
-    Empty where a bound is null or end is before start. Level by level the
-    period is cut to even bounds, an odd bound gives a block of that level.
+    Level by level the period is cut to even bounds; an odd bound gives a block of that level.
     """
-    base = F.lit(lo).cast("date")
-    first = F.greatest(F.datediff(start, base), F.lit(0))
-    stop = F.least(F.datediff(end, base), F.lit((hi - lo).days)) + 1
-    valid = start.isNotNull() & end.isNotNull() & (start <= end)
     blocks = []
-    for level in range(levels_of(lo, hi)):
+    for level in range(levels):
         width = 1 << level
         s, e = F.floor((first + (width - 1)) / width).cast("int"), F.floor(stop / width).cast("int")
         odd = F.pmod(s, F.lit(2)) == 1
-        for take, at in ((valid & (s < e) & odd, s), (valid & (s + odd.cast("int") < e) & (F.pmod(e, F.lit(2)) == 1), e - 1)):
+        for take, at in (((s < e) & odd, s), ((s + odd.cast("int") < e) & (F.pmod(e, F.lit(2)) == 1), e - 1)):
             blocks.append(F.when(take, F.struct(F.lit(level).alias("level"), at.alias("at"))))
     return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
+def with_blocks(periods: DataFrame, start_col: str, end_col: str, lo: date, hi: date) -> DataFrame:
+    """``periods`` with a row (_level, _at) for each block of start..end, clipped to lo..hi; none where a bound is null or end < start."""
+    base, s, e = F.lit(lo).cast("date"), F.col(start_col), F.col(end_col)
+    first = F.when(s.isNotNull(), F.greatest(F.datediff(s, base), F.lit(0))).alias("_first")
+    stop = F.when(e.isNotNull(), F.least(F.datediff(e, base), F.lit((hi - lo).days)) + 1).alias("_stop")
+    # through a generator, so that what the bounds were derived from is computed once, not copied into every level
+    p = periods.select("*", F.inline(F.array(F.struct(first, stop)))).where("_first < _stop")
+    p = p.select("*", F.inline(_blocks_between(F.col("_first"), F.col("_stop"), levels_of(lo, hi))).alias("_level", "_at"))
+    return p.drop("_first", "_stop")
+
+
 def day_blocks(day: Column, lo: date, hi: date) -> Column:
     """Array of (level, at): the block of each level that holds ``day``."""
     offset = F.datediff(day, F.lit(lo).cast("date"))
@@ -90,10 +96,10 @@ def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
     """
     bounds = _bounds(facts, date_col)
     if bounds is None:
-        return periods.limit(0).join(facts, F.lit(False), "inner") if not periods.columns else periods.join(facts, F.lit(False))
+        return periods.withColumn("_none", F.lit(1)).join(facts.where("false").withColumn("_none", F.lit(1)), "_none").drop("_none")
     days = facts.where(F.col(date_col).isNotNull()).select(F.col(date_col).alias("_day")).distinct()
     days = days.select("_day", F.inline(day_blocks(F.col("_day"), *bounds)).alias("_level", "_at"))
-    p = periods.select("*", F.inline(period_blocks(F.col(start_col), F.col(end_col), *bounds)).alias("_level", "_at"))
+    p = with_blocks(periods, start_col, end_col, *bounds)
     pairs = p.join(days, ["_level", "_at"]).drop("_level", "_at")
     pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     f = facts.withColumns({"_day": F.col(date_col), "_salt": F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")})
@@ -112,10 +118,10 @@ def period_aggregate(periods: DataFrame, daily: DataFrame, date_col: str, measur
     columns = list(measures)
     bounds = _bounds(daily, date_col)
     if bounds is None:
-        return periods.select(key).join(daily.select(*columns), F.lit(False))
+        return periods.select(key, F.lit(1).alias("_none")).join(daily.where("false").select(F.lit(1).alias("_none"), *columns), "_none").drop("_none")
     blocks = (daily.where(F.col(date_col).isNotNull()).select(F.inline(day_blocks(F.col(date_col), *bounds)).alias("_level", "_at"), *columns)
               .groupBy("_level", "_at").agg(*[f(c).alias(c) for c, f in measures.items()]))
-    p = periods.select(key, F.inline(period_blocks(F.col(start_col), F.col(end_col), *bounds)).alias("_level", "_at"))
+    p = with_blocks(periods.select(key, start_col, end_col), start_col, end_col, *bounds)
     return p.join(blocks, ["_level", "_at"]).groupBy(key).agg(*[f(c).alias(c) for c, f in measures.items()])
 
 

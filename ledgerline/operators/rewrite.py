@@ -46,6 +46,16 @@ def update_from_map(df: DataFrame, mapping: DataFrame, key: str, value: str,
                       if c == value else F.col(c) for c in df.columns])
 
 
+def map_rows(df: DataFrame, column: str, key: str = "name", value: str = "value") -> DataFrame:
+    """One row (key, value) for each entry of the map ``column``; a null or empty map has none."""
+    return df.select(F.explode(column).alias(key, value))
+
+
+def update_from_maps(df: DataFrame, lists: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """``update_from_map`` with price lists that come as a map column, one list per row."""
+    return update_from_map(df, map_rows(lists, column), key, value)
+
+
 def update_correlated(items: DataFrame, products: DataFrame, key: str = "product_id",
                       target: str = "unit_price_cents", source: str = "price_cents") -> DataFrame:
     """Line value := value of its product (a correlated scalar lookup as a left join).

@@ -317,3 +317,83 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 def q_guard_verdicts(t):
     budget = BUDGET_SCANS * sum(work(df) for df in t.views().values())
     return screen(_statements(t), lambda s: roles.load(s, t.base).views(), budget=budget)
+
+
+# ---- plans as they come (S4): some cut off, of the wrong shape or missing ----------
+
+def _raw_plans(t):
+    """Plan texts with the date specs of ``event_requests``; by k % 16, some are broken in a stated way."""
+    e = event_requests(t).join(_plans(t), "request_id").join(
+        t.raw("events").select(F.col("event_id").alias("request_id"), F.get_json_object("props", "$.k").cast("int").alias("k")), "request_id")
+    plan, k = F.col("plan_json"), F.col("k") % 16
+    whole = F.concat(F.substring(plan, 1, F.length(plan) - 1), F.lit(',"date_spec":'), F.col("spec"), F.lit("}"))
+    broken = (F.when(k == 5, F.substring(whole, 1, 20)).when(k == 9, F.lit("[1, 2]")).when(k == 13, F.lit(None))
+              .when(k == 3, F.lit('{"sql": 5, "date_spec": {"kind": "all"}}')).when(k == 7, F.lit('{"sql": "SELECT 1", "date_spec": "all"}'))
+              .when(k == 11, F.lit('{"sql": null, "extra": [1], "date_spec": null}')))
+    return e.select("request_id", "reference", F.when(k.isin(3, 5, 7, 9, 11, 13), broken).otherwise(whole).alias("plan_json"))
+
+
+RAW_PLANS_SQL = """,
+ks AS (SELECT event_id AS request_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 16 AS m FROM events),
+outcome AS (
+  SELECT p.request_id, r.reference, m IN (3, 5, 7, 9, 13) AS bad, m,
+         CASE m WHEN 3 THEN 'sql is not text' WHEN 5 THEN 'plan is not JSON' WHEN 7 THEN 'date_spec is not an object'
+                WHEN 9 THEN 'plan is not an object' WHEN 13 THEN 'no plan' END AS plan_error,
+         CASE WHEN m NOT IN (3, 5, 7, 9, 11, 13) THEN p.sql END AS sql,
+         CASE WHEN m NOT IN (3, 5, 7, 9, 11, 13) THEN p.clarification END AS clarification,
+         CASE WHEN m NOT IN (3, 5, 7, 9, 11, 13) THEN p.reason END AS reason,
+         m IN (3, 5, 7, 9, 11, 13) AS no_spec, r.kind, r.date_start, r.date_end, r.error
+  FROM plans p JOIN ks USING (request_id) JOIN res r USING (request_id))
+"""
+
+
+@register("plan_rows", ",\n" + REQUESTS_SQL.strip() + ",\n" + _PLANS_SQL.strip() + RAW_PLANS_SQL + """
+SELECT request_id, sql, clarification, reason, plan_error AS error FROM outcome""")
+def q_plan_rows(t):
+    return A.parse_plans(_raw_plans(t)).select("request_id", "sql", "clarification", "reason", "error")
+
+
+@register("plan_periods", ",\n" + REQUESTS_SQL.strip() + ",\n" + _PLANS_SQL.strip() + RAW_PLANS_SQL + """
+SELECT request_id, sql, CASE WHEN no_spec THEN 'none' ELSE kind END AS kind,
+       CASE WHEN NOT no_spec THEN date_start END AS date_start, CASE WHEN NOT no_spec THEN date_end END AS date_end,
+       CASE WHEN no_spec THEN plan_error ELSE error END AS error
+FROM outcome""")
+def q_plan_periods(t):
+    return A.plan_periods(_raw_plans(t), sales.date_range(t)).select("request_id", "sql", "kind", "date_start", "date_end", "error")
+
+
+# ---- answers from result sets of any size (T2, T5) ------------------------------------
+
+@register("list_answers", ",\n" + REQUESTS_SQL.strip() + f""",
+monthly AS (
+  SELECT date_trunc('month', o.order_date)::DATE AS month, count(DISTINCT o.order_id) AS orders,
+         sum(i.quantity * i.unit_cost_cents) AS cost
+  FROM s_orders o JOIN order_items i USING (order_id) GROUP BY 1),
+n AS (
+  SELECT r.request_id, r.date_start AS ds, r.date_end AS de, count(m.month) AS c, min(m.month) AS month,
+         arg_min(m.orders, m.month) AS orders, round(CAST(arg_min(m.cost, m.month) AS DOUBLE) / 100, 2) AS cost_pkr
+  FROM res r LEFT JOIN monthly m ON m.month BETWEEN r.date_start AND r.date_end WHERE r.error IS NULL GROUP BY 1, 2, 3)
+SELECT request_id,
+  COALESCE('Period: ' || CAST(ds AS VARCHAR) || ' to ' || CAST(de AS VARCHAR) || chr(10) || chr(10), '') ||
+  CASE WHEN c = 0 THEN '{A.NO_RECORDS}'
+       WHEN c = 1 THEN 'Month: ' || strftime(month, '%Y-%m-%d') || chr(10) || chr(10) || 'Orders: ' || {_txt('orders')} || chr(10) || chr(10)
+                       || 'Estimated food cost pkr: ' || {_fmt('cost_pkr')}
+       ELSE 'Found ' || c || '{A.MANY_ROWS}' END
+  || CASE WHEN c > 0 THEN chr(10) || chr(10) || '{A.COST_NOTE}' ELSE '' END AS answer
+FROM n""")
+def q_list_answers(t):
+    """The monthly summary of each request's period: no month, one, or a list."""
+    monthly = sales.monthly_summary(t).select(F.to_date(F.concat("month", F.lit("-01"))).alias("month"), "orders", "estimated_food_cost_cents")
+    req = q_requests(t)
+    rows = periods.period_join(req, monthly, "month").select("request_id", "month", "orders", "estimated_food_cost_cents")
+    rows, labels = money_columns(rows)
+    return A.answer_text(A.grouped_results(req, rows, "request_id", ["month"]), "request_id", labels, "date_start", "date_end", "row_count")
+
+
+def q_requests(t):
+    from ledgerline.functions.calendar import resolve_periods
+
+    found = resolve_periods(event_requests(t), sales.date_range(t))
+    # through a generator, so that the filter stays above what ``error`` was derived from
+    row = F.struct("request_id", "date_start", "date_end", "error")
+    return found.select(F.inline(F.array(row))).where("error IS NULL").select("request_id", "date_start", "date_end")

@@ -31,6 +31,32 @@ def q_update_from_map(t):
     return products
 
 
+# Price lists as maps: every product brings one for its name in capitals and in reverse.
+MAP_LIST_SQL = """price_rows AS (
+  SELECT upper(name) AS name, CAST(60000 + 7 * product_id AS BIGINT) AS value FROM products
+  UNION ALL SELECT reverse(name), CAST(1 AS BIGINT) FROM products WHERE upper(name) <> reverse(name))"""
+
+
+def _price_lists(t):
+    price = (60000 + 7 * F.col("product_id")).cast("bigint")
+    one = F.create_map(F.upper("name"), price)
+    back = F.when(F.upper("name") != F.reverse("name"), F.create_map(F.reverse("name"), F.lit(1).cast("bigint")))
+    return t.products.select(F.coalesce(F.map_concat(one, back), one).alias("prices"))
+
+
+@register("map_to_rows", ",\n" + MAP_LIST_SQL + " SELECT name, value FROM price_rows")
+def q_map_to_rows(t):
+    return rewrite.map_rows(_price_lists(t), "prices")
+
+
+@register("update_from_maps", ",\n" + MAP_LIST_SQL + f"""
+SELECT p.product_id, p.name, p.category, COALESCE(m.value, p.price_cents) AS price_cents
+FROM products p LEFT JOIN (SELECT {_FOLD.format("name")} AS k, max(value) AS value FROM price_rows GROUP BY 1) m
+  ON {_FOLD.format("p.name")} = m.k""")
+def q_update_from_maps(t):
+    return rewrite.update_from_maps(t.products, _price_lists(t), "prices", "name", "price_cents")
+
+
 @register("update_correlated", _with_map("SELECT * FROM new_items"))
 def q_update_correlated(t):
     _, items = rewrite.reprice(t, rewrite.category_price_map(t))

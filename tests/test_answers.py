@@ -105,3 +105,35 @@ def test_clarification_split(spark):
     run, clar = A.clarification_split(plans)
     assert [r["id"] for r in run.collect()] == [1]
     assert {r["id"]: r["clarification"] for r in clar.collect()} == {2: "Which biryani?", 3: A.CLARIFY_DEFAULT}
+
+
+def test_parse_plans_and_periods(spark):
+    """Bad JSON, wrong shapes, nulls, further fields: a row each, never a failed job."""
+    import datetime as dt
+    rows = [
+        ('{"sql": "SELECT 1", "date_spec": {"kind": "year", "year": 2025}}', "SELECT 1", None, "year", dt.date(2025, 1, 1)),
+        ('{"sql": null, "clarification": "Which?", "reason": "two", "more": {"a": 1}}', None, None, "none", None),
+        ('{"sql": "SELECT 1", "date_spec": {"kind": "fortnight"}}', "SELECT 1", "unsupported date request", "fortnight", None),
+        ('{"sql": "SELECT 1"', None, A.ERR_PLAN_JSON, "none", None), ("", None, A.ERR_PLAN_JSON, "none", None),
+        ("[1]", None, A.ERR_PLAN_OBJECT, "none", None), ("5", None, A.ERR_PLAN_OBJECT, "none", None), ("null", None, A.ERR_PLAN_OBJECT, "none", None),
+        (None, None, A.ERR_PLAN_MISSING, "none", None), ('{"sql": ["a"]}', None, "sql is not text", "none", None),
+        ('{"sql": "a", "clarification": 5}', None, "clarification is not text", "none", None),
+        ('{"sql": "a", "date_spec": [1]}', None, "date_spec is not an object", "none", None),
+        ('{"sql": "a", "date_spec": null}', "a", None, "none", None), ("{}", None, None, "none", None),
+    ]
+    df = spark.createDataFrame([(i, r[0], dt.date(2026, 1, 1)) for i, r in enumerate(rows)], "id int, plan_json string, reference date")
+    rng = spark.createDataFrame([(dt.date(2025, 1, 1), dt.date(2026, 12, 31))], "first_date date, last_date date")
+    got = {r["id"]: (r["sql"], r["error"], r["kind"], r["date_start"]) for r in A.plan_periods(df, rng).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+    assert A.parse_plans(df.where("id = 1")).first()["clarification"] == "Which?"
+
+
+def test_grouped_results_and_their_answers(spark):
+    req = spark.createDataFrame([(i,) for i in range(5)], "rid int")
+    res = spark.createDataFrame([(1, "b", 250.0), (2, "d", 1.0), (2, "c", 2.0), (2, "e", None), (3, None, None), (3, None, None)], "rid int, name string, cost_pkr double")
+    g = A.grouped_results(req, res, "rid", ["name"])
+    assert sorted(map(tuple, g.collect()), key=repr) == [(0, 0, None, None), (1, 1, "b", 250.0), (2, 3, "c", 2.0), (3, 0, None, None), (4, 0, None, None)]
+    text = {r["rid"]: r["answer"] for r in A.answer_text(g, "rid", ["cost_pkr"], row_count="row_count").collect()}
+    assert text[0] == text[3] == text[4] == A.NO_RECORDS
+    assert text[1] == "Name: b\n\nCost pkr: 250.00\n\n" + A.COST_NOTE
+    assert text[2] == "Found 3 results. See the table below.\n\n" + A.COST_NOTE

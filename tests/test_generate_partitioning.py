@@ -104,3 +104,14 @@ def test_weighted_sample_distinct(spark):
     two = spark.createDataFrame([(i, 2) for i in range(50)], "order_id long, size int")
     assert {r["product_id"] for r in G.weighted_sample_distinct(two, heavy, 3).collect()} == {1, 3}
     assert G.weighted_sample_distinct(two.limit(0), heavy, 3).count() == 0
+
+
+def test_weighted_sample_ways_agree(spark):
+    """Broadcast weights and joins in rounds give the same draws; a repeated, null or zero order as well."""
+    orders = spark.createDataFrame([(i, i % 5) for i in range(400)] + [(7, 2), (None, 1), (500, None)], "order_id long, size int").repartition(3)
+    products = spark.createDataFrame([(10 + i, w) for i, w in enumerate([1000, 1, 1, 0, 7, 30, 2])] + [(99, None)], "product_id int, weight long")
+    few = orders.where("order_id <> 7")
+    a = sorted(map(tuple, G.weighted_sample_distinct(few, products, 5).collect()))
+    b = sorted(map(tuple, G.weighted_sample_distinct(few, products, 5, broadcast_rows=3).collect()))
+    assert a == b and len(a) == sum(i % 5 for i in range(400)) - 2
+    assert G.weighted_sample_distinct(orders, products, 5).count() == sum(i % 5 for i in range(400)) + 2 + 1

@@ -96,3 +96,34 @@ def test_period_join_matches_brute_force(spark, tables):
     orders = [(r["order_id"], r["order_date"]) for r in tables.orders.collect()]
     want = sorted((pid, oid) for pid, s, e in periods if s and e for oid, d in orders if s <= d <= e)
     assert got == want
+
+
+def test_period_blocks_match_brute_force(spark):
+    """Blocks of random periods: their days, each once, and no more than two blocks per level."""
+    import datetime as dt
+    import random
+
+    from ledgerline.operators import periods as P
+    r = random.Random(3)
+    lo, hi = dt.date(1999, 12, 30), dt.date(2003, 5, 6)
+    days = [lo + dt.timedelta(days=i) for i in range((hi - lo).days + 1)]
+    rows = [(i, *sorted(r.choice(days) + dt.timedelta(days=r.randint(-40, 40)) for _ in range(2))) for i in range(150)]
+    rows += [(200, lo, hi), (201, lo, lo), (202, hi, hi), (203, hi, lo), (204, None, hi), (205, lo, None), (206, dt.date(1, 1, 1), dt.date(9999, 12, 31))]
+    asked = spark.createDataFrame(rows, "pid int, date_start date, date_end date")
+    got, n = {}, {}
+    for x in P.with_blocks(asked, "date_start", "date_end", lo, hi).collect():
+        got.setdefault(x["pid"], []).extend(range(x["_at"] << x["_level"], (x["_at"] + 1) << x["_level"]))
+        n[x["pid"], x["_level"]] = n.get((x["pid"], x["_level"]), 0) + 1
+    for pid, s, e in rows:
+        want = [i for i, d in enumerate(days) if s and e and s <= d <= e]
+        assert sorted(got.get(pid, [])) == want
+    assert max(n.values()) <= 2
+    facts = spark.createDataFrame([(d, r.randint(1, 9)) for d in days if r.random() < 0.6] + [(None, 99)], "d date, n int")
+    held = [(f["d"], f["n"]) for f in facts.collect() if f["d"]]
+    top = {x["pid"]: x["n"] for x in P.period_aggregate(asked, facts, "d", {"n": F.max}, "pid").collect()}
+    inside = {pid: [v for d, v in held if s and e and s <= d <= e] for pid, s, e in rows}
+    assert top == {pid: max(v) for pid, v in inside.items() if v}
+    pairs = P.period_join(asked, facts, "d", salts=3).groupBy("pid").count().collect()
+    assert {x["pid"]: x["count"] for x in pairs} == {pid: len(v) for pid, v in inside.items() if v}
+    assert P.period_join(asked, facts.where("n > 100"), "d").count() == 0 == P.period_aggregate(
+        asked, facts.where("n > 100"), "d", {"n": F.max}, "pid").count()

@@ -73,3 +73,12 @@ def test_gates(spark):
     with pytest.raises(RuntimeError):
         readers.metadata_gate(meta, "currency", "OMR")
     assert readers.has_column(meta, "key") and not readers.has_column(meta, "nope")
+
+
+def test_map_rows(spark):
+    """Null and empty maps give no row; a null value is kept; the update takes the largest price of a folded name."""
+    lists = spark.createDataFrame([({"TEA": 45, "x": None},), ({"tea": 60},), ({},), (None,)], "prices map<string, bigint>")
+    assert sorted(map(tuple, W.map_rows(lists, "prices").collect()), key=repr) == [("TEA", 45), ("tea", 60), ("x", None)]
+    p = spark.createDataFrame([(1, "Tea", 1), (2, "X", 2)], "product_id long, name string, price_cents long")
+    got = {r["product_id"]: r["price_cents"] for r in W.update_from_maps(p, lists, "prices", "name", "price_cents").collect()}
+    assert got == {1: 60, 2: 2}
