@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.session import checkpoint_dir
 
@@ -83,27 +84,49 @@ def expand(df: DataFrame, count: str, index: str) -> DataFrame:
     Two generators of at most EXPAND_STEP elements each step, so that a row
     repeated billions of times never builds one array.
     """
+    block, = fresh(df, "_block", 1)
     step = F.lit(EXPAND_STEP).cast("long")
     hi = F.col(count).cast("long")
-    outer = df.where(hi > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((hi - 1) / step))))
-    first = F.col("_block") * step
-    return outer.withColumn(index, F.explode(F.sequence(first, F.least(first + step, hi) - 1))).drop("_block")
+    outer = df.where(hi > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((hi - 1) / step))))
+    first = F.col(block) * step
+    return outer.withColumn(index, F.explode(F.sequence(first, F.least(first + step, hi) - 1))).drop(block)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
+
+
+def has_maps(df: DataFrame) -> bool:
+    return any(_holds_map(f.dataType) for f in df.schema.fields)
+
+
+def row_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` in a form that can be hashed: a column that holds a map as its JSON text, entries as stored."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
 
 
 def collapse_repeats(df: DataFrame, count: str) -> DataFrame:
     """Distinct rows with their number of repeats in ``count``.
 
     Repeated rows are interchangeable, so later steps may number the copies
-    freely. A first pass over 16-byte row keys tells whether any row repeats;
-    if none does (the usual case) the rows pass through without a shuffle,
-    else they are grouped with map-side combining. Both ways give equal rows.
+    freely. A first pass over 16-byte row keys finds the keys that repeat;
+    only rows of these are grouped (with map-side combining), all others pass
+    through, without a shuffle while the repeated keys are few enough for a
+    broadcast.
     """
-    a, b = row_key([F.col(f"`{c}`") for c in df.columns])
-    most = (df.select(a.alias("a"), b.alias("b")).groupBy("a", "b").count()
-            .agg(F.max("count")).first()[0])
-    if (most or 0) <= 1:
+    a, b, row = fresh(df, "_r", 3)
+    ka, kb = row_key(row_columns(df))
+    keyed = df.withColumns({a: ka, b: kb})
+    repeated = stored(keyed.select(a, b).groupBy(a, b).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1))
+    if not repeated.limit(1).collect():
         return df.withColumn(count, F.lit(1).cast("long"))
-    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(count))
+    few = bounded(repeated)
+    single = keyed.join(few.select(a, b), [a, b], "left_anti").drop(a, b).withColumn(count, F.lit(1).cast("long"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    many = keyed.join(few, [a, b]).groupBy(a, b).agg(F.first(whole).alias(row), F.first(count).alias(count))
+    return single.unionByName(many.select(f"{row}.*", count))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 LOOKUP = 20_000
-LANES = 16
+LANES = 32
 
 
 def _shingle_hash(w: Column, i: Column, k: int) -> Column:
@@ -56,17 +56,17 @@ def _shingles(w: Column, m: Column, k: int) -> Column:
 def _fingerprints(rows: DataFrame, keys: list[str], w: str, k: int) -> DataFrame:
     """(keys, fp): SimHash of the shingles of the words in ``w``, ``m`` of them in each row.
 
-    Majority per bit, repeats included. Each of 16 sums holds four 16-bit
-    counters (bits j, j + 16, j + 32, j + 48), enough for windows of 65,535
-    shingles; the sums are combined in the task that reads the window.
+    Majority per bit, repeats included. Each of 32 sums holds two 32-bit
+    counters (bits j and j + 32), enough for any array of words; the sums are
+    combined in the task that reads the window.
     """
     hashes = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: _shingle_hash(F.col(w), i, k))
-    mask = F.lit(0x0001000100010001).cast("long")
+    mask = F.lit(0x0000000100000001).cast("long")
     sums = (rows.select(*keys, "m", F.explode(hashes).alias("h")).groupBy(*keys, "m")
             .agg(*[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(mask)).alias(f"s{j}") for j in range(LANES)]))
     fp = F.lit(0).cast("long")
     for bit in range(64):
-        count = F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * LANES).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        count = F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * LANES).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
         one = (1 << bit) - (1 << 64) * (bit == 63)
         fp = fp.bitwiseOR(F.when(2 * count > F.col("m"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(*keys, fp.alias("fp"))

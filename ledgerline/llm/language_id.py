@@ -54,7 +54,7 @@ BATCH_WORDS = 100_000
 CACHE_WORDS = 200_000
 SCORE_WORDS = 10_000
 UNKNOWN = "und"
-MIN_SCORE = 0.4
+MIN_CONFIDENCE = 0.4
 HASH_SPACE = 1 << 30
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -321,9 +321,11 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score",
-             words_by_language: str | None = None) -> DataFrame:
+             words_by_language: str | None = None, confident: bool = False) -> DataFrame:
     """``docs`` with the predicted language and its score; optionally the expected words of each language.
 
+    The score is the language's share of the words; with ``confident`` it is the mean probability of the words' own labels.
+
     ``docs`` needs a ``text`` column; the new columns must not clash with its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -347,7 +349,7 @@ def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str
                 mass = marg.sum(axis=0, dtype=np.float64)
                 i = int(mass.argmax())
                 langs.append(m.labels[i])
-                scores.append(min(1.0, float(mass[i] / len(marg))))
+                scores.append(min(1.0, float(marg.max(axis=1).mean(dtype=np.float64) if confident else mass[i] / len(marg))))
                 parts.append([(x, float(y)) for x, y in zip(m.labels, mass)])
             cols = [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if words_by_language:
@@ -389,7 +391,11 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, model: Model, label: str, score: str, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` with a language: those without a letter or below ``min_score`` go."""
-    return (identify(docs, model, label, score)
-            .where((F.col(label) != UNKNOWN) & (F.col(score) >= min_score)).drop(label, score))
+def accepted(docs: DataFrame, model: Model, label: str, score: str, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The rows of ``docs`` with a language: those without a letter go, and those whose words are labelled with
+    less than ``min_confidence`` on average. A text may mix any number of languages. When no language could be
+    learned, every row with a letter stays."""
+    if not model.labels:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    return (identify(docs, model, label, score, confident=True)
+            .where((F.col(label) != UNKNOWN) & (F.col(score) >= min_confidence)).drop(label, score))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import bounded, collapse_repeats, cut, expand, fresh, row_key, stored, word_count
+from ledgerline.llm.common import bounded, collapse_repeats, cut, expand, fresh, row_columns, row_key, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -171,7 +171,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (0 to 3 times), columns unchanged."""
     a, b, n, t, i = fresh(docs, "_m", 5)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    ka, kb = row_key(columns)
+    ka, kb = row_key(row_columns(docs))
     once = collapse_repeats(docs, n).withColumns({a: ka, b: kb})
     light = stored(once.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("source").alias("source"),
                                word_count(F.col("text")).alias("size"), F.col(n).alias("n")))

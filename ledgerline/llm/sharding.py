@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import collapse_repeats, expand, fresh, row_key
+from ledgerline.llm.common import collapse_repeats, expand, fresh, has_maps, row_columns, row_key
 
 SHARDS = 16
 SEED = 20_260_101
@@ -41,12 +41,20 @@ def bucket_count(total_bytes: int | None, bucket_bytes: int = BUCKET_BYTES) -> i
     return max(MIN_BUCKETS, -(-(total_bytes or 0) // bucket_bytes))
 
 
+def _by_key(*fields: str):
+    """Comparison of records by ``fields`` alone (a record with a map has no order of its own)."""
+    def compare(x: Column, y: Column) -> Column:
+        one, other = (F.struct(*[r.getField(f) for f in fields]) for r in (x, y))
+        return F.when(one < other, -1).when(one > other, 1).otherwise(0)
+    return compare
+
+
 def assign(df: DataFrame, n_buckets: int, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard)."""
     df = df.drop("shard", "slot")
     count, copy, a, b, h, bucket, rec, rank = fresh(df, "_s", 8)
     columns = [F.col(f"`{c}`") for c in df.columns]
-    ka, kb = row_key(columns)
+    ka, kb = row_key(row_columns(df))
     rows = expand(collapse_repeats(df, count), count, copy).withColumns({a: ka, b: kb})
     rows = rows.withColumn(h, F.xxhash64(F.lit(seed), a, b, copy))
     rows = rows.withColumn(bucket, F.pmod(h, F.lit(n_buckets)).cast("int"))
@@ -57,8 +65,9 @@ def assign(df: DataFrame, n_buckets: int, shards: int = SHARDS, seed: int = SEED
                            F.sum("n").over(Window.partitionBy()).alias("total"))
 
     scattered = rows.repartitionById(n_buckets, F.col(bucket))
-    packed = scattered.groupBy(bucket).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(h), F.col(a), F.col(b), F.col(copy), F.struct(*columns).alias("row")))).alias(rec))
+    records = F.collect_list(F.struct(F.col(h), F.col(a), F.col(b), F.col(copy), F.struct(*columns).alias("row")))
+    packed = scattered.groupBy(bucket).agg(
+        (F.array_sort(records, _by_key(h, a, b, copy)) if has_maps(df) else F.array_sort(records)).alias(rec))
     dealt = packed.select(bucket, F.posexplode(F.shuffle(rec, seed)).alias("place", "rec"))
     # one row per bucket: bounded by total bytes / bucket_bytes
     dealt = dealt.join(F.broadcast(offsets), bucket)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import collapse_repeats, fresh, row_key, stored
+from ledgerline.llm.common import collapse_repeats, fresh, row_columns, row_key, stored
 from ledgerline.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -311,7 +311,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, budget: int = MAX_DI
     a, b, n = fresh(docs, "_k", 3)
     once = collapse_repeats(docs, n)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    ka, kb = row_key(columns)
+    ka, kb = row_key(row_columns(docs))
     once = once.withColumns({a: ka, b: kb})
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"),
                    F.col(a).alias("a"), F.col(b).alias("b"))

@@ -148,3 +148,12 @@ def test_documents_shorter_than_the_item(spark):
     assert sorted(((x.doc_id, x.item_id, x.position, round(x.similarity, 9)) for x in got), key=repr) == want
     assert (0, 7, 0, round(50 / 55, 9)) in want and len(want) > len(slow(docs, items)) + 10
     assert {x.doc_id for x in D.clean(df, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
+
+
+def test_very_long_items(spark):
+    """Items of more than 65,535 shingles, all different or all equal: found in their copies, nothing else is."""
+    long = " ".join(f"w{i}" for i in range(70_000))
+    same = "tick " * 70_000
+    items = spark.createDataFrame([(1, long), (2, same)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " * 3 + long), (2, same), (3, "tock " * 100), (4, " ".join(f"w{i}" for i in range(300)))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()) == [(1, 1), (2, 2)]
