@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.text import fold_ascii
 from ledgerline.sources.roles import Tables
 
-PUBLISHED_MARK = "_PUBLISHED"
+PUBLISHED_MARK, CLAIM_MARK = "_PUBLISHED", "_CLAIMED"
 
 
 # ---- column and value rewrites ------------------------------------------------
@@ -161,6 +161,8 @@ def publish_validated(tables: dict[str, DataFrame], base: str,
                     if st.getPath().getName().startswith("v=") and st.getPath().getName()[2:].isdigit()]
     n = (max(existing) + 1) if existing else 1
     target = f"{base.rstrip('/')}/v={n}"
+    # the number is taken once: of two writers that chose it, the second fails here
+    fs.create(jvm.org.apache.hadoop.fs.Path(target, CLAIM_MARK), False).close()
     for name, df in tables.items():
         w = df.write.mode("errorifexists")
         if partition_by and name in partition_by:
@@ -171,5 +173,5 @@ def publish_validated(tables: dict[str, DataFrame], base: str,
     if failed:
         raise RuntimeError("checks failed; previous version kept: "
                            + ", ".join(f"{r['check']}={r['violations']}" for r in failed))
-    fs.create(jvm.org.apache.hadoop.fs.Path(target, PUBLISHED_MARK)).close()
+    fs.create(jvm.org.apache.hadoop.fs.Path(target, PUBLISHED_MARK), False).close()
     return target

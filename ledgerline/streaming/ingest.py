@@ -4,7 +4,9 @@ The reference re-runs its ingest over all documents and upserts chunk ids,
 so a re-run never duplicates chunks. Here new document files arriving in a
 folder are picked up by a file stream; every micro-batch is chunked and
 upserted into the chunk index, and the result is published as a new index
-version only after its checks pass (``rewrite.publish_validated``).
+version only after its checks pass (``operators.versions``). The index lies in
+buckets by the stem of the source's name, of which the chunk ids are made:
+a batch reads and writes the buckets of its sources alone.
 
 Re-running an epoch (after a failure) writes the same chunk ids with the
 same text, so the upsert is idempotent; the stream's checkpoint (in the
@@ -17,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.text import file_stem
 from ledgerline.operators import quality as Q
 from ledgerline.operators import retrieval as R
-from ledgerline.operators import rewrite as W
+from ledgerline.operators import versions as V
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -30,17 +33,13 @@ DOCUMENT_SCHEMA = T.StructType([
 INDEX_SCHEMA = "id string, source string, page int, chunk int, text string"
 
 
-def index_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    c = tables["chunks"]
-    return Q.run_checks([Q.check_unique(c, ["id"], "chunks.id"),
-                         Q.check_not_null(c, ["id", "source", "text"], "chunks")])
+def index_checks(chunks: DataFrame) -> DataFrame:
+    return Q.run_checks([Q.check_unique(chunks, ["id"], "chunks.id"),
+                         Q.check_not_null(chunks, ["id", "source", "text"], "chunks")])
 
 
 def current_index(spark: SparkSession, index_base: str) -> DataFrame:
-    path = W.latest_version_path(spark, index_base)
-    if path is None:
-        return spark.createDataFrame([], INDEX_SCHEMA)
-    return spark.read.parquet(f"{path}/chunks")
+    return V.read(spark, index_base, V.latest(spark, index_base), INDEX_SCHEMA)
 
 
 def upsert_batch(index_base: str, chunk_size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP):
@@ -50,11 +49,9 @@ def upsert_batch(index_base: str, chunk_size: int = R.CHUNK_SIZE, overlap: int =
     any number of batches. A page without a number stops the batch.
     """
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
         checked = F.when(F.col("page").isNull(), F.raise_error(F.lit("a page without its number"))).otherwise(F.col("page"))
         chunks = R.chunk_records(batch.select("source", checked.cast("int").alias("page"), "text"), chunk_size, overlap)
-        merged = R.index_upsert(current_index(spark, index_base), chunks)
-        W.publish_validated({"chunks": merged}, index_base, index_checks)
+        V.upsert(chunks, index_base, INDEX_SCHEMA, file_stem(F.col("source")), R.index_upsert, index_checks)
     return run
 
 
