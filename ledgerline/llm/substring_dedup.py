@@ -348,6 +348,8 @@ def attach(rows: DataFrame, names: DataFrame, keys: list[str], total: int) -> Da
     HOT_SHARE keys: these are broadcast, so a hot key's rows stay where they are.
     """
     hot = F.col("uses") > total // HOT_SHARE
+    if not names.where(hot).limit(1).collect():
+        return rows.join(names.drop("uses"), keys)
     many = F.broadcast(names.where(hot).drop("uses"))
     rest = rows.join(many.select(*keys), keys, "left_anti").join(names.where(~hot).drop("uses"), keys)
     return rows.join(many, keys).unionByName(rest)
