@@ -219,16 +219,17 @@ def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id:
     document frequencies of its terms are counted with map-side combining, and
     every batch of chunks is scored as a (chunk, term) matrix that hands on
     its k best per query -- no (query, chunk) pair is shuffled beyond those.
-    Raises when there is no chunk.
+    A null text has no token. Raises when there is no chunk.
     """
     spark = chunks.sparkSession
     checkpoint_dir(spark)
-    base = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(chunk_text_col)).alias("tok")).checkpoint()
+    none = F.array().cast("array<string>")
+    base = chunks.select(F.col(chunk_id).alias("id"), F.coalesce(tokens(F.col(chunk_text_col)), none).alias("tok")).checkpoint()
     n_docs, avgdl = base.agg(F.count(F.lit(1)), F.avg(F.size("tok"))).first()
     if not n_docs:
         raise RuntimeError("no chunk in the collection")
     q = queries.select(F.col(query_id).alias("query_id"),
-                       F.array_sort(F.array_distinct(tokens(F.col(query_text)))).alias("terms"))
+                       F.array_sort(F.array_distinct(F.coalesce(tokens(F.col(query_text)), none))).alias("terms"))
     total = q.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-total // QUERY_BLOCK_TERMS))
     q_arrow = to_arrow_type(q.schema["query_id"].dataType)

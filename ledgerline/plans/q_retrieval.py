@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import retrieval as R
+from ledgerline.operators import text_index, vector_index
 from ledgerline.plans.registry import register
+from ledgerline.session import checkpoint_dir
 
 WS_SQL = r"'[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'"
 TOKEN_SQL = r"'[^\p{L}\p{N}]+'"
@@ -22,6 +27,11 @@ def _chunks(t):
     return R.chunk_records(_pages(t).drop("lang"))
 
 
+def _new_folder(df: DataFrame) -> str:
+    """A folder for an index, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(df.sparkSession)}/index-{uuid.uuid4().hex}"
+
+
 def _norm(col: str) -> str:
     return f"trim(regexp_replace({col}, {WS_SQL}, ' ', 'g'))"
 
@@ -68,7 +78,7 @@ def q_chunk_records(t):
 
 
 VECTOR_SQL = """
-WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT q.query_id, e.vec_id,
              list_sum(list_transform(list_zip(q.qv, e.embedding),
                    lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS dist
@@ -78,9 +88,7 @@ SELECT query_id, rank, vec_id FROM r WHERE rank <= 3"""
 
 
 def _vector_queries(t):
-    e = t.raw("embeddings")
-    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")) \
-        .withColumnRenamed("label", "query_id")
+    return t.raw("embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @register("vector_top_k", VECTOR_SQL, use_roles=False)
@@ -88,6 +96,12 @@ def q_vector_top_k(t):
     return R.vector_top_k(_vector_queries(t), t.raw("embeddings"), k=3)
 
 
+@register("vector_index_top_k", VECTOR_SQL, use_roles=False)
+def q_vector_index_top_k(t):
+    vectors = t.raw("embeddings")
+    return vector_index.search(_vector_queries(t), vector_index.build(vectors, _new_folder(vectors)), k=3)
+
+
 def _tok(col: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({col}), {TOKEN_SQL}), lambda x: x <> '')"
 
@@ -120,6 +134,14 @@ def q_text_top_k(t):
     return _hits(t)
 
 
+@register("text_index_top_k", _with("SELECT query_id, rank, id FROM hits", ",\n" + BM25_SQL.strip() + "\n"),
+          use_roles=False)
+def q_text_index_top_k(t):
+    chunks = _chunks(t)
+    bench = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return text_index.search(bench, text_index.build(chunks, _new_folder(chunks)), k=3)
+
+
 @register("build_context", _with("""
 SELECT h.query_id, string_agg('Source: ' || c.source || ', page ' || c.page || chr(10) || 'Text: ' || c.text,
                               chr(10) || chr(10) ORDER BY h.rank) AS context
