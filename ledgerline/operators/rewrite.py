@@ -143,6 +143,40 @@ def latest_version_path(spark: SparkSession, base: str) -> str | None:
     return f"{base.rstrip('/')}/v={vs[-1]}" if vs else None
 
 
+def _claim(spark: SparkSession, base: str) -> str:
+    """Take the next version number; its folder."""
+    fs, p, jvm = _fs(spark, base)
+    existing = []
+    if fs.exists(p):
+        existing = [int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
+                    if st.getPath().getName().startswith("v=") and st.getPath().getName()[2:].isdigit()]
+    n = (max(existing) + 1) if existing else 1
+    target = f"{base.rstrip('/')}/v={n}"
+    # the number is taken once: of two writers that chose it, the second fails here
+    fs.create(jvm.org.apache.hadoop.fs.Path(target, CLAIM_MARK), False).close()
+    return target
+
+
+def _publish(spark: SparkSession, target: str, found: list[tuple[str, int]]) -> str:
+    """Mark the version published, unless a check found violations."""
+    failed = [(check, n) for check, n in found if n != 0]
+    if failed:
+        raise RuntimeError("checks failed; previous version kept: " + ", ".join(f"{check}={n}" for check, n in failed))
+    fs, p, jvm = _fs(spark, target)
+    fs.create(jvm.org.apache.hadoop.fs.Path(p, PUBLISHED_MARK), False).close()
+    return target
+
+
+def publish_observed(tables: dict[str, DataFrame], base: str, rules: dict[str, list],
+                     partition_by: dict[str, list[str]] | None = None) -> str:
+    """``publish_validated`` with the checks taken while the tables are written (``observed.write_observed``)."""
+    from ledgerline.operators.observed import write_observed
+
+    spark = next(iter(tables.values())).sparkSession
+    target = _claim(spark, base)
+    return _publish(spark, target, write_observed(tables, target, rules, partition_by))
+
+
 def publish_validated(tables: dict[str, DataFrame], base: str,
                       checks: Callable[[dict[str, DataFrame]], DataFrame],
                       partition_by: dict[str, list[str]] | None = None) -> str:
@@ -154,15 +188,7 @@ def publish_validated(tables: dict[str, DataFrame], base: str,
     (``latest_version_path``). Nothing is deleted.
     """
     spark = next(iter(tables.values())).sparkSession
-    fs, p, jvm = _fs(spark, base)
-    existing = []
-    if fs.exists(p):
-        existing = [int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
-                    if st.getPath().getName().startswith("v=") and st.getPath().getName()[2:].isdigit()]
-    n = (max(existing) + 1) if existing else 1
-    target = f"{base.rstrip('/')}/v={n}"
-    # the number is taken once: of two writers that chose it, the second fails here
-    fs.create(jvm.org.apache.hadoop.fs.Path(target, CLAIM_MARK), False).close()
+    target = _claim(spark, base)
     for name, df in tables.items():
         w = df.write.mode("errorifexists")
         if partition_by and name in partition_by:
@@ -170,8 +196,4 @@ def publish_validated(tables: dict[str, DataFrame], base: str,
         w.parquet(f"{target}/{name}")
     reread = {name: spark.read.parquet(f"{target}/{name}") for name in tables}
     failed = checks(reread).where(F.col("violations") != 0).collect()
-    if failed:
-        raise RuntimeError("checks failed; previous version kept: "
-                           + ", ".join(f"{r['check']}={r['violations']}" for r in failed))
-    fs.create(jvm.org.apache.hadoop.fs.Path(target, PUBLISHED_MARK), False).close()
-    return target
+    return _publish(spark, target, [(r["check"], r["violations"]) for r in failed])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import fold_ascii
+from ledgerline.operators import observed as O
 from ledgerline.operators import quality as Q
 from ledgerline.operators import recipes, rewrite, sales
 from ledgerline.plans.q_rewrite import _with_map
-from ledgerline.plans.registry import register
+from ledgerline.plans.registry import QUERIES, register
+from ledgerline.session import checkpoint_dir
 from ledgerline.sources import roles
 
 # Fixed expectations of the test data (the order date range of the fixture).
@@ -103,7 +108,6 @@ FROM (SELECT count(*) AS n FROM {table} GROUP BY {keys} HAVING count(*) > 1) d""
     _unique_sql("recipe_items.recipe_item_id", "recipe_items", "recipe_item_id"),
 ]))
 def q_check_unique(t):
-    from ledgerline.functions.text import fold_ascii
     return Q.run_checks([
         Q.check_unique(t.products, ["product_id"], "products.product_id"),
         Q.check_unique(t.orders, ["order_id"], "orders.order_id"),
@@ -241,3 +245,39 @@ FROM (SELECT sum(r) AS r, sum(c) AS c, sum(p) AS p FROM (
 def q_check_additive(t):
     return Q.check_additive(sales.yearly_summary(t), sales.totals(t),
                             ["revenue_cents", "estimated_food_cost_cents", "estimated_gross_profit_cents"])
+
+
+# All checks of the five tables from the pass that writes them (control totals as in check_row_count).
+_OBSERVED = ["check_date_bounds", "check_date_coverage", "check_foreign_keys", "check_unique", "check_not_null",
+             "check_positive", "check_recipe_coverage", "check_margin"]
+
+
+def _rules(t) -> dict[str, list[O.Rule]]:
+    nn = {name: O.not_null(name, cols) for name, cols in _NN.items()}
+    return {
+        "products": nn["products"] + O.positive("products", ["price_cents"]) + [
+            O.unique("products.product_id", ["product_id"]), O.unique("products.name_nocase", [fold_ascii(F.col("name"))]),
+            O.references("recipe_coverage", t.recipe_items, "product_id"),
+            O.below("margin", recipes.recipe_cost(t), "product_id", "recipe_cost_cents", "price_cents")],
+        "orders": nn["orders"] + [
+            O.bounds("order_date", EXPECTED_START, EXPECTED_END), O.covered("order_date", EXPECTED_START, EXPECTED_END),
+            O.unique("orders.order_id", ["order_id"])],
+        "order_items": nn["order_items"] + O.positive("order_items", ["quantity", "unit_price_cents"]) + [
+            O.references("foreign_key:order_items.order_id", t.orders, "order_id"),
+            O.references("foreign_key:order_items.product_id", t.products, "product_id"),
+            O.unique("order_items.order_line", ["order_id", "line_number"])],
+        "ingredients": nn["ingredients"] + [
+            O.unique("ingredients.ingredient_id", ["ingredient_id"]), O.unique("ingredients.name", ["name"])],
+        "recipe_items": nn["recipe_items"] + O.positive("recipe_items", ["quantity"]) + [
+            O.references("foreign_key:recipe_items.product_id", t.products, "product_id"),
+            O.references("foreign_key:recipe_items.ingredient_id", t.ingredients, "ingredient_id"),
+            O.unique("recipe_items.product_ingredient", ["product_id", "ingredient_id"]),
+            O.unique("recipe_items.recipe_item_id", ["recipe_item_id"])],
+    }
+
+
+@register("observed_checks", " UNION ALL ".join(f"SELECT * FROM ({QUERIES[n].oracle}) q_{n}" for n in _OBSERVED), use_roles=False)
+def q_observed_checks(t):
+    spark = t.orders.sparkSession
+    found = O.write_observed(t.views(), f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}", _rules(t))
+    return spark.createDataFrame(found, "check string, violations bigint")
