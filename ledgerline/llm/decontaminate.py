@@ -17,7 +17,10 @@ are compared, in four steps, with DataFrame functions only:
    shorter document that holds one, gets a 64-bit SimHash of its shingles.
 3. Multi-index. The fingerprint is cut into RADIUS + 1 blocks; fingerprints
    within RADIUS bits agree in at least one block, so an equi-join on
-   (length, block, value) finds all of them. The bit distance is then exact.
+   (length, anchor, block, value) finds all of them: a window at the bound
+   holds, by step 1, an anchor that starts a shingle of that very item, so the
+   anchor's hash is part of the key and a window meets only items that it
+   shares an anchor with. The bit distance is then exact.
 4. Verification on the shingle texts themselves.
 
 The benchmark is the stated query set: its shingle hashes are looked up in
@@ -110,11 +113,12 @@ def _similarity(item: Column, window: Column) -> Column:
     return common / (F.size(item) + F.size(window) - common)
 
 
-def _windows(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: list[int], similarity: float) -> DataFrame:
-    """(c1, c2, len, m, s, win): every window that holds an anchor, once for each text.
+def _anchors(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: list[int], similarity: float) -> DataFrame:
+    """(c1, c2, len, m, p, h, lo, n, last, part): looked-up places that start a shingle ``h`` of an item, once for each text and length.
 
-    ``docs`` has (c1, c2, w); ``shingles`` has (hash, len, m) of the items. A document shorter than an item is one
-    window, unless even all of its shingles are too few. ``len`` is the item's, ``m`` counts the window's shingles.
+    ``docs`` has (c1, c2, w); ``shingles`` has (hash, len, m) of the items. The anchor stands in the windows that start
+    at ``lo`` to ``last``; ``part`` holds their words. A document of ``n`` words that is shorter than an item is one window,
+    unless even all of its shingles are too few.
     """
     w = F.col("w")
     # No filter on the places: it would be pushed below the projection and split the text again for each.
@@ -125,20 +129,48 @@ def _windows(docs: DataFrame, shingles: DataFrame, k: int, step: int, hashes: li
         "c1", "c2", "w", F.expr(f"explode(filter(_h, x -> x.h IN ({listed})))").alias("a"))
     lo = F.greatest(F.col("a.p") - F.col("m") + 1, F.lit(0))
     anchors = (held.join(bounded(shingles), F.col("a.h") == F.col("hash"))
-               .select("c1", "c2", "len", "m", F.col("a.p").alias("p"), lo.alias("lo"), F.size("w").alias("n"),
+               .select("c1", "c2", "len", "m", F.col("a.p").alias("p"), F.col("a.h").alias("h"), lo.alias("lo"), F.size("w").alias("n"),
                        F.slice("w", lo + 1, 2 * F.col("len")).alias("part")))
     enough = F.least(F.col("n"), F.col("len")) - k + 1 >= similarity * F.col("m") - 1e-9
     once = anchors.where(enough).groupBy("c1", "c2", "len", "m", "p").agg(
-        F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("part").alias("part"))
+        *[F.first(c).alias(c) for c in ("h", "lo", "n", "part")])
+    last = F.least(F.col("p"), F.greatest(F.col("n") - F.col("len"), F.lit(0)))
+    return once.withColumn("last", last).where("lo <= last")
+
+
+def _windows(anchors: DataFrame, k: int) -> DataFrame:
+    """(c1, c2, len, m, s, win): every window that holds an anchor, once; ``len`` is the item's, ``m`` counts the window's shingles."""
     # a window belongs to the first anchor that it holds
     before = F.lag("p").over(Window.partitionBy("c1", "c2", "len").orderBy("p"))
     first = F.greatest(F.col("lo"), F.coalesce(before + 1, F.lit(0)))
-    ranged = once.withColumn("first", first).withColumn("last", F.least(F.col("p"), F.greatest(F.col("n") - F.col("len"), F.lit(0))))
-    return (ranged.where("first <= last").withColumn("s", F.explode(F.sequence("first", "last")))
+    return (anchors.withColumn("first", first).where("first <= last").withColumn("s", F.explode(F.sequence("first", "last")))
             .select("c1", "c2", "len", (F.least(F.col("n"), F.col("len")) - k + 1).alias("m"), "s",
                     F.slice("part", F.col("s") - F.col("lo") + 1, F.col("len")).alias("win")))
 
 
+WINDOW_ID = ["c1", "c2", "len", "s"]
+
+
+def _keyed(df: DataFrame, blocks: list[tuple[int, int]], *cols: str) -> DataFrame:
+    """``cols`` with (blk, val) for each block of the fingerprint ``fp``."""
+    return df.select(*cols, F.posexplode(F.array(*[_block_value(F.col("fp"), b) for b in blocks])).alias("blk", "val"))
+
+
+def _index(own: DataFrame, k: int, blocks: list[tuple[int, int]]) -> DataFrame:
+    """(len, h, blk, val, ik, ifp): the items by their shingles' hashes and fingerprint blocks."""
+    prints = _fingerprints(own, ["ik", "len"], "w", k)
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: _shingle_hash(F.col("w"), i, k)))
+    each = own.select("ik", F.explode(hashes).alias("h")).join(prints, "ik").withColumn("ifp", F.col("fp"))
+    return _keyed(each, blocks, "len", "h", "ik", "ifp")
+
+
+def _candidates(win: DataFrame, anchors: DataFrame, index: DataFrame, k: int, blocks: list[tuple[int, int]]) -> DataFrame:
+    """(window, ik, fp, ifp, blk) for every anchor and block in which a window and an item agree."""
+    marks = anchors.select("c1", "c2", "len", "h", F.explode(F.sequence("lo", "last")).alias("s"))
+    prints = _fingerprints(win, WINDOW_ID, "win", k).join(marks, WINDOW_ID)
+    return _keyed(prints, blocks, *WINDOW_ID, "h", "fp").join(index, ["len", "h", "blk", "val"])
+
+
 def _found(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame | None:
     """(c1, c2, ik, position, similarity, distance) for items of shingle length ``k``."""
     own = items.where(F.col("k") == k)
@@ -154,27 +186,21 @@ def _found(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     passes = -(-n // LOOKUP)
     own = stored(own.select("ik", "len", "m", "w"))
     blocks = _blocks(radius)
-
-    def keyed(df, *cols):
-        return df.select(*cols, F.posexplode(F.array(*[_block_value(F.col("fp"), b) for b in blocks])).alias("blk", "val"))
-
-    prints = _fingerprints(own, ["ik", "len"], "w", k)
-    index = bounded(stored(keyed(prints, "len", "ik", F.col("fp").alias("ifp"), "fp").drop("fp")))
+    index = bounded(stored(_index(own, k, blocks)))
     shingles = own.select("ik", _shingles(w, m, k).alias("sh"))
     out = None
     for b in range(passes):
         mine = F.pmod(F.xxhash64("hash"), F.lit(passes)) == b
         hashes = [r["hash"] for r in places.where(mine).select("hash").distinct().collect()]
-        win = stored(_windows(docs, places.where(mine), k, step, hashes, similarity))
-        id_ = ["c1", "c2", "len", "s"]
-        pairs = keyed(_fingerprints(win, id_, "win", k), *id_, "fp").join(index, ["len", "blk", "val"])
+        anchors = stored(_anchors(docs, places.where(mine), k, step, hashes, similarity))
+        win = stored(_windows(anchors, k))
         x = F.col("fp").bitwiseXOR(F.col("ifp"))
-        # a pair is reported by the first block in which it agrees
+        # a pair is looked at by the first block in which it agrees, and once for all anchors that it shares
         first = F.least(*[F.when(_block_value(x, blk) == 0, F.lit(i)).otherwise(F.lit(len(blocks)))
                           for i, blk in enumerate(blocks)])
-        near = (pairs.withColumn("distance", F.bit_count(x))
-                .where((F.col("distance") <= radius) & (first == F.col("blk"))).select(*id_, "ik", "distance"))
-        both = near.join(win, id_).join(shingles, "ik").select(
+        near = (_candidates(win, anchors, index, k, blocks).withColumn("distance", F.bit_count(x))
+                .where((F.col("distance") <= radius) & (first == F.col("blk"))).select(*WINDOW_ID, "ik", "distance").distinct())
+        both = near.join(win, WINDOW_ID).join(shingles, "ik").select(
             "c1", "c2", "ik", "s", "distance", F.struct("sh", _shingles(F.col("win"), m, k).alias("wsh")).alias("x"))
         # the one-element array binds the window's shingles to a name, so they are built once
         sim = F.get(F.transform(F.array("x"), lambda v: _similarity(v["sh"], v["wsh"])), F.lit(0))

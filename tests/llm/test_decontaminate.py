@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from ledgerline.llm import decontaminate as D
 
 SF = "/root/testdata/sf0.01"
@@ -156,3 +158,24 @@ def test_fingerprints_of_very_long_windows(spark):
         "id", "split(trim(text), ' ') AS w", "size(split(trim(text), ' ')) - 4 AS m")
     prints = {r["id"]: r["fp"] for r in D._fingerprints(rows, ["id"], "w", 5).collect()}
     assert prints[1] == prints[2] == spark.sql("SELECT xxhash64('tick', 'tick', 'tick', 'tick', 'tick')").first()[0]
+
+
+def test_windows_meet_only_items_that_share_an_anchor(spark):
+    """2,000 items of one length: candidate pairs follow the shared passages, not windows times items."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(2000)]
+    docs = [(d, " ".join([*(r.choice(vocab) for _ in range(40)), items[d * 7][1], *(r.choice(vocab) for _ in range(40))])) for d in range(100)]
+    own = D.stored(D._items(spark.createDataFrame(items, "item_id bigint, text string")).select("ik", "len", "m", "w"))
+    places = own.select("len", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: D._shingle_hash(F.col("w"), i, 5))).alias("hash")).distinct()
+    c1, c2 = D.content_key(F.col("text"))
+    keyed = spark.createDataFrame(docs, "doc_id bigint, text string").select(c1.alias("c1"), c2.alias("c2"), D.words(F.lower("text")).alias("w"))
+    listed = [x["hash"] for x in places.select("hash").distinct().collect()]
+    anchors = D.stored(D._anchors(keyed, places, 5, D.stride(26), listed, D.SIMILARITY))
+    win = D.stored(D._windows(anchors, 5))
+    blocks = D._blocks(D.RADIUS)
+    pairs = D._candidates(win, anchors, D._index(own, 5, blocks), 5, blocks).select(*D.WINDOW_ID, "ik").distinct().count()
+    windows = win.count()
+    assert windows > 2500 and pairs <= windows      # the cross product has 2,000 items for each window
+    got = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, d * 7) for d in range(100)}
