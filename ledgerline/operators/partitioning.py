@@ -52,11 +52,14 @@ def _cut_points(df: DataFrame, order: list[str], rows_per_bin: int) -> tuple[Col
     return F.from_json(F.lit(cuts), kind), bins
 
 
-def _with_bin(df: DataFrame, order: list[str], bin_: str, rows_per_bin: int) -> DataFrame:
-    """``df`` with the number of its bin in ``order``: the cut points at or before the row's key, by binary search."""
+def _with_bin(df: DataFrame, order: list[str], bin_: str, rows_per_bin: int) -> DataFrame | None:
+    """``df`` with the number of its bin in ``order``: the cut points at or before the row's key, by binary search.
+
+    None when all rows are one bin: there is nothing to add then, and no join.
+    """
     cuts, bins = _cut_points(df, order, rows_per_bin)
     if bins == 1:
-        return df.withColumn(bin_, F.lit(0))
+        return None
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(bins.bit_length()))])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at))
@@ -72,7 +75,10 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str =
     is a group of its own.
     """
     bin_, count, first, other, *copies = _unused(df, 4 + len(group))
+    kept = [c for c in df.columns if c != name]
     binned = _with_bin(df, order, bin_, rows_per_bin)
+    if binned is None:
+        return df.select(*kept, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long").alias(name))
     local = F.row_number().over(Window.partitionBy(*group, bin_).orderBy(*order))
     before = Window.partitionBy(*group).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
     sizes = binned.groupBy(*group, bin_).agg(F.count(F.lit(1)).alias(count))
@@ -80,7 +86,7 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str =
                            F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(c)) for g, c in zip(group, copies)], F.col(bin_) == F.col(other))
     numbered = binned.withColumn(count, local).join(offsets, same)
-    return numbered.select(*[c for c in df.columns if c != name], (F.col(first) + F.col(count)).alias(name))
+    return numbered.select(*kept, (F.col(first) + F.col(count)).alias(name))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -101,12 +107,15 @@ def running_sum(df: DataFrame, order: list[str], value, name, rows_per_bin: int
     names = [name] if isinstance(name, str) else list(name)
     bin_, other, *spare = _unused(df, 2 + 3 * len(values))
     total, offset, sums = (spare[i::3] for i in range(3))
+    kept = [c for c in df.columns if c not in names]
     binned = _with_bin(df, order, bin_, rows_per_bin)
+    if binned is None:
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*kept, *[F.sum(F.coalesce(F.col(v), F.lit(0))).over(whole).cast("long").alias(c) for v, c in zip(values, names)])
     inside = Window.partitionBy(bin_).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy(other).rowsBetween(Window.unboundedPreceding, -1)    # one row per bin
     totals = binned.groupBy(F.col(bin_).alias(other)).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(t) for v, t in zip(values, total)])
     offsets = totals.select(other, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o) for t, o in zip(total, offset)])
     local = binned.withColumns({s: F.sum(F.coalesce(F.col(v), F.lit(0))).over(inside) for v, s in zip(values, sums)})
     out = local.join(offsets, F.col(bin_) == F.col(other))
-    return out.select(*[c for c in df.columns if c not in names],
-                      *[(F.col(o) + F.col(s)).cast("long").alias(c) for o, s, c in zip(offset, sums, names)])
+    return out.select(*kept, *[(F.col(o) + F.col(s)).cast("long").alias(c) for o, s, c in zip(offset, sums, names)])
