@@ -2,17 +2,21 @@
 
 Texts with a licensing word become candidates (a JVM-side filter); around
 each such word a block of words is cut out. A block is compressed alone and
-with each template as a zstandard raw dictionary: the closer the wording,
-the larger the reduction. A template is confirmed only by its exact wording:
-the alignment of the template's words with the block's (missing, added and
-replaced words) must differ in at most ``MAX_DIFFERENCE`` of the template's
-words, none for short ones. The differing words are part of the result.
-Templates of which more words are absent can't match and are not compressed;
-short ones need no least reduction. A number never stands for another one.
+with every template as a zstandard raw dictionary: the closer the wording,
+the larger the reduction. Templates are ranked by the bytes that they save
+(in a repetitive block, which shrinks without any template, the better of
+the block and its distinct words); one that saves none is no candidate. A
+candidate is confirmed by its exact
+wording: the alignment of the template's words with the block's (missing,
+added and replaced words) must differ in at most ``MAX_DIFFERENCE`` of the
+template's words, none for short ones. The differing words are part of the
+result. A number never stands for another one.
 
 Templates hold slots for what varies (years, holder, version, identifier).
-Where matches overlap, the one with more words of its template in place wins
-(less one for each difference), then the larger reduction.
+Where confirmed matches overlap, the one that saves most wins; those within
+``MARGIN`` bytes of it are equal to a compressor (a slot saves nothing), so
+among them the one with more words of its template in place wins, less one
+for each difference.
 
 Work is per row, without a shuffle; a block has a bounded number of words,
 so very long texts are many blocks.
@@ -32,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_REDUCTION = 0.1
 MAX_DIFFERENCE = 0.1
-LEVEL = 19
+MARGIN = 4
+LEVEL = 6
+# Stands before every block, alone or not: a few words by themselves are stored as they are, whatever the dictionary.
+LEAD = b"0123456789 0123456789 0123456789 "
 NEVER = 1_000_000
 
 # Words that nominate a block, and public license notices.
@@ -63,6 +69,7 @@ TEMPLATES = (
 SLOTS = {"{year}": (3, r"c|©|copyright|present|(?:19|20)\d\d(?:[-–,/](?:\d\d|\d{4}|present))*"),
          "{holder}": (8, r"(?!licens|under$|released$|permission$)[^\0]+"), "{v}": (2, r"v|version|[-–]"), "{the}": (1, r"the|an?"),
          "{kind}": (1, r"international|unported|generic|universal"), "{license}": (1, r"license")}
+USUAL = {"{the}": "the", "{license}": "license", "{v}": "version", "{kind}": "international", "{year}": "copyright"}
 VERSION = r"/v?\d+(?:\.\d+)*\+?/"
 FORMS = ("under {the} %s", "under the terms of {the} %s", "This work is licensed under {the} %s",
          "subject to the terms of {the} %s", "License: {the} %s", "%s Copyright {year}")
@@ -130,12 +137,29 @@ def plain(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}<>*#").replace("licence", "license")
 
 
+def winners(matches: list[tuple]) -> list[tuple]:
+    """Disjoint ones of the confirmed ``matches`` (bytes saved, differences less words in place, template, start, end, ...).
+
+    The match that saves most leads; among those that overlap it and save nearly as much, the wording decides.
+    """
+    out, left = [], sorted(matches, key=lambda m: (-m[0], *m[1:5]))
+    while left:
+        lead = left[0]
+        best = min((m for m in left if m[0] >= lead[0] - MARGIN and m[3] < lead[4] and lead[3] < m[4]),
+                   key=lambda m: (m[1], -m[0], *m[2:5]))
+        out.append(best)
+        left = [m for m in left if m[4] <= best[3] or best[4] <= m[3]]
+    return out
+
+
 class Slot:
     """A word of a template given by its form: an optional one (a missing word costs nothing) or a required one."""
 
-    def __init__(self, form: str, required: bool):
+    def __init__(self, form: str, required: bool, usual: str = ""):
         self.fits, self.required = re.compile(form).fullmatch, required
         self.wild = bool(self.fits("\1"))
+        # what stands for it in a dictionary: its usual word, or the letters that it begins with
+        self.usual = usual or (re.match(r"[a-z]*", form).group() if required and "|" not in form else "")
 
 
 def read(template: str) -> list[str | Slot]:
@@ -144,7 +168,7 @@ def read(template: str) -> list[str | Slot]:
     for w in template.split():
         if w in SLOTS:
             n, form = SLOTS[w]
-            out += [Slot(form, False)] * n
+            out += [Slot(form, False, USUAL.get(w, "")), *[Slot(form, False)] * (n - 1)]
         elif w[0] == w[-1] == "/" and len(w) > 2:
             out.append(Slot(w[1:-1], True))
         elif plain(w):
@@ -215,8 +239,13 @@ def align(template: list[str | Slot], block: list[str]) -> tuple[int, int, int,
     return aligned(template, block)[:4]
 
 
+def wording(template: list[str | Slot]) -> str:
+    """A template as a dictionary: its words, and of its slots what usually stands there."""
+    return " ".join(w if isinstance(w, str) else w.usual for w in template if isinstance(w, str) or w.usual)
+
+
 class Scanner:
-    """Compressors for a set of templates, made once in each Python worker when first needed."""
+    """Dictionaries for a set of templates, made once in each Python worker when first needed."""
 
     def __init__(self, templates=NOTICES):
         self.templates = []
@@ -224,20 +253,37 @@ class Scanner:
             t = read(text)
             fixed = [w for w in t if isinstance(w, str)]
             self.templates.append((name, t, fixed, len(t) - sum(isinstance(w, Slot) and not w.required for w in t)))
-        self.made: dict[int | None, object] = {}
+        # templates that differ in slots only share a dictionary
+        kinds: dict[str, int] = {}
+        self.kind = [kinds.setdefault(wording(t), len(kinds)) for _, t, _, _ in self.templates]
+        self.kinds = list(kinds)
         self.reach = max(len(t) for _, t, _, _ in self.templates)
+        self.made: list = []
 
-    def size(self, raw: bytes, k: int | None = None) -> int:
-        """Compressed bytes of ``raw``, alone or with template ``k`` as the dictionary."""
+    def sizes(self, raw: bytes) -> tuple[int, list[int]]:
+        """Compressed bytes of ``raw`` alone, and with each dictionary."""
         import zstandard as z
 
-        if k not in self.made:
+        if not self.made:
             params = z.ZstdCompressionParameters.from_level(
                 LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-            d = None if k is None else z.ZstdCompressionDict(
-                " ".join(self.templates[k][2]).encode().ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
-            self.made[k] = z.ZstdCompressor(compression_params=params, dict_data=d)
-        return len(self.made[k].compress(raw))
+            self.made = [z.ZstdCompressor(compression_params=params)]
+            for text in self.kinds:
+                d = z.ZstdCompressionDict(text.encode().ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=params)
+                self.made.append(z.ZstdCompressor(compression_params=params, dict_data=d))
+        alone, *given = [len(c.compress(LEAD + raw)) for c in self.made]
+        return alone, given
+
+    def savings(self, body: list[str]) -> tuple[int, list[int]]:
+        """Compressed bytes of a block, and the bytes that each dictionary saves."""
+        alone, given = self.sizes(" ".join(body).encode("utf-8", "surrogatepass"))
+        saved = [alone - x for x in given]
+        once = dict.fromkeys(body)
+        if 2 * len(once) < len(body):
+            least, given = self.sizes(" ".join(once).encode("utf-8", "surrogatepass"))
+            saved = [max(x, least - y) for x, y in zip(saved, given)]
+        return alone, saved
 
     def blocks(self, words: list[str], cues: list[int]) -> Iterator[tuple[int, int]]:
         """Stretches of words around the cues, joined where they overlap and cut where they get long."""
@@ -261,16 +307,17 @@ class Scanner:
         found: dict[tuple[int, int], tuple] = {}
         for a, b in self.blocks(words, [c for c in cues if c >= 0]):
             body = words[a:b]
-            raw = " ".join(body).encode("utf-8", "surrogatepass")
-            base, present, matches = None, set(body), []
-            for k, (name, template, fixed, n) in enumerate(self.templates):
+            base, by_kind = self.savings(body)
+            present, matches = set(body), []
+            saves = [by_kind[x] for x in self.kind]
+            for k in sorted(range(len(saves)), key=lambda x: (-saves[x], x)):
+                name, template, fixed, n = self.templates[k]
+                if saves[k] <= 0:
+                    break
                 allowed = MAX_DIFFERENCE * n
+                # each absent word is a difference at least
                 if sum(w not in present for w in fixed) > allowed:
                     continue
-                base = base or self.size(raw)
-                gain = 1 - self.size(raw, k) / base
-                if allowed >= 1 and gain < MIN_REDUCTION * min(1, 2 * n / len(body)):
-                    continue
                 rest = body
                 while True:
                     diff, i, j, notes, held = aligned(template, rest)
@@ -288,12 +335,9 @@ class Scanner:
                         given += ".0" * (given.isdigit() and not name.startswith("CC0"))
                     # words in place; a holder's words count for nothing
                     n_held = n + sum(not (t.required or t.wild) for t, _ in held)
-                    matches.append((diff - n_held, -gain, k, a + i, a + j, diff, notes, name.replace("{}", given)))
-            taken = set()
-            for _, gain, k, s, e, diff, notes, name in sorted(matches):
-                if taken.isdisjoint(range(s, e)):
-                    taken.update(range(s, e))
-                    found.setdefault((s, e), (name, s, e - s, -gain, diff, notes, text[places[s][0]:places[e - 1][1]]))
+                    matches.append((saves[k], diff - n_held, k, a + i, a + j, diff, notes, name.replace("{}", given)))
+            for saved, _, _, s, e, diff, notes, name in winners(matches):
+                found.setdefault((s, e), (name, s, e - s, saved / base, diff, notes, text[places[s][0]:places[e - 1][1]]))
         out, last = [], -1
         for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
             if s >= last:

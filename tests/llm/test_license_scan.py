@@ -88,3 +88,53 @@ def test_every_license_like_line(spark):
     got = {(r.doc_id, texts[r.doc_id][:[m.start() for m in L.WORD.finditer(texts[r.doc_id])][r.position]].count("\n"))
            for r in L.scan(df).collect()}
     assert lines and got == lines
+
+
+BLOCKS = [
+    "Released under the MIT License. Some words. Licensed under CC BY-NC 4.0. Released under the MIT License.",
+    "This work is licensed under the GNU General Public License, version 2. Copyright (c) 2024 Acme. All rights reserved.",
+    "one two SPDX-License-Identifier: MIT OR Apache-2.0 three All rights reserved.",
+    "The fishing license was released under water, by all rights.",
+]
+
+
+def slow_scan(s, text):
+    """Every template against the block: bytes saved, wording of every stretch, and the first in rank order that is free."""
+    words = [L.plain(w) for w in text.split()]
+    alone, given = s.sizes(" ".join(words).encode())
+    found = []
+    for k, (name, template, _, n) in enumerate(s.templates):
+        rest, saved = list(words), alone - given[s.kind[k]]
+        while saved > 0:
+            diff, i, j, _, held = L.aligned(template, rest)
+            if diff > L.MAX_DIFFERENCE * n or i == j or "\0" in rest[i:j]:
+                break
+            rest[i:j] = ["\0"] * (j - i)
+            if name == "{}" and not all(text.split()[x].isupper() for t, x in [h for h in held if h[0].required][1::2]):
+                continue
+            found.append((saved, diff - n - sum(not (t.required or t.wild) for t, _ in held), i, j, k))
+    free, out = set(range(len(words))), []
+    while found := [m for m in found if free.issuperset(range(m[2], m[3]))]:
+        lead = min(found, key=lambda m: (-m[0], m[1], m[4], m[2]))
+        near = [m for m in found if m[0] >= lead[0] - L.MARGIN and set(range(m[2], m[3])) & set(range(lead[2], lead[3]))]
+        best = min(near, key=lambda m: (m[1], -m[0], m[4], m[2]))
+        free -= set(range(best[2], best[3]))
+        out.append((best[2], best[3] - best[2]))
+    return sorted(out)
+
+
+def test_against_all_templates():
+    s = L.Scanner()
+    got = [[(x[1], x[2]) for x in s.scan(t)] for t in BLOCKS]
+    assert got == [slow_scan(s, t) for t in BLOCKS]
+    assert [len(x) for x in got] == [3, 2, 2, 0]
+
+
+def test_the_compressor_decides(monkeypatch):
+    """Without size reductions there is no candidate; a wrong ranking gives other rows."""
+    s = L.Scanner()
+    right = [s.scan(t) for t in BLOCKS]
+    monkeypatch.setattr(s, "sizes", lambda raw: (100, [100] * len(s.kinds)))
+    assert [s.scan(t) for t in BLOCKS] == [[]] * len(BLOCKS)
+    monkeypatch.setattr(s, "sizes", lambda raw: (10_000, [10 * len(x) for x in s.kinds]))
+    assert [[x[:3] for x in s.scan(t)] for t in BLOCKS] != [[x[:3] for x in r] for r in right]
