@@ -122,7 +122,8 @@ def period_aggregate(periods: DataFrame, daily: DataFrame, date_col: str, measur
     blocks = (daily.where(F.col(date_col).isNotNull()).select(F.inline(day_blocks(F.col(date_col), *bounds)).alias("_level", "_at"), *columns)
               .groupBy("_level", "_at").agg(*[f(c).alias(c) for c, f in measures.items()]))
     p = with_blocks(periods.select(key, start_col, end_col), start_col, end_col, *bounds)
-    return p.join(blocks, ["_level", "_at"]).groupBy(key).agg(*[f(c).alias(c) for c, f in measures.items()])
+    # at most one row per level and day that occurs; left to an estimate, the periods would be broadcast, of which there may be millions
+    return p.join(F.broadcast(blocks), ["_level", "_at"]).groupBy(key).agg(*[f(c).alias(c) for c, f in measures.items()])
 
 
 def busiest_days(t: Tables, periods: DataFrame, key: str = "request_id") -> DataFrame:
