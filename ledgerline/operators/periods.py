@@ -34,6 +34,8 @@ from ledgerline.session import checkpoint_dir
 from ledgerline.sources.roles import Tables
 
 REPORT_MEASURES = ("orders",) + sales.MEASURES
+# Facts (or pairs of a period and a day) that a join may broadcast, in rows.
+BROADCAST_ROWS = 200_000
 
 
 # ---- dyadic blocks ------------------------------------------------------------------
@@ -93,16 +95,28 @@ def period_join(periods: DataFrame, facts: DataFrame, date_col: str,
     A period with a NULL bound, or with end before start, matches nothing.
     ``salts`` splits each day: facts take one of so many salts, the (period,
     day) pairs are copied to all of them.
+
+    A planner's estimate knows nothing of the rows that a period grows into,
+    so the sides to broadcast are chosen by counts: the days that occur (by
+    level) always, the facts up to BROADCAST_ROWS, the (period, day) pairs if
+    there can't be more of them than that. Else facts and pairs are shuffled.
     """
-    bounds = _bounds(facts, date_col)
+    lo, hi, n_facts = facts.agg(F.min(date_col), F.max(date_col), F.count(date_col)).first()
+    bounds = None if lo is None else (lo, hi)
     if bounds is None:
         return periods.withColumn("_none", F.lit(1)).join(facts.where("false").withColumn("_none", F.lit(1)), "_none").drop("_none")
     days = facts.where(F.col(date_col).isNotNull()).select(F.col(date_col).alias("_day")).distinct()
     days = days.select("_day", F.inline(day_blocks(F.col("_day"), *bounds)).alias("_level", "_at"))
     p = with_blocks(periods, start_col, end_col, *bounds)
-    pairs = p.join(days, ["_level", "_at"]).drop("_level", "_at")
+    pairs = p.join(F.broadcast(days), ["_level", "_at"]).drop("_level", "_at")
     pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     f = facts.withColumns({"_day": F.col(date_col), "_salt": F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")})
+    if n_facts <= BROADCAST_ROWS:
+        f = F.broadcast(f)
+    else:
+        few = BROADCAST_ROWS // (((hi - lo).days + 1) * salts)
+        if periods.limit(few + 1).count() > few:
+            pairs = pairs.hint("shuffle_merge")
     return pairs.join(f, ["_day", "_salt"]).drop("_day", "_salt")
 
 

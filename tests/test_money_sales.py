@@ -127,3 +127,22 @@ def test_period_blocks_match_brute_force(spark):
     assert {x["pid"]: x["count"] for x in pairs} == {pid: len(v) for pid, v in inside.items() if v}
     assert P.period_join(asked, facts.where("n > 100"), "d").count() == 0 == P.period_aggregate(
         asked, facts.where("n > 100"), "d", {"n": F.max}, "pid").count()
+
+
+def test_period_joins_never_broadcast_many_periods(spark):
+    """The periods look small to the planner, but each grows into many rows: the calendar's side is broadcast, or none."""
+    from ledgerline.operators import periods as P
+    first = F.lit(dt.date(1996, 1, 1))
+    facts = spark.range(2_000_000).select(F.date_add(first, (F.col("id") % 400).cast("int")).alias("d"), F.col("id").alias("n"))
+    daily = facts.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    asked = spark.range(2000).select(F.col("id").alias("pid"), F.date_add(first, (F.col("id") % 300).cast("int")).alias("date_start"),
+                                     F.date_add(first, (F.col("id") % 300 + F.col("id") % 7).cast("int")).alias("date_end"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    top, few, many = P.period_aggregate(asked, daily, "d", {"n": F.max}, "pid"), P.period_join(asked, daily, "d"), P.period_join(asked, facts, "d")
+    assert not any("BuildLeft" in plan(x) for x in (top, few, many))
+    assert "SortMergeJoin" in plan(many)
+    days = sum(i % 7 + 1 for i in range(2000))
+    assert few.count() == days and many.where("n < 400").count() == days and top.count() == 2000
