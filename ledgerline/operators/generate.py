@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,8 @@ def weight_cells(table: DataFrame, weight: Column, key: str) -> tuple[DataFrame,
     large weighted table is never gathered into one task.
     """
     checkpoint_dir(table.sparkSession)
-    t = table.select(key, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0)
+    # read by every step of the running sum
+    t = table.select(key, weight.cast("bigint").alias("_w")).where(F.col("_w") > 0).checkpoint()
     cum = running_sum(t, [key], "_w", "hi").select(key, (F.col("hi") - F.col("_w")).alias("lo"), "hi")
     n, total = cum.agg(F.count(F.lit(1)), F.coalesce(F.max("hi"), F.lit(0))).first()
     if total >= MAX_WEIGHT:
@@ -150,11 +152,11 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
     """
     need = orders.select(key, F.col(size_col).cast("int").alias("_size"))
     weight = F.col(weight_col).cast("bigint")
-    # nothing but the bounded table of products is gathered; one row more tells whether it is larger
-    table = (products.where(weight > 0).select(product_key, weight.alias("_w")).orderBy(product_key)
-             .limit(broadcast_rows + 1).collect())
-    if len(table) > broadcast_rows:
+    drawn = products.where(weight > 0).select(product_key, weight.alias("_w"))
+    if drawn.count() > broadcast_rows:
         return _drawn_in_rounds(need, products, seed, key, product_key, weight_col)
+    # nothing but the bounded table of products is gathered
+    table = drawn.orderBy(product_key).collect()
     need = need.checkpoint()    # read twice
     largest = need.agg(F.max("_size")).first()[0] or 0
     if largest > len(table):
@@ -165,53 +167,49 @@ def weighted_sample_distinct(orders: DataFrame, products: DataFrame, seed, size_
 def _drawn_in_rounds(need: DataFrame, products: DataFrame, seed, key: str, product_key: str, weight_col: str) -> DataFrame:
     """The same draws by joins with cells of the weight axis.
 
-    The sequence is consumed in rounds: every order still short of products
-    draws ahead; the loop ends when no order is short. Lineage is cut with
-    ``checkpoint`` after every round. Per-order windows here hold at most the
-    draws of one order in one round.
+    The sequence is consumed in rounds. The first makes as many draws as an
+    order wants products: in a large table few repeat, so nearly all orders
+    are done. Only orders still short go on, with their picks and further
+    ahead every round: the first ``size`` products in draw order are the same
+    as if drawn one at a time. A round shuffles its draws twice, by cell and
+    by order, and is cut from its lineage with ``checkpoint``. Per-order
+    windows hold at most the draws of one order in one round. Rows that share
+    a key share its draws.
     """
     cells, total, width = weight_cells(products.select(product_key, weight_col), F.col(weight_col), product_key)
     # the input is read once: its lineage (shuffles, numbering) is cut here
-    need = need.checkpoint()
-    largest = need.agg(F.max("_size")).first()[0] or 0
+    asked = need.groupBy(key).agg(F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_rows")).checkpoint()
+    largest, rows = asked.agg(F.max("_size"), F.max("_rows")).first()
     drawable = cells.select(product_key).distinct().count()
-    if largest > drawable:
+    if (largest or 0) > drawable:
         raise ValueError(f"an order wants {largest} distinct products, {drawable} have a weight")
-    state = need.select(key, "_size", F.lit(0).cast("bigint").alias("_have"), F.lit(0).cast("bigint").alias("_used"))
-    chosen, r = None, 0
-    while True:
-        short = state.where(F.col("_have") < F.col("_size"))
-        if short.limit(1).count() == 0:
-            break
-        # Draw ahead of the shortfall, further every round up to a bound, and
-        # accept only the first ``lack`` new products in draw order: the same
-        # result as drawing one at a time, in few rounds.
-        ahead = min(8 << r, MAX_AHEAD)
+    short = asked.where("_size > 0").select(key, "_size", F.lit(0).alias("_have"), F.lit(0).cast("bigint").alias("_used"))
+    held, done, r = None, [], 0
+    while short.limit(1).count():
+        ahead = 1 if r == 0 else min(4 << r, MAX_AHEAD)
         r += 1
-        short = short.withColumn("_lack", F.col("_size") - F.col("_have")) \
-            .withColumn("_n", (F.col("_size") - F.col("_have")) * ahead)
-        draws = short.select(key, F.explode(F.sequence(F.col("_used"), F.col("_used") + F.col("_n") - 1)).alias("_d"))
-        u = uniform32(seed, F.concat(F.col(key).cast("string"), F.lit("|"), F.col("_d").cast("string")))
-        x = draws.select(key, "_d", F.shiftright(u * total, 32).alias("x"))
+        stop = F.col("_used") + (F.col("_size") - F.col("_have")) * ahead
+        draws = short.select(key, "_size", stop.alias("_next"), F.explode(F.sequence(F.col("_used"), stop - 1)).alias("_d"))
+        u = uniform32(seed, F.concat(F.coalesce(F.col(key).cast("string"), F.lit("None")), F.lit("|"), F.col("_d").cast("string")))
+        x = draws.withColumn("x", F.shiftright(u * total, 32))
         picked = (x.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell")
-                  .where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select(key, "_d", product_key))
-        first = picked.groupBy(key, product_key).agg(F.min("_d").alias("_d"))
-        if chosen is not None:
-            first = first.join(chosen.select(key, product_key), [key, product_key], "left_anti")
-        order_w = Window.partitionBy(key).orderBy("_d")
-        first = (first.join(short.select(key, "_lack"), key)
-                 .withColumn("_k", F.row_number().over(order_w))
-                 .where(F.col("_k") <= F.col("_lack")).select(key, product_key, "_d"))
-        # cut lineage each round: round r never recomputes rounds 0..r-1
-        chosen = (first if chosen is None else chosen.unionByName(first)).checkpoint()
-        got = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_got"))
-        spent = short.select(key, F.col("_n").alias("_spent"))
-        state = (state.join(got, key, "left").join(spent, key, "left")
-                 .select(key, "_size", F.coalesce("_got", F.lit(0)).cast("bigint").alias("_have"),
-                         (F.col("_used") + F.coalesce("_spent", F.lit(0))).cast("bigint").alias("_used"))
-                 .checkpoint())
-    if chosen is None:
+                  .where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select(key, "_size", "_next", "_d", product_key))
+        if held is not None:
+            picked = picked.unionByName(held)
+        # one shuffle by order serves the distinct products, their ranks and their number
+        first = picked.repartition(key).groupBy(key, product_key).agg(
+            F.min("_d").alias("_d"), F.max("_size").alias("_size"), F.max("_next").alias("_next"))
+        ranked = first.withColumn("pick", F.row_number().over(Window.partitionBy(key).orderBy("_d"))).where("pick <= _size")
+        ranked = ranked.withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int")).checkpoint()
+        done.append(ranked.where("_have = _size").select(key, product_key, "pick"))
+        open_ = ranked.where("_have < _size")
+        held = open_.select(key, "_size", "_next", "_d", product_key)
+        short = open_.groupBy(key).agg(F.max("_size").alias("_size"), F.max("_have").alias("_have"), F.max("_next").alias("_used"))
+    if not done:
         kind = products.schema[product_key].dataType
         return need.where(F.lit(False)).select(key, F.lit(None).cast(kind).alias(product_key), F.lit(0).alias("pick"))
-    w = Window.partitionBy(key).orderBy("_d")
-    return chosen.withColumn("pick", F.row_number().over(w)).select(key, product_key, "pick")
+    out = reduce(DataFrame.unionByName, done)
+    if rows == 1:
+        return out
+    wanted = need.where("_size > 0").select(F.col(key).alias("_key"), "_size")
+    return wanted.join(out, F.col("_key").eqNullSafe(F.col(key)) & (F.col("pick") <= F.col("_size"))).select(key, product_key, "pick")

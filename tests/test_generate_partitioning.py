@@ -115,3 +115,12 @@ def test_weighted_sample_ways_agree(spark):
     b = sorted(map(tuple, G.weighted_sample_distinct(few, products, 5, broadcast_rows=3).collect()))
     assert a == b and len(a) == sum(i % 5 for i in range(400)) - 2
     assert G.weighted_sample_distinct(orders, products, 5).count() == sum(i % 5 for i in range(400)) + 2 + 1
+
+
+def test_weighted_sample_rounds_with_repeated_and_skewed_rows(spark):
+    """Rows that share a key draw as one sequence in both ways; nearly all weight on one product takes many rounds."""
+    orders = spark.createDataFrame([(1, 2), (1, 3), (1, 3), (2, 1), (3, None), (4, 0)] + [(i, i % 4) for i in range(5, 60)], "order_id long, size int")
+    products = spark.createDataFrame([(p, 400 if p == 3 else 1) for p in range(8)], "product_id long, weight long")
+    a = sorted(map(tuple, G.weighted_sample_distinct(orders, products, 5).collect()))
+    b = sorted(map(tuple, G.weighted_sample_distinct(orders, products, 5, broadcast_rows=3).collect()))
+    assert a == b and len(a) == 9 + sum(i % 4 for i in range(5, 60))
