@@ -24,6 +24,8 @@ from ledgerline.functions.calendar import as_date
 from ledgerline.sources.roles import Tables
 
 MEASURES = ("units", "revenue_cents", "estimated_food_cost_cents", "estimated_gross_profit_cents")
+# Lines that one task reduces to (order, category), about.
+ROWS_PER_TASK = 500_000
 
 
 def line_measures() -> list[Column]:
@@ -77,7 +79,7 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     orders = filter_period(t.orders, start, end)
     per_order = order_measures(_lines_of(t, orders, start, end)).join(orders, "order_id")
     if by == "category":
-        return _by_category(t, _lines_of(t, orders, start, end).join(orders.select("order_id"), "order_id", "left_semi"))
+        return _by_category(t, _lines_of(t, orders, start, end), orders)
     key = period_key(by)
     out = (per_order.groupBy(key)
            .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(m).alias(m) for m in MEASURES]))
@@ -93,13 +95,14 @@ def summary(t: Tables, by: str = "year", start=None, end=None, fill: bool = Fals
     return out
 
 
-def _by_category(t: Tables, items: DataFrame) -> DataFrame:
-    """Measures per product category. Lines are reduced to one row per (order, product) before the
-    product join, then to (order, category), so an order with two products of a category counts once."""
-    per = (items.select("order_id", "product_id", *line_measures()).groupBy("order_id", "product_id")
-           .agg(*[F.sum(m).alias(m) for m in MEASURES]))
-    named = per.join(t.products.select("product_id", "category"), "product_id")
-    once = named.groupBy("category", "order_id").agg(*[F.sum(m).alias(m) for m in MEASURES])
+def _by_category(t: Tables, items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Measures per product category of the lines of ``orders``. Lines get their category, meet their orders and are
+    reduced to (order, category), so an order with two products of a category counts once. They are shuffled by
+    order into parts of about ROWS_PER_TASK lines: a task's hash tables stay as small whatever the number of lines."""
+    parts = -(-items.count() // ROWS_PER_TASK) or 1
+    named = items.join(t.products.select("product_id", "category"), "product_id").select("order_id", "category", *line_measures())
+    known = named.repartition(parts, "order_id").join(orders.select("order_id"), "order_id", "left_semi")
+    once = known.groupBy("category", "order_id").agg(*[F.sum(m).alias(m) for m in MEASURES])
     return once.groupBy("category").agg(F.count(F.lit(1)).alias("orders"), *[F.sum(m).alias(m) for m in MEASURES])
 
 

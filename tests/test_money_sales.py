@@ -146,3 +146,12 @@ def test_period_joins_never_broadcast_many_periods(spark):
     assert "SortMergeJoin" in plan(many)
     days = sum(i % 7 + 1 for i in range(2000))
     assert few.count() == days and many.where("n < 400").count() == days and top.count() == 2000
+
+
+def test_category_tasks_are_bounded_by_rows(tables, monkeypatch):
+    """More lines make more parts: no task holds more than its share of the lines, whatever the shuffle settings."""
+    want = sorted(map(tuple, sales.breakdown(tables, "category").collect()))
+    monkeypatch.setattr(sales, "ROWS_PER_TASK", 2000, raising=False)
+    df = sales.breakdown(tables, "category")
+    assert sorted(map(tuple, df.collect())) == want
+    assert "hashpartitioning(order_id" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 30), REPARTITION_BY_NUM" in plan
