@@ -5,8 +5,8 @@ Chunking is a pure column expression (``sequence`` of window starts +
 
 Vector retrieval is exact: the queries are cut into blocks of bounded bytes,
 each block is broadcast, and every batch of vectors is compared with it as a
-matrix (Arrow batches); a batch hands on its k nearest per query, so what is
-shuffled is k rows per query and batch, never all pairs.
+matrix (Arrow batches); a task hands on its k nearest per query, so what is
+shuffled is k rows per query and task, never all pairs.
 
 Text retrieval scores with Okapi BM25 (our choice: the reference's embedder
 is a model that is not part of it). The tokenised chunks are materialised
@@ -37,6 +37,9 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 # Query vectors compared at once: bytes of one broadcast block.
 QUERY_BLOCK_BYTES = 16 << 20
+# Cells of a distance matrix, and vectors compared at once.
+DISTANCE_CELLS = 2_000_000
+VECTOR_STEP = 2_000
 # Text queries compared at once: (query, term) pairs of one broadcast block, and cells of a score matrix.
 QUERY_BLOCK_TERMS = 200_000
 SCORE_CELLS = 2_000_000
@@ -122,14 +125,32 @@ def _distances(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndar
     raise ValueError(f"unknown metric {metric}")
 
 
-def _nearest(metric: str, qid: list, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
-    """(query ids, vector ids, distances): the k nearest of a batch for each query, ties by id."""
+def _best(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k columns of each row with the least distance, ties by id; ``ids`` and ``d`` are (queries, candidates)."""
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    ids, d = np.take_along_axis(ids, by_id, 1), np.take_along_axis(d, by_id, 1)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, best, 1), np.take_along_axis(d, best, 1)
+
+
+def _k_nearest(metric: str, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector ids, distances), both (queries, k): the k nearest of a batch, ties by id. Matrices hold DISTANCE_CELLS at most."""
     order = np.argsort(vid, kind="stable")
     vid, v = vid[order], v[order]
-    d = _distances(metric, q, v)
-    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-    n = best.shape[1]
-    return [x for x in qid for _ in range(n)], vid[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+    step = max(1, DISTANCE_CELLS // max(1, len(vid)))
+    ids, distances = [], []
+    for lo in range(0, max(1, len(q)), step):
+        d = _distances(metric, q[lo:lo + step], v)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        ids.append(vid[best])
+        distances.append(np.take_along_axis(d, best, 1))
+    return np.concatenate(ids), np.concatenate(distances)
+
+
+def _nearest(metric: str, qid: list, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
+    """(query ids, vector ids, distances): the k nearest of a batch for each query, ties by id."""
+    ids, d = _k_nearest(metric, q, vid, v, k)
+    return [x for x in qid for _ in range(ids.shape[1])], ids.ravel(), d.ravel()
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric: str = "l2",
@@ -139,7 +160,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric:
 
     Ranked by the exact double distance, then the lower id. Null vectors take
     no part. Raises when the collection is empty. The queries are read in
-    blocks of QUERY_BLOCK_BYTES, one scan of the vectors for each block.
+    blocks of QUERY_BLOCK_BYTES, one scan of the vectors for each block, and
+    broadcast as matrices. A task holds a block, a batch, distances of
+    DISTANCE_CELLS pairs and k vectors per query, however many there are.
     """
     require_rows(vectors, "vector in the collection")
     spark = vectors.sparkSession
@@ -153,31 +176,41 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric:
 
     def compared(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_size: dict[int, tuple[list, list]] = {}
-            for i, x in block.value:
-                ids, rows = by_size.setdefault(len(x), ([], []))
-                ids.append(i)
-                rows.append(x)
-            parts = {s: (ids, np.array(rows, float).reshape(len(ids), s)) for s, (ids, rows) in by_size.items()}
+            parts, found, kind = block.value, {}, None
             for b in batches:
+                kind = b.schema.field(0).type
                 ids, col = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-                sizes = np.array([len(x) for x in col])
-                flat = np.asarray(col.flatten())
-                ends = np.cumsum(sizes)
-                for s, (qid, q_rows) in parts.items():
+                sizes = np.asarray(col.value_lengths())
+                flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+                for s, (_, q_rows) in parts.items():
                     at = np.flatnonzero(sizes == s)
-                    if len(at):
-                        rows = np.stack([flat[ends[i] - s:ends[i]] for i in at]) if s else np.zeros((len(at), 0))
-                        a, c, d = _nearest(metric, qid, q_rows, ids[at], rows, k)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(a, q_arrow), pa.array(c, b.schema.field(0).type), pa.array(d, pa.float64())],
-                            names=["query_id", "vec_id", "distance"])
+                    for lo in range(0, len(at), VECTOR_STEP):
+                        mine = at[lo:lo + VECTOR_STEP]
+                        rows = flat[(ends[mine] - s)[:, None] + np.arange(s)[None, :]].astype(float).reshape(len(mine), s)
+                        near = _k_nearest(metric, q_rows, ids[mine], rows, k)
+                        # a task keeps k per query, whatever the number of its batches
+                        found[s] = _best(*(np.concatenate(x, axis=1) for x in zip(found[s], near)), k) if s in found else near
+            for s, (near, distance) in found.items():
+                qid, n = parts[s][0], near.shape[1]
+                for lo in range(0, len(qid), VECTOR_STEP):
+                    hi = lo + VECTOR_STEP
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x for x in qid[lo:hi] for _ in range(n)], q_arrow), pa.array(near[lo:hi].ravel(), kind),
+                         pa.array(distance[lo:hi].ravel(), pa.float64())], names=["query_id", "vec_id", "distance"])
         return run
 
+    def matrices(part: DataFrame) -> dict[int, tuple[list, np.ndarray]]:
+        by_size: dict[int, tuple[list, list]] = {}
+        for i, x in part.toLocalIterator():
+            ids, rows = by_size.setdefault(len(x), ([], []))
+            ids.append(i)
+            rows.append(np.array(x, float))
+        return {s: (ids, np.array(rows).reshape(len(ids), s)) for s, (ids, rows) in by_size.items()}
+
     out = None
     for i in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        block = spark.sparkContext.broadcast([(r["query_id"], r["q"]) for r in part.collect()])
+        block = spark.sparkContext.broadcast(matrices(part))
         near = v.mapInArrow(compared(block), schema)
         out = near if out is None else out.unionByName(near)
     return top_k_per_group(out, "query_id", [F.col("distance"), F.col("vec_id")], k).select("query_id", "rank", "vec_id")
