@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,6 +33,8 @@ from ledgerline.session import checkpoint_dir
 CHUNK_SIZE = 450
 CHUNK_OVERLAP = 70
 TOP_K = 3
+# Pages of a bin when they are numbered: they carry their texts, and what follows runs where a bin's pages are.
+PAGES_PER_BIN = 2_000
 # BM25 parameters (the usual defaults).
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -53,7 +56,7 @@ def page_text(docs: DataFrame, source_col: str = "source", order_col: str = "doc
     in ``order_col`` order. Blank pages (whitespace only) are skipped after
     numbering, as physical pages keep their numbers."""
     keep = keep or []
-    numbered = number_within(docs.select(source_col, order_col, text_col, *keep), [source_col], [order_col], "page")
+    numbered = number_within(docs.select(source_col, order_col, text_col, *keep), [source_col], [order_col], "page", PAGES_PER_BIN)
     return numbered.where(normalize_whitespace(F.col(text_col)) != "").select(
         F.col(source_col).alias("source"), F.col("page").cast("int").alias("page"),
         F.col(text_col).alias("text"), *keep)
@@ -80,8 +83,9 @@ def chunk_text(df: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be >= 0 and smaller than chunk size")
-    norm = normalize_whitespace(F.col(text_col))
-    base = df.withColumn("_t", norm).where(F.length("_t") > 0)
+    # through a generator, so that the text is normalised once and not for each use
+    norm = normalize_whitespace(F.col(text_col)).alias("_t")
+    base = df.select("*", F.inline(F.array(F.struct(norm)))).where(F.length("_t") > 0)
     ex = base.select("*", F.posexplode(chunk_starts(F.length("_t"), size, overlap)).alias("_i", "_start"))
     return (ex.withColumn("chunk", (F.col("_i") + 1).cast("int"))
             .withColumn("chunk_text", F.substring(F.col("_t"), F.col("_start") + 1, size))
@@ -218,17 +222,17 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, metric:
 
 # ---- text retrieval (BM25) -----------------------------------------------------
 
-def _bm25_batch(ids: np.ndarray, tokens_of: list, at: dict[str, int], idf: np.ndarray, avgdl: float,
+def _bm25_batch(ids: np.ndarray, tokens_of: pa.ListArray, terms_of: pa.Array, idf: np.ndarray, avgdl: float,
                 wanted: list[tuple[object, list[int]]], k: int) -> Iterator[tuple[object, object, float]]:
     """(query id, chunk id, score) of the k best chunks of a batch for each query; ties by id.
 
     A score is summed over the query's terms in order, so equal chunks get
     equal scores in any batch.
     """
-    tf = np.zeros((len(ids), len(at)))
-    dl = np.array([len(t) for t in tokens_of], float)
-    rows = [i for i, t in enumerate(tokens_of) for w in t if w in at]
-    np.add.at(tf, (rows, [at[w] for t in tokens_of for w in t if w in at]), 1.0)
+    dl = np.asarray(tokens_of.value_lengths()).astype(float)
+    term = pc.index_in(tokens_of.flatten(), terms_of).fill_null(-1).to_numpy(zero_copy_only=False)
+    cell = (np.repeat(np.arange(len(ids)), dl.astype(int)) * len(terms_of) + term)[term >= 0]
+    tf = np.bincount(cell, minlength=len(ids) * len(terms_of)).astype(float).reshape(len(ids), len(terms_of))
     weight = idf * (tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[:, None] / avgdl)))
     columns = np.ascontiguousarray(weight.T)
     for query, terms in wanted:
@@ -271,13 +275,14 @@ def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id:
 
     def scored(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, idf, wanted = shared.value
-            step = max(1, SCORE_CELLS // max(1, len(at)))
+            held, idf, wanted = shared.value
+            terms_of = pa.array(held, pa.string())
+            step = max(1, SCORE_CELLS // max(1, len(held)))
             for b in batches:
                 for lo in range(0, b.num_rows, step):
                     part = b.slice(lo, step)
-                    found = list(_bm25_batch(np.array(part.column(0).to_pylist(), object), part.column(1).to_pylist(),
-                                             at, idf, avgdl, wanted, k))
+                    found = list(_bm25_batch(np.array(part.column(0).to_pylist(), object), part.column(1),
+                                             terms_of, idf, avgdl, wanted, k))
                     qs, ids, scores = zip(*found) if found else ((), (), ())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(qs, q_arrow), pa.array(ids, part.schema.field(0).type), pa.array(scores, pa.float64())],
@@ -294,7 +299,7 @@ def text_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id:
         held = sorted((r["term"], r["idf"]) for r in weights.collect())
         at = {t: j for j, (t, _) in enumerate(held)}
         wanted = [(r["query_id"], [at[t] for t in r["terms"] if t in at]) for r in mine.collect()]
-        shared = spark.sparkContext.broadcast((at, np.array([w for _, w in held]), wanted))
+        shared = spark.sparkContext.broadcast(([t for t, _ in held], np.array([w for _, w in held]), wanted))
         part = base.mapInArrow(scored(shared), schema)
         out = part if out is None else out.unionByName(part)
     ranked = top_k_per_group(out, "query_id", [F.col("score").desc(), F.col("id")], k)

@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerline.operators import retrieval as R
 
 
@@ -87,3 +89,29 @@ def test_index_upsert_keeps_stale_chunks(spark):
     assert got == {"d_p1_c1": "new1", "d_p1_c2": "old2", "e_p1_c1": "e"}
     got2 = {r["id"]: r["text"] for r in R.index_upsert(old, new, replace_sources=True).collect()}
     assert got2 == {"d_p1_c1": "new1", "e_p1_c1": "e"}
+
+
+def test_distance_matrices_are_bounded(monkeypatch):
+    """However many queries a block holds, a matrix holds DISTANCE_CELLS pairs at most; a task's best merge over batches."""
+    import numpy as np
+    r, seen, whole = np.random.default_rng(4), [], R._distances
+    q, v, ids = r.integers(0, 4, (700, 3)).astype(float), r.integers(0, 4, (300, 3)).astype(float), r.permutation(300)
+    d = whole("l2", q, v)
+    want = np.array([[i for _, i in sorted(zip(row, ids))[:5]] for row in d])
+    monkeypatch.setattr(R, "DISTANCE_CELLS", 6000)
+    monkeypatch.setattr(R, "_distances", lambda m, a, b: (seen.append(len(a) * len(b)), whole(m, a, b))[1])
+    near, far = (R._k_nearest("l2", q, ids[s], v[s], 5) for s in (slice(0, 120), slice(120, 300)))
+    got, _ = R._best(*(np.concatenate(x, axis=1) for x in zip(near, far)), 5)
+    assert max(seen) <= 6000 and (got == want).all()
+
+
+def test_pages_of_one_source_spread(spark):
+    """The pages of a large source, with their texts, are numbered in several tasks."""
+    docs = spark.range(12_000).selectExpr("'a' AS source", "id AS doc_id", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [x["count"] for x in R.page_text(docs).groupBy(F.spark_partition_id()).count().collect()]
+        pages = R.page_text(docs).agg(F.min("page"), F.max("page"), F.count_distinct("page")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 12_000 and tuple(pages) == (1, 12_000, 12_000)
