@@ -56,7 +56,7 @@ class TextIndex:
 
 def build(chunks: DataFrame, path: str, chunk_id: str = "id", text_col: str = "text",
           slice_chunks: int = SLICE_CHUNKS) -> TextIndex:
-    """Write the index of ``chunks`` to the new folder ``path``. Token lists are shuffled once, by slice."""
+    """Write the index of ``chunks`` to the new folder ``path``. Token lists are shuffled by slice, for either table."""
     spark = chunks.sparkSession
     checkpoint_dir(spark)
     base = chunks.select(F.col(chunk_id).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tok")).checkpoint()
@@ -66,8 +66,8 @@ def build(chunks: DataFrame, path: str, chunk_id: str = "id", text_col: str = "t
     slice_ = F.pmod(F.xxhash64("id"), F.lit(-(-n // slice_chunks)))
     placed = base.withColumn("slice", slice_).withColumn(
         "pos", F.row_number().over(Window.partitionBy("slice").orderBy("id", "tok")) - 1)
-    placed = placed.checkpoint()
     placed.select("slice", "pos", "id").write.parquet(f"{path}/chunks")
+    # the shuffle by slice that numbers the chunks serves both aggregates: postings are made where a slice's chunks are
     uses = (placed.select("slice", "pos", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
             .groupBy("slice", "term", "pos", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
     tf = F.col("tf")
@@ -75,7 +75,8 @@ def build(chunks: DataFrame, path: str, chunk_id: str = "id", text_col: str = "t
     rows = uses.groupBy("term", "slice").agg(F.array_sort(F.collect_list(F.struct("pos", "tf", "dl"))).alias("p"),
                                              F.max(weight).alias("bound"))
     rows = rows.select("term", "slice", F.size("p").alias("n"), "bound", F.col("p.pos").alias("pos"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
-    rows.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice").write.parquet(f"{path}/postings")
+    # the ranges are sampled first: without a checkpoint all of the above would run twice
+    rows.checkpoint().repartitionByRange("term", "slice").sortWithinPartitions("term", "slice").write.parquet(f"{path}/postings")
     return TextIndex(path, n, mean)
 
 
