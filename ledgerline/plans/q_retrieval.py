@@ -27,6 +27,14 @@ def _chunks(t):
     return R.chunk_records(_pages(t).drop("lang"))
 
 
+def _hits_and_chunks(t):
+    """The best chunks of the benchmark's items (a few per item, to be broadcast), and the chunks: made once, read for both."""
+    checkpoint_dir(t.spark)
+    chunks = _chunks(t).checkpoint()
+    bench = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return F.broadcast(R.text_top_k(bench, chunks, k=3)), chunks
+
+
 def _new_folder(df: DataFrame) -> str:
     """A folder for an index, in the shared checkpoint folder."""
     return f"{checkpoint_dir(df.sparkSession)}/index-{uuid.uuid4().hex}"
@@ -147,9 +155,7 @@ SELECT h.query_id, string_agg('Source: ' || c.source || ', page ' || c.page || c
                               chr(10) || chr(10) ORDER BY h.rank) AS context
 FROM hits h JOIN chunks c USING (id) GROUP BY h.query_id""", ",\n" + BM25_SQL.strip() + "\n"), use_roles=False)
 def q_build_context(t):
-    chunks = _chunks(t)
-    bench = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.build_context(R.text_top_k(bench, chunks, k=3), chunks)
+    return R.build_context(*_hits_and_chunks(t))
 
 
 @register("source_list", _with("""
