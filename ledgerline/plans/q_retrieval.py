@@ -164,9 +164,7 @@ FROM (SELECT h.query_id, c.source || ' (page ' || c.page || ')' AS label, min(h.
       FROM hits h JOIN chunks c USING (id) GROUP BY 1, 2) s
 GROUP BY query_id""", ",\n" + BM25_SQL.strip() + "\n"), use_roles=False)
 def q_source_list(t):
-    chunks = _chunks(t)
-    bench = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.source_list(R.text_top_k(bench, chunks, k=3), chunks)
+    return R.source_list(*_hits_and_chunks(t))
 
 
 REINDEX_SQL = f""",
