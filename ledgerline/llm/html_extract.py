@@ -13,13 +13,19 @@ elements, and text blocks, told apart by path and text. On pages of one host:
    the host's template; a token in an element that is none goes with it.
 3. What is not template is a slot. Slots inside elements that are no article
    (menus, headers, footers, side bars, notices, adverts, forms, scripts,
-   styles, reader comments) are dropped; where a page has an article or main
-   element, only its slots count. The rest, block by block, is the main text.
+   styles, reader comments) are dropped.
+4. The region of the article follows from where the host's text stands. An
+   article or main element that holds template text only is template if the
+   host's slots hold more text than it. If the slots beside the other ones
+   hold no more text than these, they are the region of the pages that have
+   one; otherwise their names are wrong and all slots of the page are. What
+   stands in the region, block by block, is the main text.
 
 A text block is template only if it stands on nearly all pages of a host
 with at least ``MIN_PAGES`` pages, once each, beside other such tokens: an
 article that a few pages share is a slot. Copies of a page count as one page,
-and a block inside an article or main element is never template.
+and a block inside an article or main element is template only with the whole
+element (4). A host with fewer pages has no classes: there the elements decide.
 
 Defined results: null or empty html gives the empty text; a null url belongs
 to the host "". Repeated rows give a row each. Extra columns are ignored.
@@ -90,12 +96,13 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool]], bool]:
-    """Paths of the tags, the text blocks (path, text, outside, in main) and whether there is a main element."""
+def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, str]], bool]:
+    """Paths of the tags, the text blocks (path, text, outside, path of the outermost article or main element around or "")
+    and whether there is such an element."""
     paths: list[str] = []
-    blocks: list[tuple[str, str, bool, bool]] = []
-    # open elements: (tag, path, outside, in main)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    blocks: list[tuple[str, str, bool, str]] = []
+    # open elements: (tag, path, outside, path of the main element)
+    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
     held: list[str] = []
     has_main = False
 
@@ -154,9 +161,9 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool]], bool
                 out = True
         if tag in OUTSIDE or (tag == "header" and not main):
             out = True
-        if tag in ("article", "main") and not out:
-            main = has_main = True
         path = f"{path}>{name}"
+        if tag in ("article", "main") and not out:
+            main, has_main = main or path, True
         paths.append(path)
         if tag not in VOID and not attrs.endswith("/"):
             stack.append((tag, path, out, main))
@@ -164,13 +171,17 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool]], bool
     return paths, blocks, has_main
 
 
-def slots(html: str | None, fixed: frozenset[int] = frozenset()) -> str:
-    """Main text of a page; ``fixed`` are the text tokens of its host's template."""
+def slots(html: str | None, fixed: frozenset[int] = frozenset(), whole_page: bool = False) -> str:
+    """Main text of a page; ``fixed`` and ``whole_page`` as in ``regions``."""
     if not html:
         return ""
     _, blocks, has_main = parse(html)
-    return "\n".join(t for path, t, out, main in blocks
-                     if not out and (main or not (has_main or fixed and text_token(path, t) in fixed)))
+    found = [(path, t, main) for path, t, out, main in blocks if not out]
+    left = [(t, main) for path, t, main in found if not (fixed and text_token(path, t) in fixed)]
+    # a page whose articles are all template has none
+    if has_main and not whole_page and (any(main for _, main in left) or not any(main for *_, main in found)):
+        left = [(t, main) for t, main in left if main]
+    return "\n".join(t for t, _ in left)
 
 
 def _hash(value: str) -> int:
@@ -197,12 +208,21 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     return once.unionByName(rows.join(copied, same, "left_semi").dropDuplicates(same)).select("host", "key", "html")
 
 
-def token_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, path, parent, pages, uses, vector): each token's occurrence vector over distinct pages, fingerprinted.
+TOKENS = ("host string, token bigint, path string, parent bigint, article bigint, pages bigint, uses bigint, vector bigint, "
+          "chars bigint, claimed bigint")
+
+
+def token_vectors(pages: DataFrame, all_texts: bool = False) -> DataFrame:
+    """(host, token, path, parent, article, pages, uses, vector, chars, claimed): each token's occurrence vector over
+    distinct pages, fingerprinted.
 
     ``path`` is set for tags, null for text blocks; ``parent`` is the token of
     the element around. The token of the empty path stands on every page
-    once, so its ``pages`` counts the host's pages.
+    once, so its ``pages`` counts the host's pages. Texts of pages with an
+    article or main element take part only with ``all_texts``; ``article`` is
+    then the token of the outermost such element around the text. ``chars``
+    are the characters of the text, or of all texts of the page or the
+    outermost article (other tags: 0), ``claimed`` those of them in articles.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], list] = {}
@@ -211,35 +231,44 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         def out():
             rows = [(h, t, *v) for (h, t), v in found.items()]
             found.clear()
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            cols = list(zip(*rows)) if rows else [()] * 10
+            types = (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 7)
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
-                                              names=["host", "token", "path", "parent", "pages", "uses", "vector"])
+                                              names=["host", "token", "path", "parent", "article", "pages", "uses", "vector",
+                                                     "chars", "claimed"])
 
         for b in batches:
             for h, key, html in zip(*(c.to_pylist() for c in b.columns)):
                 paths, blocks, has_main = parse(html or "")
-                counts: dict[tuple[int, str | None, int | None], int] = {(root, "", None): 1}
+                # token: (path, parent, article), uses, chars, claimed
+                counts: dict[int, list] = {root: [("", None, None), 1, 0, 0]}
                 for p in paths:
-                    k = (_hash(p), p, _hash(p.rpartition(">")[0]))
-                    counts[k] = counts.get(k, 0) + 1
+                    k = _hash(p)
+                    counts.setdefault(k, [(p, _hash(p.rpartition(">")[0]), None), 0, 0, 0])[1] += 1
                 for p, t, outside, main in blocks:
-                    if not outside and not has_main:
-                        k = (text_token(p, t), None, _hash(p))
-                        counts[k] = counts.get(k, 0) + 1
-                for (t, p, up), n in counts.items():
-                    v = found.setdefault((h, t), [p, up, 0, 0, 0])
-                    v[2] += 1
-                    v[3] += n
-                    v[4] ^= _hash(f"{key}/{n}")
+                    if outside or has_main and not all_texts:
+                        continue
+                    k, n, up = text_token(p, t), len(t), _hash(main) if main else None
+                    c = counts.setdefault(k, [(None, _hash(p), up), 0, 0, 0])
+                    c[1] += 1
+                    for c in (c, counts[root], *([counts[up]] if main else ())):
+                        c[2] += n
+                        c[3] += n if main else 0
+                for t, (where, n, chars, claimed) in counts.items():
+                    v = found.setdefault((h, t), [*where, 0, 0, 0, 0, 0])
+                    v[3] += 1
+                    v[4] += n
+                    v[5] ^= _hash(f"{key}/{n}")
+                    v[6] += chars
+                    v[7] += claimed
                 if len(found) > FLUSH_TOKENS:
                     yield out()
         yield out()
 
-    schema = "host string, token bigint, path string, parent bigint, pages bigint, uses bigint, vector bigint"
-    return (distinct_pages(pages).mapInArrow(run, schema)
-            .groupBy("host", "token").agg(F.max("path").alias("path"), F.max("parent").alias("parent"), F.sum("pages").alias("pages"),
-                                          F.sum("uses").alias("uses"), F.expr("bit_xor(vector)").alias("vector")))
+    # path, parent and article follow from the token
+    return (distinct_pages(pages).mapInArrow(run, TOKENS).groupBy("host", "token", "path", "parent", "article")
+            .agg(F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.expr("bit_xor(vector)").alias("vector"),
+                 F.sum("chars").alias("chars"), F.sum("claimed").alias("claimed")))
 
 
 def nested(tokens: DataFrame) -> DataFrame:
@@ -263,36 +292,64 @@ def nested(tokens: DataFrame) -> DataFrame:
     return tags.join(whole, ["host", "token"]).unionByName(texts)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """(host, host_pages, token, path, parent, pages, uses, vector, class_size, depth): the nested tokens of the valid classes.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, all_texts: bool = False) -> DataFrame:
+    """(host, host_pages, token, path, parent, pages, uses, vector, class_size, depth, article, chars, claimed): the nested
+    tokens of the valid classes.
 
     Rows of one class share (pages, uses, vector); ``parent`` is the token of
-    the element around, ``depth`` the level below the page (depth 0).
+    the element around, ``depth`` the level below the page (depth 0). The
+    other columns and ``all_texts`` are as in ``token_vectors``.
     """
     # fewer pages than this can't be nearly all of a host's: drop the tail of unique texts early
-    often = stored(token_vectors(pages).where(F.col("pages") >= min_pages))
+    often = stored(token_vectors(pages, all_texts).where(F.col("pages") >= min_pages))
     hosts = often.where(F.col("path") == "").select("host", F.col("pages").alias("host_pages"))
     known = often.join(hosts, "host").where(F.col("pages") >= support * F.col("host_pages"))
     # an element stands for its start and its end tag
     sizes = known.groupBy("host", "pages", "uses", "vector").agg(
         F.sum(F.when(F.col("path").isNull(), 1).otherwise(2)).alias("class_size"))
     valid = stored(known.join(sizes, ["host", "pages", "uses", "vector"]).where(F.col("class_size") >= 2))
-    return nested(valid).select("host", "host_pages", "token", "path", "parent", "pages", "uses", "vector", "class_size", "depth")
+    return nested(valid).select("host", "host_pages", "token", "path", "parent", "pages", "uses", "vector", "class_size", "depth",
+                                "article", "chars", "claimed")
+
+
+def regions(found: DataFrame) -> DataFrame:
+    """(host, fixed, whole_page) of stored ``templates`` of all texts, for each host where they change what elements say.
+
+    ``fixed`` are the text tokens to drop: those outside articles, and those
+    of articles that hold nothing else and less than the host's slots.
+    ``whole_page`` says that the other articles hold less text than the slots
+    beside them, so that all slots are the region.
+    """
+    same = found.where(F.col("path").isNull() & (F.col("uses") == F.col("pages")))
+    told = same.groupBy("host").agg(F.sum("chars").alias("a"), F.sum(F.col("chars") - F.col("claimed")).alias("b"))
+    # characters of all slots, of those beside articles, and of the articles
+    hosts = (found.where(F.col("path") == "").join(told, "host", "left")
+             .select("host", (F.col("chars") - F.coalesce("a", F.lit(0))).alias("slots"),
+                     (F.col("chars") - F.col("claimed") - F.coalesce("b", F.lit(0))).alias("beside"), "claimed"))
+    held = same.groupBy("host", "article").agg(F.sum("chars").alias("held"))
+    vacant = (found.where(F.col("path") != "").select("host", F.col("token").alias("article"), "chars")
+              .join(held, ["host", "article"]).where(F.col("chars") == F.col("held"))
+              .join(hosts.select("host", "slots"), "host").where(F.col("slots") > F.col("held")).select("host", "article", "held"))
+    drop = (same.where(F.col("article").isNull()).select("host", "token")
+            .unionByName(same.join(vacant, ["host", "article"], "left_semi").select("host", "token")))
+    return (hosts.join(drop.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
+            .join(vacant.groupBy("host").agg(F.sum("held").alias("emptied")), "host", "left")
+            .select("host", "fixed", (F.col("beside") > F.col("claimed") - F.coalesce("emptied", F.lit(0))).alias("whole_page"))
+            .where(F.col("whole_page") | F.col("fixed").isNotNull()))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page."""
-    fixed = stored(templates(pages, min_pages, support)
-                   .where(F.col("path").isNull() & (F.col("uses") == F.col("pages")))
-                   .groupBy("host").agg(F.collect_list("token").alias("fixed")))
-    weight = fixed.agg(F.sum(F.length("host") + 8 * F.size("fixed") + 16)).first()[0] or 0
+    found = stored(templates(pages, min_pages, support, all_texts=True))
+    where = stored(regions(found))
+    weight = where.agg(F.sum(F.length("host") + 8 * F.coalesce(F.size("fixed"), F.lit(0)) + 16)).first()[0] or 0
     by_host = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    side = F.broadcast(fixed) if weight <= TEMPLATE_BYTES else fixed
-    src = by_host.join(side, "host", "left").select("page_id", "url", "html", "fixed")
+    side = F.broadcast(where) if weight <= TEMPLATE_BYTES else where
+    src = by_host.join(side, "host", "left").select("page_id", "url", "html", "fixed", "whole_page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [slots(h, frozenset(f or ())) for h, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [slots(h, frozenset(f or ()), bool(w)) for h, f, w in zip(*(c.to_pylist() for c in b.columns[2:]))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

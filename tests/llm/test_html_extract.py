@@ -149,3 +149,100 @@ def test_page_classes_against_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     got = {(r.host, r.token, r.pages, r.uses, r.class_size, r.depth) for r in H.templates(pages, 10).collect()}
     assert got == slow_templates([tuple(r) for r in pages.collect()])
+
+
+def region_rows():
+    """Hosts whose article elements hold template text, a part of the slots, or the article; with the text of each page."""
+    rows, want = [], {}
+
+    def add(name, html, text, n=30):
+        for i in range(n):
+            key = len(rows)
+            rows.append((key, f"http://{name}.example/{i}", html(i)))
+            want[key] = text(i)
+
+    teaser = "<article class='teaser'><p>Welcome to us</p><p>Join</p></article>"
+    # the article element stands there with the same text on every page: it is template
+    add("teaser", lambda i: f"<body><nav>menu</nav><div>Bar</div>{teaser}<div class='story'><p>{'text ' * 9}{i}</p><p>more {i % 3}</p></div></body>",
+        lambda i: f"{'text ' * 9}{i}\nmore {i % 3}")
+    # beside one that holds the article; its shared passages stay
+    add("both", lambda i: f"<body>{teaser}<div>Bar {i % 2}</div><article class='post'><h2>Summary</h2><p>{'text ' * 9}{i}</p><p>Same end</p>"
+                          "</article></body>", lambda i: f"Summary\n{'text ' * 9}{i}\nSame end")
+    # every article under a name of its own is a slot
+    add("own", lambda i: f"<body><div>Bar {i % 2}</div><article id='post-{i}'><p>{'text ' * 9}{i}</p></article></body>",
+        lambda i: f"{'text ' * 9}{i}")
+    # articles that hold less than the slots beside them are not the article
+    add("part", lambda i: f"<body><div>Bar</div><article><p>Box {i}</p><p>Same end</p></article><div><p>{'text ' * 9}{i}</p></div></body>",
+        lambda i: f"Box {i}\nSame end\n{'text ' * 9}{i}")
+    # some pages have only the teaser
+    add("mixed", lambda i: f"<body><div>Bar</div>{teaser}<{'article' if i % 3 else 'section'}><p>{'text ' * 9}{i}</p></body>",
+        lambda i: f"{'text ' * 9}{i}")
+    # one article on different pages stays: nothing else varies, or less text than it holds
+    add("one", lambda i: f"<body><nav>menu {i}</nav><article><p>same</p></article></body>", lambda i: "same")
+    add("near", lambda i: f"<body><div>at {i}</div><article><h1>same</h1><p>same text</p></article></body>", lambda i: "same\nsame text")
+    add("empty", lambda i: f"<body><article></article><div><p>text {i}</p></div></body>", lambda i: f"text {i}")
+    # too few pages for classes: the elements decide
+    add("few", lambda i: f"<body>{teaser}<div><p>text {i}</p></div></body>", lambda i: "Welcome to us\nJoin", 9)
+    return rows, want
+
+
+def slow_regions(rows):
+    """Per host the texts to drop and whether all slots are the region, from whole vectors and lists of slots."""
+    hosts = {}
+    for _, url, html in rows:
+        hosts.setdefault(re.match(r"[a-z]+://([^/]*)", url).group(1), set()).add(html)
+    out = {}
+    for h, contents in hosts.items():
+        parsed = [H.parse(html) for html in sorted(contents)]
+        vectors = {"": [1] * len(parsed)}
+        for i, (paths, blocks, _) in enumerate(parsed):
+            for k in paths + [(p, t) for p, t, outside, _ in blocks if not outside]:
+                vectors.setdefault(k, [0] * len(parsed))[i] += 1
+        known = {k: v for k, v in vectors.items() if sum(x > 0 for x in v) >= max(H.MIN_PAGES, H.SUPPORT * len(parsed))}
+        valid = {k for k, v in known.items() if sum(2 if isinstance(x, str) else 1 for x, w in known.items() if w == v) >= 2}
+        same = {k for k in valid if not isinstance(k, str) and max(known[k]) == 1
+                and all(">".join(k[0].split(">")[:n]) in valid for n in range(1, k[0].count(">") + 2))}
+        slots = [(main, t) for _, blocks, _ in parsed for p, t, outside, main in blocks if not outside and (p, t) not in same]
+        alive = {main for main, _ in slots}
+        size = {}
+        for _, blocks, _ in parsed:
+            for _, t, outside, main in blocks:
+                size[main] = size.get(main, 0) + len(t) * (main != "" and not outside)
+        vacant = {main for main in size if main and main not in alive and sum(len(t) for _, t in slots) > size[main]}
+        whole = sum(len(t) for main, t in slots if not main) > sum(n for main, n in size.items() if main not in vacant)
+        mains = {(p, t): main for _, blocks, _ in parsed for p, t, _, main in blocks}
+        drop = {H.text_token(*k) for k in same if not mains[k] or mains[k] in vacant}
+        if valid and (drop or whole):
+            out[h] = (drop, whole)
+    return out
+
+
+def test_regions(spark):
+    rows, want = region_rows()
+    df = spark.createDataFrame(rows + rows[::4], "page_id bigint, url string, html string")
+    found = H.stored(H.templates(df, all_texts=True))
+    got = {r.host: (set(r.fixed or ()), r.whole_page) for r in H.regions(found).collect()}
+    assert got == slow_regions(rows)
+    assert {h for h, (_, whole) in got.items() if whole} == {"teaser.example", "part.example", "empty.example"}
+    texts = [(r.page_id, r.text) for r in H.extract(df).collect()]
+    assert len(texts) == len(rows + rows[::4])
+    for i, text in texts:
+        assert text == want[i], (rows[i], text)
+
+
+def test_pages_with_other_elements(spark):
+    """The test pages, their articles in other elements and a fixed text in an article element: classes still find the article."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    # hosts with fewer pages have no classes
+    count = {}
+    for _, url, html in rows:
+        count.setdefault(url.split("/")[2], set()).add(html)
+    rows = [r for r in rows if len(count[r[1].split("/")[2]]) >= H.MIN_PAGES]
+    assert len(rows) > 20
+    want = {r[0]: H.slots(r[2]) for r in rows}
+    other = [(i, url, html.replace("<article>", "<article><p>Welcome to us</p></article><div class='c7'>").replace("</article><footer", "</div><footer"))
+             for i, url, html in rows]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(other, pages.schema)).collect()}
+    assert got == want
+    assert H.slots(other[0][2]) == "Welcome to us"
