@@ -32,6 +32,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda x: x != "")
 
 
+def token_text(c: Column) -> Column:
+    """The ``tokens`` in order, joined by one space."""
+    return F.trim(F.regexp_replace(F.lower(c), TOKEN_SPLIT, " "))
+
+
 def label_text(c: Column) -> Column:
     """``name.replace('_',' ').capitalize()``: first letter up, the rest down."""
     s = F.regexp_replace(c, "_", " ")

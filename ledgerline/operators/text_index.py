@@ -1,12 +1,14 @@
 """A stored postings index for exact BM25 top-k.
 
-The chunks are dealt by a hash of their id into slices of about
-``SLICE_CHUNKS``; inside a slice a chunk is known by its position in id order.
-``build`` writes two tables: ``chunks`` (slice, pos, id) and ``postings``, one
-row per (term, slice): the positions, frequencies and chunk lengths of the
-term there, and ``bound``, the largest weight (without idf) that the term
-reaches in the slice. Postings are laid out in term order, so a scan for some
-terms skips the row groups of others; a frequent term is many rows.
+The chunks are cut where they lie into slices of at most ``SLICE_CHUNKS``
+chunks and ``SLICE_BYTES`` of text; inside a slice a chunk is known by its
+position in id order. ``build`` writes two tables: ``chunks`` (slice, pos, id)
+and ``postings``, (term, slice) with the positions, frequencies and chunk
+lengths of the term there (``entries``, records of the narrowest integers that
+hold them), in rows of at most ``ROW_POSTINGS``, and ``bound``, the largest
+weight (without idf) that the term reaches in the row. Postings are laid out in term order, so a scan for some terms skips the row groups of
+others. A task makes the postings of one slice at a time and a reader's batch
+holds rows of bounded size: neither grows with the collection.
 
 ``search`` first reads (term, slice, n, bound) alone. The sum of idf * bound
 over a query's terms limits the score of every chunk of a slice. The few
@@ -24,20 +26,29 @@ repeated rows of one query count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerline.functions.text import tokens
+from ledgerline.functions.text import token_text, tokens
 from ledgerline.operators.partitioning import top_k_per_group
 from ledgerline.operators.retrieval import BM25_B, BM25_K1, TOP_K
 from ledgerline.session import checkpoint_dir
 
 SLICE_CHUNKS = 4096
+SLICE_BYTES = 16 << 20    # of token text
+ROW_POSTINGS = 256        # a reader holds batches of some thousand rows
+ROW_GROUP_BYTES = 16 << 20
+BROADCAST_KEYS = 200_000  # hashes of 8 bytes
+PART_TOKENS = 2_000_000   # of a part of the postings, whatever the shuffle settings
+MAX_PARTS = 4096          # beyond them the parts grow, their sort spills
 FIRST_SLICES = 2          # slices of a query that are scored to find its floor
 QUERY_BLOCK = 512         # queries of one cogroup, on average
 SCORE_CELLS = 2_000_000   # cells of a score matrix
@@ -49,55 +60,121 @@ class TextIndex:
     path: str
     chunks: int
     mean_length: float
+    entry: np.dtype           # of a posting: pos, tf, dl
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of the slices of a task's (part, id, words) rows."""
+    held, chunks, size, number = [], 0, 0, 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = min(lo + most - chunks, int(np.searchsorted(ends, before + SLICE_BYTES - size, "right")))
+            hi = max(hi, lo if held else lo + 1)        # a chunk of any length is taken
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
+                chunks, size, lo = chunks + hi - lo, size + int(ends[hi - 1] - before), hi
+            if lo < b.num_rows or chunks == most:
+                yield number, pa.Table.from_batches(held)
+                held, chunks, size, number = [], 0, 0, number + 1
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def _poster(mean: float, most: int, record: np.dtype, schema: pa.Schema):
+    """Function of (part, id, words) batches: the posting rows of each slice, and one row without term for its ids in order."""
+
+    def post(number: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.take(pc.sort_indices(rows, [("id", "ascending")], null_placement="at_start"))
+        slice_ = (rows["part"][0].as_py() << 32) + number
+        words, n = rows["words"].combine_chunks(), rows.num_rows
+        split = pc.split_pattern(words, " ")
+        dl = np.where(pc.equal(words, "").to_numpy(zero_copy_only=False), 0, split.value_lengths().to_numpy(zero_copy_only=False))
+        token = split.flatten()
+        coded = token.filter(pc.not_equal(token, "")).dictionary_encode()
+        # one entry per (term, chunk), terms in the order of their codes
+        entry, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+        term, pos = np.divmod(entry, n)
+        weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[pos] / mean))
+        ends = np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))
+        starts = np.concatenate([[0], ends[:-1]]).astype(int)[:len(ends)]
+        pieces = -(-(ends - starts) // ROW_POSTINGS)
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = np.append(np.repeat(starts, pieces) + piece * ROW_POSTINGS, len(entry))
+        entries = np.empty(len(entry), record)
+        entries["pos"], entries["tf"], entries["dl"] = pos, tf, dl[pos]
+        ends = pa.py_buffer((cuts * record.itemsize).astype(np.int32))
+        code = np.repeat(np.arange(len(pieces)), pieces)
+        ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows["id"].combine_chunks())
+        if len(code):
+            columns = [coded.dictionary.take(pa.array(code)), pa.array(np.full(len(code), slice_)), pa.array(np.diff(cuts)),
+                       pa.array(np.maximum.reduceat(weight, cuts[:-1])), pa.Array.from_buffers(pa.binary(), len(code), [None, ends, pa.py_buffer(entries)]),
+                       pa.nulls(len(code), schema.field("ids").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([slice_], f.type) if f.name == "slice" else ids.cast(f.type) if f.name == "ids"
+                                          else pa.nulls(1, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _slices(batches, most):
+            yield from post(number, rows)
+    return run
+
+
 def build(chunks: DataFrame, path: str, chunk_id: str = "id", text_col: str = "text",
           slice_chunks: int = SLICE_CHUNKS) -> TextIndex:
-    """Write the index of ``chunks`` to the new folder ``path``. Token lists are shuffled by slice, for either table."""
+    """Write the index of ``chunks`` to the new folder ``path``. Texts are not shuffled, the postings once."""
     spark = chunks.sparkSession
     checkpoint_dir(spark)
-    base = chunks.select(F.col(chunk_id).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tok")).checkpoint()
-    n, mean = base.agg(F.count(F.lit(1)), F.avg(F.size("tok"))).first()
+    # tokens hold no space: as one string they take a third of the bytes of a list
+    words = F.coalesce(token_text(F.col(text_col)), F.lit(""))
+    base = chunks.select(F.col(chunk_id).alias("id"), words.alias("words")).checkpoint()
+    spaces = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+    length = F.when(F.col("words") == "", 0).otherwise(spaces + 1)
+    n, mean, longest = base.select(length.alias("dl")).agg(F.count(F.lit(1)), F.avg("dl"), F.max("dl")).first()
     if not n:
         raise RuntimeError("no chunk in the collection")
-    slice_ = F.pmod(F.xxhash64("id"), F.lit(-(-n // slice_chunks)))
-    placed = base.withColumn("slice", slice_).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("slice").orderBy("id", "tok")) - 1)
-    placed.select("slice", "pos", "id").write.parquet(f"{path}/chunks")
-    # the shuffle by slice that numbers the chunks serves both aggregates: postings are made where a slice's chunks are
-    uses = (placed.select("slice", "pos", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
-            .groupBy("slice", "term", "pos", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    tf = F.col("tf")
-    weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(mean)))
-    rows = uses.groupBy("term", "slice").agg(F.array_sort(F.collect_list(F.struct("pos", "tf", "dl"))).alias("p"),
-                                             F.max(weight).alias("bound"))
-    rows = rows.select("term", "slice", F.size("p").alias("n"), "bound", F.col("p.pos").alias("pos"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+    record = np.dtype([("pos", np.min_scalar_type(slice_chunks)), *[(c, np.min_scalar_type(longest)) for c in ("tf", "dl")]])
+    # a checkpoint's parts are the same for every attempt of a task, so a slice is known by its part and place there;
+    # parts of less than a slice are put together
+    parts = base.coalesce(max(1, n // slice_chunks)).select(F.spark_partition_id().alias("part"), "id", "words")
+    schema = base.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("slice"), F.lit(0).alias("n"), F.lit(0.0).alias("bound"),
+                         F.lit(b"").alias("entries"), F.array("id").alias("ids")).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     # the ranges are sampled first: without a checkpoint all of the above would run twice
-    rows.checkpoint().repartitionByRange("term", "slice").sortWithinPartitions("term", "slice").write.parquet(f"{path}/postings")
-    return TextIndex(path, n, mean)
+    made = parts.mapInArrow(_poster(mean, slice_chunks, record, to_arrow_schema(schema)), schema).checkpoint()
+    made.where("term IS NULL").select("slice", F.posexplode("ids").alias("pos", "id")).write.parquet(f"{path}/chunks")
+    ranges = min(MAX_PARTS, int(n * mean) // PART_TOKENS + 1)
+    (made.where("term IS NOT NULL").drop("ids").repartitionByRange(ranges, "term", "slice").sortWithinPartitions("term", "slice")
+     .write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/postings"))
+    return TextIndex(path, n, mean, record)
 
 
-def _scorer(mean: float, k: int, schema: pa.Schema):
-    """Cogroup function: (query_id, term, idf) rows and posting rows of one slice -> its k best chunks per query."""
+def _scorer(mean: float, record: np.dtype, k: int, schema: pa.Schema):
+    """Cogroup function: (query_id, terms, idfs) rows and posting rows of one slice -> its k best chunks per query."""
     none = schema.empty_table()
 
     def score(wanted: pa.Table, postings: pa.Table) -> pa.Table:
         if not wanted.num_rows or not postings.num_rows:
             return none
         postings = postings.sort_by("term")
-        number = {t: i for i, t in enumerate(postings["term"].to_pylist())}
-        pos, tf, dl = (postings[c].combine_chunks().flatten().to_numpy() for c in ("pos", "tf", "dl"))
-        ends = np.cumsum(postings["n"].to_numpy())
-        starts = ends - postings["n"].to_numpy()
+        entries = np.frombuffer(b"".join(postings["entries"].to_pylist()), record)
+        pos, tf, dl = (entries[c].astype(np.int64) for c in ("pos", "tf", "dl"))
+        terms = postings["term"].combine_chunks().dictionary_encode()
+        # a term's rows stand side by side
+        ends = np.cumsum(np.bincount(terms.indices.to_numpy(), postings["n"].to_numpy())).astype(int)
+        starts = np.concatenate([[0], ends[:-1]])
         part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / mean))
-        coded = wanted["query_id"].combine_chunks().dictionary_encode()
-        term = np.array([number.get(t, -1) for t in wanted["term"].to_pylist()])
+        coded, asked = wanted["query_id"].combine_chunks().dictionary_encode(), wanted["terms"].combine_chunks()
+        query = np.repeat(coded.indices.to_numpy(), asked.value_lengths().to_numpy())
+        term = pc.index_in(asked.flatten(), terms.dictionary).fill_null(-1).to_numpy()
         row = np.flatnonzero(term >= 0)
-        row = row[np.lexsort((term[row], coded.indices.to_numpy()[row]))]     # a score is summed in term order
-        query, term, idf = coded.indices.to_numpy()[row], term[row], wanted["idf"].to_numpy()[row]
+        row = row[np.lexsort((term[row], query[row]))]     # a score is summed in term order
+        query, term, idf = query[row], term[row], wanted["idfs"].combine_chunks().flatten().to_numpy()[row]
         size, width = ends[term] - starts[term], int(pos.max()) + 1
         cost = np.maximum(np.bincount(query, size, len(coded.dictionary)), width)
         step = (np.cumsum(cost) // SCORE_CELLS).astype(int)[query]
@@ -126,8 +203,9 @@ def _plan(queries: DataFrame, index: TextIndex, query_id: str, query_text: str)
     """((query_id, term, idf), (query_id, slice, ceiling)) of the queries."""
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).distinct().checkpoint()
-    heads = index.table(spark, "postings").select("term", "slice", "n", "bound")
-    heads = heads.join(q.select("term").distinct(), "term", "left_semi").checkpoint()
+    heads = _among(index.table(spark, "postings").select("term", "slice", "n", "bound"), q, "term")
+    heads = (heads.join(q.select("term").distinct(), "term", "left_semi")
+             .groupBy("term", "slice").agg(F.sum("n").alias("n"), F.max("bound").alias("bound")).checkpoint())
     df = heads.groupBy("term").agg(F.sum("n").alias("df"))
     weights = df.select("term", F.log(1 + (index.chunks - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     wanted = q.join(weights, "term").select("query_id", "term", "idf").checkpoint()
@@ -135,16 +213,26 @@ def _plan(queries: DataFrame, index: TextIndex, query_id: str, query_text: str)
     return wanted, limits.checkpoint()
 
 
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key's hash is among those of the keys, before any shuffle; all rows if there are too many keys to broadcast."""
+    few = keys.select(F.xxhash64(key).alias("_key")).distinct()
+    if few.count() > BROADCAST_KEYS:
+        return rows
+    return rows.join(F.broadcast(few), F.xxhash64(key) == F.col("_key"), "left_semi")
+
+
 def _scored(wanted: DataFrame, pairs: DataFrame, index: TextIndex, k: int, blocks: int) -> DataFrame:
     """(query_id, slice, pos, score) for the given (query_id, slice) pairs."""
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    asked = pairs.select("query_id", "slice").join(wanted, "query_id").select("slice", block, "query_id", "term", "idf")
-    needed = asked.select(*[F.col(c).alias(c) for c in ("slice", "block", "term")]).distinct()   # columns of their own: both sides meet again
-    rows = index.table(wanted.sparkSession, "postings").drop("bound").join(needed, ["slice", "term"])
-    rows = rows.select("slice", "block", "term", "n", "pos", "tf", "dl")
+    of_query = wanted.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("w"))
+    asked = pairs.select("query_id", "slice").join(of_query, "query_id").select(
+        "slice", block, "query_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("idfs"))
+    needed = asked.select(*[F.col(c).alias(c) for c in ("slice", "block")], F.explode("terms").alias("term")).distinct()   # columns of their own: both sides meet again
+    rows = _among(_among(index.table(wanted.sparkSession, "postings"), wanted, "term"), pairs, "slice")
+    rows = rows.join(needed, ["slice", "term"]).select("slice", "block", "term", "n", "entries")
     schema = wanted.select("query_id", F.lit(0).cast("long").alias("slice"), F.lit(0).alias("pos"), F.lit(0.0).alias("score")).schema
     return (asked.groupBy("slice", "block").cogroup(rows.groupBy("slice", "block"))
-            .applyInArrow(_scorer(index.mean_length, k, to_arrow_schema(schema)), schema))
+            .applyInArrow(_scorer(index.mean_length, index.entry, k, to_arrow_schema(schema)), schema))
 
 
 def _search(queries: DataFrame, index: TextIndex, k: int, query_id: str, query_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,7 +251,9 @@ def _search(queries: DataFrame, index: TextIndex, k: int, query_id: str, query_t
 def search(queries: DataFrame, index: TextIndex, k: int = TOP_K, query_id: str = "query_id", query_text: str = "text") -> DataFrame:
     """(query_id, rank, id): the ``k`` best chunks per query by BM25; ties by id."""
     found, _, _ = _search(queries, index, k, query_id, query_text)
-    # positions follow ids inside a slice only, so every slice's k best meet their ids before the last cut
+    # positions follow ids inside a slice only, so all chunks that tie with the k-th meet their ids before the last cut
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    found = found.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k).drop("rank")
     named = found.join(index.table(queries.sparkSession, "chunks"), ["slice", "pos"])
     return top_k_per_group(named, "query_id", [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id")
 

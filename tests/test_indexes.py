@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerline.functions.text import token_text, tokens
 from ledgerline.operators import retrieval as R
 from ledgerline.operators import text_index, vector_index
 
@@ -42,6 +45,34 @@ def test_text_index_reads_only_blocks_that_can_win(spark, tmp_out):
     assert w["read_postings"] <= 500     # the slices with the rare term
 
 
+def test_text_index_rows_and_slices_are_bounded(spark, tmp_out):
+    chunks = [("same", f"common w{i % 50}") for i in range(3000)] + [(None, "common rare")] * 40
+    c = spark.createDataFrame(chunks, "id string, text string").coalesce(1)
+    index = text_index.build(c, f"{tmp_out}/index", slice_chunks=1000)
+    postings = index.table(spark, "postings")
+    assert postings.agg(F.max("n"), F.sum("n")).first() == (text_index.ROW_POSTINGS, 6080)
+    assert sorted(r["count"] for r in index.table(spark, "chunks").groupBy("slice").count().collect()) == [40, 1000, 1000, 1000]
+    q = spark.createDataFrame([(1, "rare"), (2, "w7"), (3, "common")], "query_id int, text string")
+    found = text_index.search(q, index, k=70)
+    assert sorted((r["query_id"], str(r["id"]), r["n"]) for r in found.groupBy("query_id", "id").agg(F.count("*").alias("n")).collect()) == \
+        [(1, "None", 40), (2, "same", 60), (3, "None", 40), (3, "same", 30)]
+
+
+def test_token_text_joins_the_tokens(spark):
+    texts = ["", " ", None, "a", "  Ab--c\u00a0d\t", "ÉTÉ 2x ½ ٣ 漢字\u200bz", "…", "İi ß", "a\nb\x1c c", "😀x😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(token_text(F.col("t")).alias("a"), F.array_join(tokens(F.col("t")), " ").alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_text_index_slices_hold_bounded_text(monkeypatch):
+    monkeypatch.setattr(text_index, "SLICE_BYTES", 10)
+    texts = ["a" * 4, "b" * 6, "", "c" * 25, "d", "e", "f", "g" * 9, "h" * 2]
+    batches = [pa.record_batch([pa.array([0] * len(t)), pa.array(t, pa.string()), pa.array(t, pa.string())], names=["part", "id", "words"]) for t in (texts[:2], texts[2:5], [], texts[5:])]
+    got = [(n, [len(x) for x in rows["words"].to_pylist()]) for n, rows in text_index._slices(iter(batches), 3)]
+    assert got == [(0, [4, 6, 0]), (1, [25]), (2, [1, 1, 1]), (3, [9]), (4, [2])]
+
+
 def test_indexes_of_nothing_raise(spark, tmp_out):
     with pytest.raises(RuntimeError):
         text_index.build(spark.createDataFrame([], "id string, text string"), f"{tmp_out}/t")
